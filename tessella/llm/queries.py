@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .language_id import language_id
+from .nearest import nearest_neighbours
+from .ngram_join import ngram_jaccard_join
 from .packing import best_fit_packing
 from .quality_rules import quality_rules
 from .secret_scan import secret_scan
+from .toxicity import learnable, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,12 +29,42 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
+def _held_out() -> Column:
+    return F.coalesce(~learnable(F.col("doc_id")), F.lit(False)).alias("held_out")
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents")).select("doc_id", _held_out(), "lang_pred", "score")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", _held_out(), F.col("tox_score").alias("score"), F.col("tox_flag").cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_secret_scans, op9_best_fit_packing)
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_secret_scans,
+        op3_nearest_neighbours,
+        op4_ngram_jaccard_join,
+        op5_language_id,
+        op9_best_fit_packing,
+        op10_toxicity,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -102,8 +102,9 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def words(raw: np.ndarray, offsets: np.ndarray) -> Words:
-    inside = ~SPACE[raw]
+def words(raw: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> Words:
+    """Maximal runs, within texts, of bytes that ``between`` (a flag for each byte value) doesn't mark."""
+    inside = ~between[raw]
     n = len(raw)
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
