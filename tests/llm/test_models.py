@@ -5,6 +5,7 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessella.llm import queries
@@ -78,7 +79,8 @@ def test_language_edge_cases(spark):
     assert got[100] == got[101] == got[102] == ("und", 0.0)
     assert got[None][0] == "de" and got[103][0] in ("de", "en")
     assert language_id(df.where("false")).count() == 0
-    assert {r.lang_pred for r in language_id(df.withColumn("lang", df.lang.substr(9, 1)).where("lang = 'x' or doc_id = 1")).collect()} == {""} or True
+    unlabelled = df.selectExpr("doc_id", "text", "cast(null as string) as lang")
+    assert {(r.lang_pred, r.score) for r in language_id(unlabelled).collect()} == {("und", 0.0)}
 
 
 def test_toxicity_held_out(spark):
@@ -94,17 +96,17 @@ def test_toxicity_held_out(spark):
 
 def test_counterfactual_penalty_evens_out_groups():
     base = "they went to the river and came home"
-    texts = [f"{w} idiot {base} {i}" for i in range(60) for w in ("the", "an")]
-    texts += [f"women idiot {base} {i}" for i in range(30)] + [f"the good {base} {i}" for i in range(400)]
+    texts = [f"idiot {base} {i}" for i in range(60)]
+    texts += [f"women {base} {i}" for i in range(90)] + [f"{base} {i}" for i in range(400)]  # a biased sample
     toxic = np.array([1.0] * 150 + [0.0] * 400)
-    import pyarrow as pa
-
     asked = pa.array([f"{g} {base}" for g in ("women", "men", "muslims")])
     free, even = ([*score_texts(asked, *fit(texts, toxic, fairness=f))] for f in (0.0, 50.0))
-    assert max(even) - min(even) < max(free) - min(free)
+    assert max(free) > 0.3
+    assert max(even) - min(even) < 0.2 * (max(free) - min(free))
     assert max(even) < 0.3
     left, right = counterfactuals(texts[:200])
-    assert all(a != b or True for a, b in zip(left, right, strict=True)) and len(left) == 200
+    assert len(left) == len(right) == 200
+    assert all(len(a.split()) == len(b.split()) for a, b in zip(left, right, strict=True))
 
 
 def test_toxicity_edge_cases(spark):
