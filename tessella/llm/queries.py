@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_format import format_chats
+from .html_text import html_text
 from .language_id import language_id
+from .mixing import mix
 from .nearest import nearest_neighbours
 from .ngram_join import ngram_jaccard_join
 from .packing import best_fit_packing
@@ -45,6 +48,24 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents")).select("doc_id", _held_out(), "lang_pred", "score")
 
 
+#: Shares of tokens that the mixing query rakes to; sources and topics are tempered from what is observed.
+LANGUAGE_TARGETS = {"lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}}
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents"), LANGUAGE_TARGETS)
+    return mixed.select("doc_id", "source", "lang", *(F.col(f"mix_{c}").alias(c) for c in ("topic", "n_tokens", "weight", "prob", "kept")))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = format_chats(table(spark, sf_dir, "conversations"))
+    return lines.select("conv_id", "turn", "role", "place", "json", "n_calls", F.size("errors").cast("long").alias("n_errors"))
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text(table(spark, sf_dir, "pages"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"))
 
@@ -54,6 +75,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out(), F.col("tox_score").alias("score"), F.col("tox_flag").cast("int").alias("predicted"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py, a file at the top that belongs to this subpackage."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -62,9 +90,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_nearest_neighbours,
         op4_ngram_jaccard_join,
         op5_language_id,
+        op6_mixing,
+        op7_chat_format,
+        op8_html_text,
         op9_best_fit_packing,
         op10_toxicity,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+QUERIES["pipeline"] = pipeline
+
+#: Conversations hold no tool calls, so there the lines are plain turns.
+ORACLE_SQL: dict[str, str] = {
+    "op7_chat_format": """
+        SELECT conv_id, turn, role, lpad(turn::VARCHAR, 20, '0') || repeat('.' || repeat('0', 20), 3) AS place,
+               '{"content":' || to_json(text)::VARCHAR || ',"role":' || to_json(role)::VARCHAR || '}' AS json,
+               0::BIGINT AS n_calls, 0::BIGINT AS n_errors
+        FROM conversations
+    """,
+}
