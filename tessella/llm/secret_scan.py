@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from . import staging, textvec
 
 RULE_VERSION = 1
+BROADCAST_ROWS = 500_000
 KINDS = ("assign", "access", "hex", "private_key", "web_token", "host_token")
 BASE = KINDS[:3]
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -101,23 +102,41 @@ def addresses(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("path"), F.sha2(F.coalesce(text_col, F.lit("")), 256).alias("blob"))
 
 
+def _same(left_path: str, left_blob: str, right_path: str, right_blob: str) -> F.Column:
+    return F.col(left_blob).eqNullSafe(F.col(right_blob)) & F.col(left_path).eqNullSafe(F.col(right_path))
+
+
 def scan_unseen(docs: DataFrame, ledger: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", rule_version: int = RULE_VERSION) -> DataFrame:
     """New ledger rows: the findings of every blob of ``docs`` that ``ledger`` lacks under this rule version.
 
-    The text of one path a blob is moved, dealt by (path, blob): both together are as good as unique, so a blob with
-    very many paths, or very many null paths, doesn't meet in one task. The choice of paths is made on hashes alone.
+    One path a blob is chosen on hashes alone. Rows that aren't chosen (further copies, blobs of the ledger) are
+    skipped where they are read if there are at most BROADCAST_ROWS of them, so that no text moves; beyond that the
+    chosen rows are found by a join dealt by (path, blob). Both together are as good as unique, so a blob with very
+    many paths, or very many null paths, doesn't meet in one task either way.
     """
     staging.ship(docs.sparkSession)
-    chosen = addresses(docs, id_col, text_col).groupBy("blob").agg(F.min("path").alias("path"))
+    paths = addresses(docs, id_col, text_col)
+    chosen = paths.groupBy("blob").agg(F.min("path").alias("path"), F.count("*").alias("rows"))
     if ledger is not None:
         chosen = chosen.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
+    chosen = staging.stage(chosen.select(F.col("path").alias("chosen_path"), F.col("blob").alias("chosen_blob"), "rows"), "chosen")
     texts = docs.select(F.col(id_col).alias("path"), F.coalesce(text_col, F.lit("")).alias("text"))
     texts = texts.withColumn("blob", F.sha2("text", 256))
-    c = chosen.select(F.col("path").alias("chosen_path"), F.col("blob").alias("chosen_blob"))
-    same = F.col("blob").eqNullSafe(F.col("chosen_blob")) & F.col("path").eqNullSafe(F.col("chosen_path"))
-    todo = texts.join(c, same, "left_semi").select("blob", "text")
+    picked = _same("path", "blob", "chosen_path", "chosen_blob")
+    total = docs.count()
+    if total - chosen.count() <= BROADCAST_ROWS:
+        shared = paths.distinct().join(chosen.where("rows > 1"), picked, "left_anti")
+        if ledger is None:
+            shared = shared.join(chosen.where("rows > 1").select("chosen_blob"), F.col("blob") == F.col("chosen_blob"), "left_semi")
+        else:
+            shared = shared.join(chosen, picked, "left_anti")
+        skip = shared.select(F.col("path").alias("skip_path"), F.col("blob").alias("skip_blob"))
+        todo = texts.join(F.broadcast(skip), _same("path", "blob", "skip_path", "skip_blob"), "left_anti")
+    else:
+        todo = texts.join(chosen, picked, "left_semi")
     schema = LEDGER.rpartition(",")[0]
-    return todo.mapInArrow(_scan, schema).dropDuplicates(["blob"]).withColumn("rule_version", F.lit(rule_version))
+    found = todo.select("blob", "text").mapInArrow(_scan, schema)
+    return found.dropDuplicates(["blob"]).withColumn("rule_version", F.lit(rule_version))
 
 
 def secret_scan(docs: DataFrame, ledger: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", rule_version: int = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
