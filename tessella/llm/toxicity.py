@@ -23,10 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import staging, textvec
-from .linear import Rows
 
 BITS = 20
-MAX_TRAIN_ROWS = 16_000
+MAX_TRAIN_ROWS = 10_000
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6, 7)
 #: Names of groups that are swapped for each other.
@@ -52,27 +51,28 @@ def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(out).astype(np.int64), np.concatenate(which)
 
 
-def present(texts: pa.Array) -> Rows:
-    """Sparse presence rows of all texts."""
-    columns, size = [], []
-    for a, b, raw, offsets in textvec.chunks(texts):
+def present(texts: pa.Array, useful: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(distinct features, their texts' numbers), a chunk at a time; only useful features if told which are."""
+    for a, _, raw, offsets in textvec.chunks(texts):
         f, d = features(raw, offsets)
+        if useful is not None:
+            keep = useful[f]
+            f, d = f[keep], d[keep]
         key = np.unique(d << BITS | f)
-        columns.append(key & ((1 << BITS) - 1))
-        size.append(np.bincount(key >> BITS, minlength=b - a))
-    columns = np.concatenate(columns) if columns else np.zeros(0, np.int64)
-    begin = np.concatenate([[0], np.cumsum(np.concatenate(size))]) if size else np.zeros(1, np.int64)
-    return Rows(columns, np.ones(len(columns)), begin)
+        yield key & ((1 << BITS) - 1), (key >> BITS) + a
+
+
+def gathered(texts: pa.Array, useful: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    parts = list(present(texts, useful))
+    return tuple(np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in (0, 1))
 
 
-def counterfactuals(texts: list[str], seed: int = 7, most: int = 4000) -> tuple[list[str], list[str]]:
+def counterfactuals(texts: pa.Array, seed: int = 7, most: int = 4000) -> tuple[list[str], list[str]]:
     """Pairs of texts that differ in one group's name: swapped where one stands, else put before a short sentence."""
     rnd = np.random.default_rng(seed)
     names = set(IDENTITY)
     left, right = [], []
-    for text in texts:
-        if len(left) >= most:
-            break
+    for text in texts[:most].to_pylist():
         tokens = text.split()
         at = [i for i, t in enumerate(tokens) if t.lower() in names]
         sentence = tokens[max(0, at[0] - 15) : at[0] + 16] if at else [str(rnd.choice(IDENTITY)), *tokens[:15]]
@@ -82,33 +82,27 @@ def counterfactuals(texts: list[str], seed: int = 7, most: int = 4000) -> tuple[
     return left, right
 
 
-def fit(texts: list[str], toxic: np.ndarray, l1: float = 1e-3, l2: float = 1e-5, fairness: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
+def fit(texts: pa.Array, toxic: np.ndarray, l1: float = 1e-3, l2: float = 1e-5, fairness: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
     """(weights, intercept) by accelerated proximal gradient on log loss, elastic net and counterfactual penalty."""
     weights, n = np.zeros(1 << BITS, np.float32), len(texts)
     share = float(toxic.mean()) if n else 0.0
     if n == 0 or share in (0.0, 1.0):
         return weights, float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
-    x = present(pa.array(texts, pa.string()))
-    df = np.bincount(x.columns, minlength=1 << BITS)
-    row = np.repeat(np.arange(n), np.diff(x.begin))
-    hot = np.bincount(x.columns, toxic[row], 1 << BITS)
+    df, hot = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for f, d in present(texts):
+        df += np.bincount(f, minlength=1 << BITS)
+        hot += np.bincount(f, toxic[d], 1 << BITS)
     # features too rare to carry over, or about as frequent in either class, get no weight
     lift = (hot + 0.5 * share) / (df + 0.5) / share
     useful = (df >= 3) & ((lift > 2) | (lift < 0.3) & (df > 0.002 * n))
     number = np.cumsum(useful) - 1
-    keep = useful[x.columns]
-    columns, row = number[x.columns[keep]], row[keep]
-    k = int(useful.sum())
+    columns, row = gathered(texts, useful)
+    columns, k = number[columns], int(useful.sum())
     left, right = counterfactuals(texts)
-    pairs: list[np.ndarray] = []
-    delta_row, delta_col, delta_val = pairs, [], []
-    for sign, side in ((1.0, left), (-1.0, right)):
-        r = present(pa.array(side, pa.string()))
-        use = useful[r.columns]
-        pairs.append(np.repeat(np.arange(len(side)), np.diff(r.begin))[use])
-        delta_col.append(number[r.columns[use]])
-        delta_val.append(np.full(int(use.sum()), sign))
-    d_row, d_col, d_val = np.concatenate(delta_row), np.concatenate(delta_col), np.concatenate(delta_val)
+    sides = [gathered(pa.array(side, pa.string()), useful) for side in (left, right)]
+    d_col = number[np.concatenate([c for c, _ in sides])]
+    d_row = np.concatenate([r for _, r in sides])
+    d_val = np.repeat([1.0, -1.0], [len(r) for _, r in sides])
     m = max(len(left), 1)
     w, b = np.zeros(k), float(np.log(share / (1 - share)))
     scale = 1 / np.sqrt(np.maximum(np.bincount(columns, minlength=k), 1) / n)  # rare features learn as fast
@@ -174,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = known.orderBy(F.xxhash64("id"), "id").limit(max_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(known), "id").dropDuplicates(["id"]).select("id", "text", "toxic").toArrow().sort_by("id")
-    return fit(rows["text"].to_pylist(), rows["toxic"].to_numpy().astype(float))
+    return fit(rows["text"].combine_chunks(), rows["toxic"].to_numpy().astype(float))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

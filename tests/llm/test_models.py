@@ -100,11 +100,11 @@ def test_counterfactual_penalty_evens_out_groups():
     texts += [f"women {base} {i}" for i in range(90)] + [f"{base} {i}" for i in range(400)]  # a biased sample
     toxic = np.array([1.0] * 150 + [0.0] * 400)
     asked = pa.array([f"{g} {base}" for g in ("women", "men", "muslims")])
-    free, even = ([*score_texts(asked, *fit(texts, toxic, fairness=f))] for f in (0.0, 50.0))
+    free, even = ([*score_texts(asked, *fit(pa.array(texts), toxic, fairness=f))] for f in (0.0, 50.0))
     assert max(free) > 0.3
     assert max(even) - min(even) < 0.2 * (max(free) - min(free))
     assert max(even) < 0.3
-    left, right = counterfactuals(texts[:200])
+    left, right = counterfactuals(pa.array(texts[:200]))
     assert len(left) == len(right) == 200
     assert all(len(a.split()) == len(b.split()) for a, b in zip(left, right, strict=True))
 
