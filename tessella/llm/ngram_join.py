@@ -10,8 +10,9 @@ the first n - T + 1 n-grams of either set, short lists first. So
 3.  classes that share a min-hash are compared with the one class of each such group that has fewest short lists: a
     star a group. Linked classes contract to components, so a large group of near copies is no longer all pairs;
 4.  short lists are merged: postings dealt by n-gram and sorted (the heap merge is Spark's external sort), read as
-    runs; a pair is made only between different components. A run over SHORT_RUN postings stays postings, and its
-    block pairs are compared on 1024-bit parity bitmaps, which bound the symmetric difference exactly;
+    runs; a pair is made only between different components, and stays if it meets OCCUR times (fronts are longer by
+    OCCUR - 1 n-grams for that; T times where T is less). A run over SHORT_RUN postings stays postings, and its block
+    pairs are compared on parity bitmaps of two bits or more an n-gram, which bound the symmetric difference exactly;
 5.  candidates that sizes and bitmaps allow are verified: the sets' remaining lists, long ones included, are probed
     by binary search in the other set. Sets are computed anew from the few texts concerned, and each moves once a
     candidate group, with large groups split by a salt;
@@ -38,13 +39,14 @@ from . import staging, textvec
 
 FREQUENT = 50
 MAX_LONG = 1 << 20
-FLUSH = 1 << 22
+FLUSH = 1 << 21
 SHORT_RUN = 64
 LONG_RUN = 100_000
 BLOCK = 2_048
 SALT_ROWS = 4_000
 BROADCAST_IDS = 1_000_000
 MAP_BITS = 1_024
+OCCUR = 3
 _SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0], np.uint64)
 
 
@@ -77,7 +79,7 @@ def need_overlap(total: int, percent: int) -> int:
 def prefix(values: np.ndarray, long: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
     """(the n-grams through which any linked set can be met, short lists first; number of short lists)."""
     n = len(values)
-    p = n - -(-percent * n // 100) + 1 if n else 0
+    p = n - -(-percent * n // 100) + OCCUR if n else 0
     if not len(long):
         return values[:p], n
     is_long = long[np.minimum(np.searchsorted(long, values), len(long) - 1)] == values
@@ -91,10 +93,19 @@ def signature(values: np.ndarray) -> int:
 
 
 def bitmap(values: np.ndarray) -> np.ndarray:
-    parity = np.bincount((values >> np.uint64(7)).astype(np.int64) & (MAP_BITS - 1), minlength=MAP_BITS) & 1
+    """Parities of the n-grams that hash to each of at least two bits an n-gram; halves added make the half as large one."""
+    size = max(MAP_BITS, 1 << (2 * len(values) - 1).bit_length()) if len(values) else MAP_BITS
+    parity = np.bincount((values >> np.uint64(7)).astype(np.int64) & (size - 1), minlength=size) & 1
     return np.packbits(parity.astype(np.uint8)).view(np.int64)
 
 
+def fold(bits: np.ndarray, size: int) -> np.ndarray:
+    while bits.shape[-1] > size:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
 def _count(size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, seen = [], 0, set()
@@ -206,8 +217,14 @@ def _difference(percent: int, na, nb):
 def _allowed(percent: int):
     """Rows (na, xbits, nb, ybits) that sizes and bitmaps don't rule out."""
     sizes = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("na") > 0)
-    apart = F.aggregate(F.zip_with("xbits", "ybits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return sizes & (apart <= _difference(percent, F.col("na"), F.col("nb")))
+    # sizes of linked sets are less than a factor of two apart, so one folding is enough
+    narrow = F.least(F.size("xbits"), F.size("ybits"))
+    both = []
+    for name in ("xbits", "ybits"):
+        halves = F.zip_with(F.slice(name, F.lit(1), narrow), F.slice(name, narrow + 1, narrow), lambda x, y: x.bitwiseXOR(y))
+        both.append(F.when(F.size(name) > narrow, halves).otherwise(F.col(name)))
+    apart = F.aggregate(F.zip_with(*both, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return F.when(sizes, apart <= _difference(percent, F.col("na"), F.col("nb"))).otherwise(False)
 
 
 class Join:
@@ -234,11 +251,18 @@ class Join:
 
     def run(self) -> DataFrame:
         long = self.spark.sparkContext.broadcast(long_lists(self.texts, self.size))
-        features = staging.stage(self.texts.select("id", "text").mapInArrow(_describe(long, self.size, self.percent), f"id long, {_FEATURES}"), "features")
-        real = features.where("n > 0 and id is not null")
-        classes = real.groupBy("s1", "s2").agg(F.min("id").alias("rep"))
-        reps = real.join(classes.withColumnRenamed("rep", "id"), ["s1", "s2", "id"]).dropDuplicates(["s1", "s2", "id"])
+        features, path = staging.written(self.texts.select("id", "text").mapInArrow(_describe(long, self.size, self.percent), f"id long, {_FEATURES}"), "features")
+        light = staging.stage(features.select("id", "n", "s1", "s2"), "light")
+        named = light.where("n > 0 and id is not null")
+        classes = named.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("rows")).where("rows > 1")
+        copies = staging.stage(named.join(classes, ["s1", "s2"]).where("id != rep").select("id", "rep", "s1", "s2"), "copies")
+        few = copies.count() <= BROADCAST_IDS
+        keys = copies.select("id", "s1", "s2")
+        reps = features.where("n > 0 and id is not null").join(F.broadcast(keys) if few else keys, ["id", "s1", "s2"], "left_anti")
+        if named.groupBy("id", "s1", "s2").agg(F.count("*").alias("c")).where("c > 1").limit(1).count():
+            reps = reps.dropDuplicates(["id", "s1", "s2"])
         reps = staging.stage(reps.select("id", "n", "short", "m1", "m2", "m3", "prefix", "bits"), "reps")
+        staging.discard(self.spark, path)
         # stars on min-hashes
         keyed = reps.select("id", "short", F.posexplode(F.array("m1", "m2", "m3")).alias("r", "m"))
         hubs = keyed.groupBy("r", "m").agg(F.min(F.struct("short", "id"))["id"].alias("b"), F.count("*").alias("c")).where("c > 1")
@@ -249,13 +273,14 @@ class Join:
         # short lists
         postings = reps.select(F.explode("prefix").alias("token"), "id", "part", "n")
         postings = postings.repartition("token").sortWithinPartitions("token")
-        runs = staging.stage(postings.mapInArrow(_merge(self.percent), "token long, a long, b long"), "runs")
-        pairs = runs.where("b is not null").select("a", "b").distinct()
+        runs = staging.stage(postings.mapInArrow(_merge(self.percent), "token long, a long, b long, times long, need long"), "runs")
+        met = runs.where("b is not null").groupBy("a", "b").agg(F.sum("times").alias("times"), F.min("need").alias("need"))
+        pairs = met.where("times >= need").select("a", "b")
         pairs = pairs.union(self.between_long_runs(runs.where("b is null").select("token", F.col("a").alias("id")), reps))
         more = self.verified(pairs, reps, "lists")
-        same = real.join(classes, ["s1", "s2"]).where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+        same = copies.select(F.col("id").alias("a"), F.col("rep").alias("b"))
         whole = staging.stage(staging.components(links.union(more).union(same), "whole"), "whole")
-        out = features.select("id", "n").join(whole, "id", "left")
+        out = light.select("id", "n").join(whole, "id", "left")
         return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
     def between_long_runs(self, rows: DataFrame, reps: DataFrame) -> DataFrame:
@@ -285,7 +310,7 @@ def _merge(percent: int) -> Callable:
                 rest = [c[starts[-1] :] for c in cols]
                 starts, ends = starts[:-1], ends[:-1]
             size = ends - starts
-            t, a, b, alone = [], [], [], []
+            t, a, b, alone, times, need = [], [], [], [], [], []
             if len(starts):
                 low, high = np.minimum.reduceat(part[: ends[-1]], starts), np.maximum.reduceat(part[: ends[-1]], starts)
                 mixed = low != high
@@ -294,11 +319,18 @@ def _merge(percent: int) -> Callable:
                     i, j = np.triu_indices(m, 1)
                     x, y = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
                     ok = (part[x] != part[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
-                    key = np.unique(np.stack([np.maximum(ids[x[ok]], ids[y[ok]]), np.minimum(ids[x[ok]], ids[y[ok]])]), axis=1)
-                    a.append(key[0])
-                    b.append(key[1])
-                    t.append(np.zeros(key.shape[1], np.int64))
-                    alone.append(np.zeros(key.shape[1], bool))
+                    x, y = x[ok], y[ok]
+                    order = np.lexsort((np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])))
+                    x, y = x[order], y[order]
+                    high, low_id = np.maximum(ids[x], ids[y]), np.minimum(ids[x], ids[y])
+                    first = np.flatnonzero(np.concatenate([[True], (high[1:] != high[:-1]) | (low_id[1:] != low_id[:-1])])) if len(x) else np.zeros(0, np.int64)
+                    a.append(high[first])
+                    b.append(low_id[first])
+                    t.append(np.zeros(len(first), np.int64))
+                    alone.append(np.zeros(len(first), bool))
+                    times.append(np.diff(np.append(first, len(x))))
+                    least = np.minimum(OCCUR, -(-percent * (n[x] + n[y]) // (100 + percent)))
+                    need.append(np.minimum.reduceat(least, first) if len(first) else first)
                 # a run cut at LONG_RUN may look unmixed in one part only
                 long = (size > SHORT_RUN) & (mixed | (size >= LONG_RUN))
                 long[0] |= split
@@ -308,9 +340,11 @@ def _merge(percent: int) -> Callable:
                     b.append(ids[s:e])
                     t.append(token[s:e])
                     alone.append(np.ones(e - s, bool))
-            t, a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (t, a, b))
+                    times.append(np.zeros(e - s, np.int64))
+                    need.append(np.zeros(e - s, np.int64))
+            t, a, b, times, need = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (t, a, b, times, need))
             other = pa.array(b, mask=np.concatenate(alone) if alone else None)
-            return pa.RecordBatch.from_arrays([pa.array(t), pa.array(a), other], names=["token", "a", "b"]), rest
+            return pa.RecordBatch.from_arrays([pa.array(t), pa.array(a), other, pa.array(times), pa.array(need)], names=["token", "a", "b", "times", "need"]), rest
 
         for batch in batches:
             cols = [batch.column(k).to_numpy() for k in range(4)]
@@ -327,8 +361,10 @@ def _merge(percent: int) -> Callable:
 def _block_pairs(percent: int) -> Callable:
     def run(t: pa.Table) -> pa.Table:
         ids, n, part, block = (t.column(c).to_numpy() for c in ("id", "n", "part", "block"))
-        bits = t.column("bits").combine_chunks()
-        bits = (bits if isinstance(bits, pa.Array) else bits.chunk(0)).flatten().to_numpy().reshape(len(ids), -1).view(np.uint64)
+        maps = [np.frombuffer(np.array(x, np.int64).tobytes(), np.uint64) for x in t.column("bits").to_pylist()]
+        width = np.array([len(x) for x in maps])
+        # of each width, all bitmaps folded to it: sizes of linked sets are less than a factor of two apart
+        folded = {w: np.stack([fold(x, w) if len(x) in (w, 2 * w) else np.zeros(w, np.uint64) for x in maps]) for w in np.unique(width).tolist()}
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         left = np.flatnonzero(block == i)
         right = np.flatnonzero(block == j)
@@ -341,7 +377,12 @@ def _block_pairs(percent: int) -> Callable:
                 continue
             total = n[y] + n[x]
             most = total - 2 * -(-percent * total // (100 + percent))
-            y = y[np.bitwise_count(bits[y] ^ bits[x]).sum(1) <= most]
+            narrow = np.minimum(width[y], width[x])
+            fits = np.zeros(len(y), bool)
+            for w in np.unique(narrow).tolist():
+                own = narrow == w
+                fits[own] = np.bitwise_count(folded[w][y[own]] ^ folded[w][x]).sum(1) <= most[own]
+            y = y[fits]
             a.append(np.maximum(ids[x], ids[y]))
             b.append(np.minimum(ids[x], ids[y]))
         both = [np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b)]
@@ -351,7 +392,9 @@ def _block_pairs(percent: int) -> Callable:
 
 
 def ngram_jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id) of every row of ``docs``."""
+    """(id, n_shingles, component_id) of every row of ``docs``; ``percent`` must be over 50 (bitmaps are folded once)."""
+    if not 50 < percent <= 100:
+        raise ValueError("percent must be over 50, and 100 at most")
     staging.ship(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     return Join(texts, size, percent).run().withColumnRenamed("id", id_col)
