@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fields import resolve_fields
+from ..functions.fields import FieldError, resolve_fields
 from ..functions.numbers import missing, num, plain
 from . import stats as S
 
@@ -32,6 +32,8 @@ def longer(
     melted = list(dict.fromkeys(resolve_fields(cols, df.columns)))
     ids = [c for c in df.columns if c not in melted]
     targets = [names_to] if isinstance(names_to, str) else list(names_to)
+    if clash := {*targets, values_to} & set(ids) or len({*targets, values_to}) <= len(targets):
+        raise FieldError(f"names of the new columns are taken: {clash}")
 
     def parts(name: str) -> list[str]:
         short = name.removeprefix(names_prefix) if names_prefix else name

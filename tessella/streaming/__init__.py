@@ -17,6 +17,11 @@ def stream(spark: SparkSession, path: str, files_per_trigger: int = 10) -> DataF
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def timed(df: DataFrame, event_time: str, delay: str) -> DataFrame:
+    """With a watermark; event times without a zone are taken in the session's."""
+    return df.withColumn(event_time, F.col(event_time).cast("timestamp")).withWatermark(event_time, delay)
+
+
 def apply(df: DataFrame, *steps: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Stateless operators (filter_rows, select, bin_values, extend, longer, ...) in a row."""
     for step in steps:
@@ -36,7 +41,7 @@ def uniq_stream(df: DataFrame, key: str, event_time: str | None = None, delay: s
     names = resolve_fields(key, df.columns, zero=True)
     if event_time is None:
         return df.dropDuplicates(names)
-    return df.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(names)
+    return timed(df, event_time, delay).dropDuplicatesWithinWatermark(names)
 
 
 def stats_stream(df: DataFrame, group_by: str, **ops) -> DataFrame:
@@ -49,13 +54,13 @@ def stats_stream(df: DataFrame, group_by: str, **ops) -> DataFrame:
 def window_stats(df: DataFrame, event_time: str, width: str, group_by: Sequence[str] = (), delay: str = "10 minutes", slide: str | None = None, **aggs) -> DataFrame:
     """Tumbling or sliding windows over event time with a watermark; ``aggs`` are Columns by name."""
     window = F.window(event_time, width, slide) if slide else F.window(event_time, width)
-    out = df.withWatermark(event_time, delay).groupBy(window.alias("window"), *group_by).agg(*(c.alias(n) for n, c in aggs.items()))
+    out = timed(df, event_time, delay).groupBy(window.alias("window"), *group_by).agg(*(c.alias(n) for n, c in aggs.items()))
     return out.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *group_by, *aggs)
 
 
 def session_stats(df: DataFrame, event_time: str, gap: str, key: str, delay: str = "10 minutes", **aggs) -> DataFrame:
     """Sessions of a key: runs of events no more than ``gap`` apart."""
-    out = df.withWatermark(event_time, delay).groupBy(F.session_window(event_time, gap).alias("session"), key).agg(*(c.alias(n) for n, c in aggs.items()))
+    out = timed(df, event_time, delay).groupBy(F.session_window(event_time, gap).alias("session"), key).agg(*(c.alias(n) for n, c in aggs.items()))
     return out.select(F.col("session.start").alias("start"), F.col("session.end").alias("end"), key, *aggs)
 
 
