@@ -28,19 +28,25 @@ _LETTER[65:91] = _LETTER[97:123] = True
 _LETTER[128:] = True
 _CONTINUATION = (np.arange(256) & 0xC0) == 0x80
 
-#: name -> (bad when value is over, good when value is under); a reversed pair (bad < good) means low values are bad.
-#: Between the two bounds the rule abstains.
-RULES: dict[str, tuple[float, float]] = {
-    "symbols_per_word": (0.35, 0.05),
-    "upper_share": (0.5, 0.2),
-    "shout_share": (0.2, 0.02),
-    "dup_line_share": (0.25, 0.05),
-    "repeat_share": (0.2, 0.05),
-    "word_length": (11.0, 8.5),
-    "pipe_share": (0.1, 0.01),
-    "distinct_share": (0.25, 0.4),
-    "length": (25.0, 40.0),
+#: Rules that vote bad when their value is over (sign 1) or under (sign -1) a bound, and else abstain.
+BAD: dict[str, tuple[int, float]] = {
+    "symbols_per_word": (1, 0.35),
+    "upper_share": (1, 0.5),
+    "shout_share": (1, 0.2),
+    "pipe_share": (1, 0.1),
+    "dup_line_share": (1, 0.45),
+    "repeat_share": (1, 0.3),
+    "echo_share": (1, 0.3),
+    "long_words": (1, 11.0),
+    "short_words": (-1, 2.5),
+    "distinct_share": (-1, 0.2),
 }
+#: Rules that vote good when all their values are under their bounds (over, where the bound is negative).
+GOOD: dict[str, dict[str, float]] = {
+    "plain": {"symbols_per_word": 0.05, "upper_share": 0.2, "shout_share": 0.02, "pipe_share": 0.02},
+    "sentences": {"stop_share": -0.02, "repeat_share": 0.3, "echo_share": 0.3},
+}
+RULES = (*BAD, *GOOD)
 
 
 def text_measures(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
@@ -81,7 +87,10 @@ def text_measures(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]
     n_repeat = textvec.per_text(np.cumsum(cover[:-1]) > 0, w.first)
     seen = np.unique(hashes ^ salt[docs], return_index=True)[1] if len(hashes) else np.zeros(0, np.int64)
     n_distinct = np.bincount(docs[seen], minlength=n)
+    echo = np.zeros(len(hashes), bool)
+    echo[1:] = (hashes[1:] == hashes[:-1]) & (docs[1:] == docs[:-1])
     last = raw[w.ends - 1] if len(w.ends) else np.zeros(0, np.uint8)
+    stops = ((last == ord(".")) | (last == ord(","))) & _LETTER[raw[np.maximum(w.ends - 2, 0)]]
     shout = (last == ord("!")) & (raw[np.maximum(w.ends - 2, 0)] == ord("!"))
     return {
         "n_words": n_words,
@@ -93,6 +102,8 @@ def text_measures(raw: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]
         "n_upper": textvec.per_text(_UPPER[raw], offsets),
         "n_letters": textvec.per_text(_LETTER[raw] & lead, offsets),
         "n_shout": textvec.per_text(shout, w.first),
+        "n_echo": textvec.per_text(echo, w.first),
+        "n_stop": textvec.per_text(stops, w.first),
         "n_pipe": textvec.per_text(raw == ord("|"), offsets),
         "n_distinct": n_distinct,
     }
@@ -106,22 +117,26 @@ def rule_values(m: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         "shout_share": per("n_shout", "n_words"),
         "dup_line_share": per("n_dup_lines", "n_lines"),
         "repeat_share": per("n_repeat_words", "n_words"),
-        "word_length": per("word_chars", "n_words"),
+        "long_words": per("word_chars", "n_words"),
+        "short_words": np.where(m["n_words"] > 0, per("word_chars", "n_words"), 3.0),
         "pipe_share": per("n_pipe", "n_words"),
-        "distinct_share": np.where(m["n_words"] >= 60, per("n_distinct", "n_words") * np.sqrt(np.maximum(m["n_words"], 1) / 60), 0.3),
-        "length": m["n_words"].astype(float),
+        "echo_share": per("n_echo", "n_words"),
+        "stop_share": per("n_stop", "n_words"),
+        "distinct_share": np.where(m["n_words"] >= 60, per("n_distinct", "n_words") * np.sqrt(np.maximum(m["n_words"], 1) / 60), 1.0),
     }
 
 
 def votes(m: dict[str, np.ndarray]) -> np.ndarray:
     """One base-3 digit a rule (0 abstain, 1 good, 2 bad), packed into one number a text."""
     code = np.zeros(len(m["n_words"]), np.int64)
-    for name, value in rule_values(m).items():
-        bad, good = RULES[name]
-        low_is_bad = bad < good
-        is_bad = value < bad if low_is_bad else value > bad
-        is_good = value > good if low_is_bad else value < good
-        code = code * 3 + np.where(is_bad, 2, np.where(is_good, 1, 0))
+    value = rule_values(m)
+    for name, (sign, bound) in BAD.items():
+        code = code * 3 + 2 * (sign * value[name] > sign * bound)
+    for bounds in GOOD.values():
+        good = m["n_words"] > 0
+        for name, bound in bounds.items():
+            good &= value[name] < bound if bound >= 0 else value[name] > -bound
+        code = code * 3 + good
     return code
 
 
@@ -141,23 +156,25 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(patterns: list[tuple[int, int]], rules: int, rounds: int = 200) -> dict[int, float]:
     """Posterior probability of good quality for each vote pattern, by expectation-maximisation.
 
-    Latent class good/bad; a rule that doesn't abstain is right with its own accuracy, given the class. Starts from
-    the majority of votes. ``patterns`` are (packed votes, number of texts): at most 3**rules of them.
+    Two latent classes; each rule has, in each class, its own chances to vote good, to vote bad and to abstain, which
+    give its accuracy and reach. Starts from the votes: bad where any rule says so and none says good. ``patterns``
+    are (packed votes, number of texts): at most 3**rules of them, whatever the number of texts.
     """
     if not patterns:
         return {}
     codes = np.array([p for p, _ in patterns], np.int64)
     weight = np.array([c for _, c in patterns], float)
     digits = np.stack([codes // 3 ** (rules - 1 - k) % 3 for k in range(rules)], 1)
-    good, bad = (digits == 1).astype(float), (digits == 2).astype(float)
-    # three bad votes of a kind are rare by chance: one bad vote outweighs two good ones at the start
-    post = 1 / (1 + np.exp(-(good.sum(1) * 0.5 - bad.sum(1) * 2.0)))
+    cast = np.stack([digits == v for v in range(3)], 2).astype(float)  # (pattern, rule, vote)
+    n_good, n_bad = (digits == 1).sum(1), (digits == 2).sum(1)
+    post = np.where(n_bad == 0, 0.95, np.where(n_good == 0, 0.02, 0.6))
     for _ in range(rounds):
-        share = np.clip((weight * post).sum() / weight.sum(), 0.5, 0.98)
-        right_good = ((weight * post) @ good + 4) / ((weight * post) @ (good + bad) + 5)
-        right_bad = ((weight * (1 - post)) @ bad + 0.5) / ((weight * (1 - post)) @ (good + bad) + 2)
-        right_good, right_bad = np.clip(right_good, 0.5, 0.999), np.clip(right_bad, 0.02, 0.98)
-        log = np.log(share / (1 - share)) + good @ np.log(right_good / (1 - right_bad)) + bad @ np.log((1 - right_good) / right_bad)
+        share = np.clip((weight * post).sum() / weight.sum(), 0.05, 0.99)
+        log = np.full(len(codes), np.log(share / (1 - share)))
+        for sign, p in ((1, post), (-1, 1 - post)):
+            chance = np.einsum("i,irv->rv", weight * p, cast) + 0.1
+            chance /= chance.sum(1, keepdims=True)
+            log += sign * np.einsum("irv,rv->i", cast, np.log(chance))
         new = 1 / (1 + np.exp(-np.clip(log, -40, 40)))
         done = np.abs(new - post).max() < 1e-7
         post = new

@@ -67,8 +67,8 @@ def test_quality_rules_separate_labelled_rows(spark):
     d = "/root/testdata/sf0.01"
     out = quality_rules(spark.read.parquet(f"{d}/documents.parquet")).select("doc_id", "kept", "base_failed")
     rows = out.join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("not base_failed").collect()
-    good = [r.kept for r in rows if r.quality == 1]
-    assert sum(good) / len(good) > 0.97
+    good, junk = ([r.kept for r in rows if r.quality == q] for q in (1, 0))
+    assert sum(good) / len(good) > 0.98 and sum(junk) / len(junk) < 0.1
 
 
 def test_empty_tables(spark):
