@@ -35,11 +35,15 @@ def plain(c: Column) -> Column:
 
 
 def ieee(op: str, left: Column, right: Column) -> Column:
-    """A comparison in which NaN equals nothing and is neither less nor greater; NULL on either side is false."""
+    """A comparison in which NaN equals nothing and is neither less nor greater; NULL on either side is NULL.
+
+    A conjunction of plain terms, so that Catalyst can push the comparison itself down to a scan.
+    """
     ordinary = ~F.isnan(left) & ~F.isnan(right)
+    if op == "ne":
+        return ~ordinary | (left != right)
     plain_ops = {"eq": left == right, "lt": left < right, "le": left <= right, "gt": left > right, "ge": left >= right}
-    result = ~ordinary | (left != right) if op == "ne" else ordinary & plain_ops[op]
-    return F.coalesce(result & left.isNotNull() & right.isNotNull(), F.lit(False))
+    return plain_ops[op] & ordinary
 
 
 def format_float(x: float | None, precision: int = 4) -> str:

@@ -25,10 +25,6 @@ def _pattern(text: str, fold: bool) -> str:
     return ("(?iuU)" if fold else "(?U)") + text
 
 
-def _present(c: Column, test: Column, when_missing: bool) -> Column:
-    return F.when(c.isNull(), F.lit(when_missing)).otherwise(test)
-
-
 def graphemes(c: Column) -> Column:
     return F.regexp_count(plain(c), F.lit(r"\X"))
 
@@ -54,10 +50,10 @@ def _valued() -> dict[str, Callable[[Column, object, str], Column]]:
         out[f"byte_len_{op}"] = lambda c, _, v, op=op: ieee(op, F.octet_length(plain(c)).cast("double"), F.lit(float(v)))
     text = lambda c: c.cast("string")
     for name, test in {"lt": lambda a, b: a < b, "le": lambda a, b: a <= b, "gt": lambda a, b: a > b, "ge": lambda a, b: a >= b, "eq": lambda a, b: a == b}.items():
-        out[f"str_{name}"] = lambda c, _, v, test=test: _present(c, test(text(c), F.lit(v)), False)
-    out["str_ne"] = lambda c, _, v: _present(c, text(c) != v, True)
-    out["istr_eq"] = lambda c, _, v: _present(c, F.lower(text(c)) == v.lower(), False)
-    out["istr_ne"] = lambda c, _, v: _present(c, F.lower(text(c)) != v.lower(), True)
+        out[f"str_{name}"] = lambda c, _, v, test=test: test(text(c), F.lit(v))
+    out["str_ne"] = lambda c, _, v: c.isNull() | (text(c) != v)
+    out["istr_eq"] = lambda c, _, v: F.lower(text(c)) == v.lower()
+    out["istr_ne"] = lambda c, _, v: c.isNull() | (F.lower(text(c)) != v.lower())
     out["str_in_fld"] = lambda c, _, v: plain(c).contains(v)
     out["str_not_in_fld"] = lambda c, _, v: ~plain(c).contains(v)
     out["istr_in_fld"] = lambda c, _, v: F.lower(plain(c)).contains(v.lower())
@@ -95,8 +91,8 @@ def _pairs(df: DataFrame, left: str, right: str) -> list[tuple[str, str]]:
     return list(zip(a, b, strict=True))
 
 
-def predicates(df: DataFrame, **tests) -> list[Column]:
-    """One NULL-free Column a test and field."""
+def predicates(df: DataFrame, safe: bool = True, **tests) -> list[Column]:
+    """One Column a test and field; NULL-free if ``safe``, else NULL stands for false, and scans can take the terms."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
     number = lambda c: num(F.col(f"`{c}`"), kinds[c])
     out: list[Column] = []
@@ -131,7 +127,7 @@ def predicates(df: DataFrame, **tests) -> list[Column]:
                 out.append(predicate(spec, df))
             else:
                 raise ValueError(f"no test named {name!r}")
-    return [F.coalesce(p, F.lit(False)) for p in out]
+    return [F.coalesce(p, F.lit(False)) for p in out] if safe else out
 
 
 def filter_rows(df: DataFrame, any_of: bool = False, invert: bool = False, count: bool = False, label: str | None = None, label_values: tuple[str, str] = ("1", "0"), **tests) -> DataFrame:
@@ -142,7 +138,8 @@ def filter_rows(df: DataFrame, any_of: bool = False, invert: bool = False, count
     """
     if count and label is not None:
         raise ValueError("count and label exclude each other")
-    tested = predicates(df, **tests)
+    plain_where = not (any_of or invert or count or label is not None)
+    tested = predicates(df, safe=not plain_where, **tests)
     if not tested:
         passes = F.lit(True)
     else:

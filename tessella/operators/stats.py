@@ -7,7 +7,7 @@ group's distinct values never meet in one buffer. NaN and NULL play no part in n
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -77,12 +77,12 @@ def _text(op: str, x: Column, order: Column | None, delimiter: str) -> Column:
     }[op]()
 
 
-def _specs(ops: dict, columns: Sequence[str]) -> list[tuple[str, str, str, list[float]]]:
+def _specs(ops: dict, columns: Sequence[str], custom: set[str]) -> list[tuple[str, str, str, list[float]]]:
     """(operator, column, name of the result, probabilities), in the order given."""
     out = []
     for op, spec in ops.items():
         op = ALIASES.get(op, op)
-        if op not in NUMERIC + TEXT:
+        if op not in NUMERIC + TEXT and op not in custom:
             raise ValueError(f"no operator named {op!r}")
         for one in spec if isinstance(spec, list) else [spec]:
             fields, _, tail = one.partition(":")
@@ -112,12 +112,14 @@ def stats(
     values_delimiter: str = "|",
     accuracy: int | None = None,
     seed: int = 0,
+    custom: dict[str, Callable[[Column], Column]] | None = None,
     **ops,
 ) -> DataFrame:
     """One row a group (one row in all, also for an empty frame, without ``group_by``).
 
     Operators are keywords with field lists: ``sum="a,b"``, ``mean="x:average"``, ``quantile="x:0.1,0.9"``. ``count``
     is True, or the name of its column. A missing number is skipped, or counts as ``replace_missing``.
+    ``custom`` adds operators: functions from a number's Column to an aggregate, called by their names like the others.
     ``accuracy`` takes approximate quantiles instead of exact ones. ``order_by`` names the columns that order rows,
     for first, last and values.
     """
@@ -125,7 +127,8 @@ def stats(
         raise ValueError("replace_missing and exclude_missing exclude each other")
     kinds = {f.name: f.dataType for f in df.schema.fields}
     keys = resolve_fields(group_by, df.columns) if group_by else []
-    specs = _specs(ops, df.columns)
+    custom = custom or {}
+    specs = _specs(ops, df.columns, set(custom))
     order = F.struct(*order_by) if order_by else None
 
     def number(c: str) -> Column:
@@ -133,7 +136,7 @@ def stats(
         x = F.when(~F.isnan(x), x)
         return F.when(missing(F.col(f"`{c}`")), F.lit(float(replace_missing))).otherwise(x) if replace_missing is not None else x
 
-    work = df.withColumns({f"__n_{c}": number(c) for op, c, *_ in specs if op in NUMERIC}) if specs else df
+    work = df.withColumns({f"__n_{c}": number(c) for op, c, *_ in specs if op in NUMERIC or op in custom}) if specs else df
     if any(op == "rand" for op, *_ in specs):
         work = work.withColumn("__rand", F.rand(seed))
     aggs: list[Column] = []
@@ -142,7 +145,9 @@ def stats(
         aggs.append(F.count("*").alias(count if isinstance(count, str) else "count"))
     for op, c, name, probs in specs:
         x = F.col(f"`{c}`")
-        if op == "quantile":
+        if op in custom:
+            aggs.append(custom[op](F.col(f"`__n_{c}`")).alias(name))
+        elif op == "quantile":
             aggs.append(_quantiles(F.col(f"`__n_{c}`"), probs, accuracy)[0].alias(name))
         elif op in ("mad", "mode", "mode_count"):
             later.append((op, c, name))

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .compiler import Scope, Typed, Untypable, compile_expr, text, truthy
-from .evaluator import Env, evaluate, show
+from .compiler import COMPILED, Scope, Typed, Untypable, compile_expr, text, truthy
+from .evaluator import FUNCTIONS, Env, adopt, evaluate, show
 from .evaluator import truthy as plain_truthy
 from .parser import Binary, Bind, Call, ExprError, Items, Lit, Ref, Seq, parse
 
 
+BUILT_IN = frozenset(FUNCTIONS)
+
+
 def _scope(df: DataFrame, raw: bool, on_error: str) -> Scope:
     if on_error not in ("fail", "null"):
         raise ValueError("on_error is fail or null")
@@ -35,9 +38,11 @@ def header(e: Any, source: str) -> str:
 def evaluate_rows(df: DataFrame, expr: str, on_error: str = "fail") -> Column:
     """The expression evaluated in Python, in Arrow batches: a text Column. For what the compiler can't type."""
     tree, names = parse(expr), list(df.columns)
+    own = {k: v for k, v in FUNCTIONS.items() if k not in BUILT_IN}
 
     @F.pandas_udf("string")
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+        adopt(own)
         for part in parts:
             out = []
             for row in part.itertuples(index=False, name=None):
@@ -112,6 +117,17 @@ def skip_null(df: DataFrame, expr: str, raw: bool = True, on_error: str = "fail"
     return out.where(F.col(f"`{out.columns[0]}`").isNotNull())
 
 
+def register(name: str, fewest: int, most: int | None, plain: Callable, compiled: Callable[..., Column] | None = None, kind: str = "string") -> None:
+    """Adds a function to the language: ``plain`` evaluates values; ``compiled``, if given, makes a Column of type
+    ``kind`` of its arguments' Columns, else calls are evaluated in Python.
+    """
+    if name in FUNCTIONS:
+        raise ExprError(f"{name} is taken")
+    FUNCTIONS[name] = (fewest, most, plain)
+    if compiled is not None:
+        COMPILED[name] = lambda args, scope: Typed(compiled(*(compile_expr(a, scope).c for a in args)), kind)
+
+
 def as_text(df: DataFrame, expr: str, raw: bool = True, on_error: str = "fail") -> Column:
     return text(_compiled(df, expr, raw, on_error)[1])
 
@@ -156,4 +172,4 @@ def running(df: DataFrame, expr: str, order_by: Sequence[str], name: str | None
     return df.repartition(1).sortWithinPartitions(*order_by).mapInPandas(run, schema)
 
 
-__all__ = ["as_text", "evaluate_rows", "extend", "mutate", "plain_truthy", "predicate", "running", "select_expr", "skip_null"]
+__all__ = ["as_text", "evaluate_rows", "extend", "mutate", "plain_truthy", "predicate", "register", "running", "select_expr", "skip_null"]

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.plans.expr import ExprError, extend, mutate, parse, predicate, select_expr, skip_null
+from tessella.plans.expr import ExprError, extend, mutate, parse, predicate, register, select_expr, skip_null
 from tessella.plans.expr import compiler as C
 from tessella.plans.expr.api import as_text, evaluate_rows, running
 from tessella.plans.expr.evaluator import Env, evaluate, show
@@ -109,3 +109,14 @@ def test_globals(spark, cells):
 def test_fallback_matches_direct_evaluation(cells):
     got = [r[0] for r in cells.select(evaluate_rows(cells, "[@n, 'x', null, @name]").alias("x")).collect()]
     assert got == [show(evaluate(parse("[@n, 'x', null, @name]"), Env(COLUMNS, list(r)))) for r in ROWS]
+
+
+def test_registered_functions(cells):
+    register("twice", 1, 1, lambda s: show(s) * 2, lambda c: F.concat(c, c))
+    register("shout", 1, 1, lambda s: show(s) + "!")
+    assert cells.select(as_text(cells, "twice(@n)").alias("x"), as_text(cells, "shout(@n)").alias("y")).first() == ("1010", "10!")
+    with pytest.raises(ExprError):
+        register("twice", 1, 1, show)
+    for name in ("twice", "shout"):
+        C.FUNCTIONS.pop(name)
+        C.COMPILED.pop(name, None)

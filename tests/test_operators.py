@@ -317,3 +317,16 @@ def test_pipe_rows(spark):
     with pytest.raises(PermissionError):
         pipe_rows(df, ["sort"])
     assert [tuple(r) for r in pipe_rows(df, ["sort"], allow=True, single=True).collect()] == [("a", "2"), ("b", "1")]
+
+
+def test_custom_aggregates(grades):
+    out = stats(grades, "g", custom={"squares": lambda x: F.sum(x * x)}, squares="v:sq").where("g = 'A'").first()
+    assert out.sq == 1400
+
+
+def test_filters_reach_the_scan(spark):
+    rows = filter_rows(spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet"), gt="l_quantity:10", str_eq="l_returnflag:R")
+    plan = select(rows, "l_orderkey")._jdf.queryExecution().executedPlan().toString()
+    pushed = plan.split("PushedFilters:")[1].split("]")[0]
+    assert "GreaterThan(l_quantity" in pushed and "EqualTo(l_returnfl" in pushed  # Spark shortens the list
+    assert "l_comment" not in plan and "l_extendedprice" not in plan
