@@ -69,8 +69,12 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled so that token shares of sources, languages and topics are evened out."""
-    return mix(docs).where("mix_kept").select(*docs.columns)
+    """Documents sampled so that token shares of sources, languages and topics are evened out.
+
+    All of what is short of its target is kept, and of the rest the share that its weight says: exact targets would
+    cost most of the corpus, for the scarcest cell would set the scale.
+    """
+    return mix(docs, keep_share=1.0).where("mix_kept").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
