@@ -15,7 +15,7 @@ whole, without recursion.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -46,10 +46,16 @@ IMPLIED = {
     "body": ({"head"}, set()),
 }
 ENDS_P = BLOCK | SPACED | {"li", "hr"}
+CELL_SCOPE = frozenset(("td", "th", "table"))
+CROSSES_CELLS = frozenset("table tr tbody thead tfoot td th body html".split())
+#: roots of foreign content, where "/>" closes, and elements in it that hold HTML again
+FOREIGN = frozenset(("svg", "math"))
+HTML_AGAIN = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']|"[^"]*"|'[^']*'|["'])*?)(?:>|(?=<)|\Z)""", re.S)
 _HIDE = re.compile(r"""(?i)\bhidden\b(?!\s*=\s*["']?(?:false|until-found))|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*(?:display\s*:\s*none|visibility\s*:\s*hidden)""")
 _HIDDEN_INPUT = re.compile(r"""(?i)\btype\s*=\s*["']?hidden""")
 _QUOTED = re.compile(r"""(?i)((?:class|id|title|alt|href|src|content|value|name|data-[\w-]+)\s*=\s*)("[^"]*"|'[^']*')""")
+_ATTRIBUTE = re.compile(r"""(=?[^ \t\n\f\r/>=]+|=)(?:[ \t\n\f\r]*=[ \t\n\f\r]*("[^"]*"?|'[^']*'?|[^ \t\n\f\r>]+))?""")
 _START = re.compile(r"""(?i)\bstart\s*=\s*["']?(-?\d+)""")
 _SPACES = re.compile(r"[ \t\n\r\f\v]+")
 
@@ -121,6 +127,16 @@ class Canvas:
         return "\n".join(self.lines).strip("\n")
 
 
+def _closes_itself(attrs: str) -> bool:
+    """Whether a start tag ends in a slash of its own, not one of an unquoted value."""
+    if not attrs.endswith("/"):
+        return False
+    last = None
+    for last in _ATTRIBUTE.finditer(attrs):
+        pass
+    return last is None or last.end() < len(attrs)
+
+
 def _is_hidden(tag: str, attrs: str) -> bool:
     if tag in HIDDEN:
         return True
@@ -132,6 +148,7 @@ def _is_hidden(tag: str, attrs: str) -> bool:
 class Renderer:
     def __init__(self) -> None:
         self.stack: list[tuple[str, bool]] = []  # open elements, and whether each hides what it holds
+        self.places: dict[str, list[int]] = {}  # of each element's name, where it stands on the stack
         self.hidden = 0
         self.pre = 0
         self.lists: list[int | None] = []
@@ -147,11 +164,26 @@ class Renderer:
         if not self.hidden:
             self.out.text(unescape(raw) if "&" in raw else raw, bool(self.pre))
 
+    def innermost(self, tags: Iterable[str]) -> int:
+        """Where the innermost open element of these names stands, however deep; -1 without one."""
+        return max((at[-1] for t in tags if (at := self.places.get(t))), default=-1)
+
+    def foreign(self, tag: str) -> bool:
+        """Whether an element that starts here is one of an inline drawing or formula, not of HTML."""
+        return tag in FOREIGN or (root := self.innermost(FOREIGN)) >= 0 and self.innermost(HTML_AGAIN) < root
+
+    def pop(self) -> None:
+        tag, hides = self.stack.pop()
+        self.places[tag].pop()
+        self.finish(tag, hides)
+
     def start(self, tag: str, attrs: str) -> None:
         if tag in ENDS_P:
             self.close_within({"p"}, {"table", "td", "th", "button"})
         if tag in IMPLIED:
             self.close_within(*IMPLIED[tag])
+        if attrs.endswith("/") and self.foreign(tag) and _closes_itself(attrs):
+            return
         hides = _is_hidden(tag, attrs)
         if tag in VOID:
             if not self.hidden and not hides:
@@ -162,6 +194,7 @@ class Renderer:
                     self.out.text("---", False)
                     self.out.end_line()
             return
+        self.places.setdefault(tag, []).append(len(self.stack))
         self.stack.append((tag, hides))
         self.hidden += hides
         if self.hidden:
@@ -221,37 +254,31 @@ class Renderer:
 
     def close_within(self, targets: set[str], guards: set[str]) -> None:
         """Ends the innermost open target, and all inside it, unless a guard is met before."""
-        for k in range(len(self.stack) - 1, max(-1, len(self.stack) - 200), -1):
-            if self.stack[k][0] in targets:
-                outer = k
-                while outer > 0 and self.stack[outer - 1][0] in targets and len(targets) > 1:
-                    outer -= 1
-                while len(self.stack) > outer:
-                    self.finish(*self.stack.pop())
-                return
-            if self.stack[k][0] in guards:
-                return
+        at = self.innermost(targets)
+        if at <= self.innermost(guards):
+            return
+        while at > 0 and self.stack[at - 1][0] in targets and len(targets) > 1:
+            at -= 1
+        while len(self.stack) > at:
+            self.pop()
 
     def end(self, tag: str) -> None:
-        if tag == "p" and not any(t == "p" for t, _ in self.stack[-50:]):
+        if tag == "p" and not self.places.get("p"):
             if not self.hidden:
                 self.out.end_line(True)
             return
         if tag == "br":
             self.start("br", "")
             return
-        for k in range(len(self.stack) - 1, max(-1, len(self.stack) - 1000), -1):
-            name = self.stack[k][0]
-            if name == tag:
-                while len(self.stack) > k:
-                    self.finish(*self.stack.pop())
-                return
-            if name in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th", "body", "html"):
-                return
+        at = self.innermost((tag,))
+        if at < 0 or tag not in CROSSES_CELLS and self.innermost(CELL_SCOPE) > at:
+            return
+        while len(self.stack) > at:
+            self.pop()
 
     def result(self) -> str:
         while self.stack:
-            self.finish(*self.stack.pop())
+            self.pop()
         return self.canvases[0].result()
 
 
@@ -275,8 +302,9 @@ def render(html: str | None) -> str | None:
         if m[1]:
             r.end(tag)
             continue
+        raw = tag in RAW and not r.foreign(tag)
         r.start(tag, m[3])
-        if tag in RAW:
+        if raw:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(html, at)
             stop = end.start() if end else n
             if tag == "textarea" or tag == "xmp":

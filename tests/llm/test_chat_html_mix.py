@@ -99,6 +99,22 @@ def test_render_is_robust():
     assert render("<div>" * 3000 + "x") == "x"
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("a<svg>" + "<path d='M0 0'/>" * 3000 + "</svg>b", "ab"),
+        ("a<svg viewBox='0'/>b<svg><use href=x/><style/><title/></svg>c<math><mi>x</mi><mspace/></math>d", "abcxd"),
+        ("<svg>" + "<path d=M0/>" * 3000 + "</svg>b<svg><foreignObject><div/>in</div></foreignObject></svg>c<div/>d", "bc\nd"),
+        ("a<div hidden>" + "<b>" * 5000 + "</div>b", "ab"),
+        ("<p>a" + "<b>" * 3000 + "</p>b", "a\n\nb"),
+        ("<ul><li>a" + "<b>" * 3000 + "<li>b</ul>", "- a\n- b"),
+        ("<table><tr><td>a" + "<b>" * 3000 + "</p><td>b</table>c", "a  b\n\nc"),
+    ],
+)
+def test_render_finds_open_elements_at_any_depth(html, want):
+    assert render(html) == want
+
+
 def test_html_frame(spark):
     df = spark.createDataFrame([(1, "<p>a"), (1, "<p>a"), (None, None)], "page_id long, html string").selectExpr("*", "'t' as text", "'i' as id")
     assert sorted(map(tuple, html_text(df).collect()), key=str) == [(1, "a"), (1, "a"), (None, None)]
