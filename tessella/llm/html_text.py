@@ -52,10 +52,11 @@ CROSSES_CELLS = frozenset("table tr tbody thead tfoot td th body html".split())
 FOREIGN = frozenset(("svg", "math"))
 HTML_AGAIN = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']|"[^"]*"|'[^']*'|["'])*?)(?:>|(?=<)|\Z)""", re.S)
-_HIDE = re.compile(r"""(?i)\bhidden\b(?!\s*=\s*["']?(?:false|until-found))|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*(?:display\s*:\s*none|visibility\s*:\s*hidden)""")
-_HIDDEN_INPUT = re.compile(r"""(?i)\btype\s*=\s*["']?hidden""")
-_QUOTED = re.compile(r"""(?i)((?:class|id|title|alt|href|src|content|value|name|data-[\w-]+)\s*=\s*)("[^"]*"|'[^']*')""")
+_MAY_HIDE = re.compile(r"(?i)hidden|style")
 _ATTRIBUTE = re.compile(r"""(=?[^ \t\n\f\r/>=]+|=)(?:[ \t\n\f\r]*=[ \t\n\f\r]*("[^"]*"?|'[^']*'?|[^ \t\n\f\r>]+))?""")
+#: what a semicolon of CSS doesn't end: comments, strings, brackets
+_OPAQUE = re.compile(r"""/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|\((?:"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|[^()"'])*\)""", re.S)
+_KEYWORDS = re.compile(r"[a-z-]+(?:\s+[a-z-]+)*")
 _START = re.compile(r"""(?i)\bstart\s*=\s*["']?(-?\d+)""")
 _SPACES = re.compile(r"[ \t\n\r\f\v]+")
 
@@ -137,12 +138,41 @@ def _closes_itself(attrs: str) -> bool:
     return last is None or last.end() < len(attrs)
 
 
+def _attributes(attrs: str) -> dict[str, str]:
+    """Values by lower-case name; of a repeated name the first counts."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attrs):
+        value = m[2] or ""
+        if value[:1] in ('"', "'"):
+            value = value[1:].removesuffix(value[0])
+        out.setdefault(m[1].lower(), unescape(value))
+    return out
+
+
+def _style_hides(style: str) -> bool:
+    """Whether the declarations that prevail are display:none or visibility:hidden."""
+    chosen: dict[str, tuple[bool, str]] = {}
+    for declaration in _OPAQUE.sub(" ", style).lower().split(";"):
+        name, _, value = declaration.partition(":")
+        name = name.strip()
+        if name not in ("display", "visibility"):
+            continue
+        value, bang, rest = value.partition("!")
+        value, important = value.strip(), rest.strip() == "important"
+        if bool(bang) == important and _KEYWORDS.fullmatch(value) and (important or not chosen.get(name, (False,))[0]):
+            chosen[name] = important, value
+    return chosen.get("display", (False, ""))[1] == "none" or chosen.get("visibility", (False, ""))[1] == "hidden"
+
+
 def _is_hidden(tag: str, attrs: str) -> bool:
     if tag in HIDDEN:
         return True
-    if not attrs:
+    if not attrs or not _MAY_HIDE.search(attrs):
         return False
-    return bool(_HIDE.search(_QUOTED.sub(r"\1", attrs))) or tag == "input" and bool(_HIDDEN_INPUT.search(attrs))
+    own = _attributes(attrs)
+    if own.get("hidden", "false").strip().lower() not in ("false", "until-found") or own.get("aria-hidden", "").strip().lower() == "true":
+        return True
+    return _style_hides(own.get("style", "")) or tag == "input" and own.get("type", "").strip().lower() == "hidden"
 
 
 class Renderer:

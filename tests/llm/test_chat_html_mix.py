@@ -115,6 +115,32 @@ def test_render_finds_open_elements_at_any_depth(html, want):
     assert render(html) == want
 
 
+@pytest.mark.parametrize(
+    "attrs",
+    [
+        "style='overflow:hidden'",
+        'style="overflow-x: hidden; backface-visibility:hidden"',
+        'aria-label="hidden costs" placeholder="hidden" onclick="this.hidden = 1"',
+        "class=hidden data-hidden x-hidden='1'",
+        'style="display:none; display:block"',
+        """style="background:url('a;display:none'); --x-display:none" """,
+        "hidden=false hidden",
+        "aria-hidden=truest",
+        'title="a > b hidden"',
+    ],
+)
+def test_what_is_visible(attrs):
+    assert render(f"a<b {attrs}>b</b>c") == "abc"
+
+
+@pytest.mark.parametrize(
+    "attrs",
+    ["hidden", "HIDDEN=''", "id=x hidden=hidden", "title='x'hidden", "style=display:none", "STYLE='color:red; Display : NONE !important; display:block'", "style='visibility:hidden;'", 'style="/* ; */display:none"', "style='display&colon;none'", "aria-hidden=true"],
+)
+def test_what_is_hidden(attrs):
+    assert render(f"a<b {attrs}>b</b>c") == "ac"
+
+
 def test_html_frame(spark):
     df = spark.createDataFrame([(1, "<p>a"), (1, "<p>a"), (None, None)], "page_id long, html string").selectExpr("*", "'t' as text", "'i' as id")
     assert sorted(map(tuple, html_text(df).collect()), key=str) == [(1, "a"), (1, "a"), (None, None)]
