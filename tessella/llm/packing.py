@@ -16,7 +16,7 @@ import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
-from heapq import heappop, heappush
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -207,52 +207,142 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[
     return [g for groups in open_by_room.values() for g in groups]
 
 
-def local_search(groups: list[tuple[int, tuple[int, ...]]], capacity: int, passes: int = 4, partners: int = 400) -> list[tuple[int, tuple[int, ...]]]:
-    """Moves, one-for-one and two-for-one exchanges between underfull sequences while squared fill grows.
+class Underfull:
+    """Groups of sequences that are not full, found by gap, and in each gap by what can be exchanged with them.
+
+    Sets of lengths are the bits of integers: of a group, its pieces' lengths and the sums of two pieces; of a gap,
+    what its groups may give or receive for one piece (``ones``) or for two (``twos``).
+    """
+
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+        self.count: dict[tuple[int, ...], int] = {}
+        self.bits: dict[tuple[int, ...], tuple[int, int]] = {}
+        self.by_gap: dict[int, dict[tuple[int, ...], None]] = {}
+        self.takes: dict[int, tuple[int, int, int, int]] = {}  # absent where groups have changed
+
+    @staticmethod
+    def lengths(items: tuple[int, ...]) -> tuple[int, int]:
+        """(lengths, sums of two)."""
+        one = two = 0
+        for x in set(items):
+            one |= 1 << x
+        for x in set(items):
+            two |= (one if items.count(x) > 1 else one & ~(1 << x)) << x
+        return one, two
+
+    def add(self, items: tuple[int, ...], n: int) -> None:
+        """More (or fewer) sequences of sorted items."""
+        left = self.count.get(items, 0) + n
+        gap = self.capacity - sum(items)
+        if items not in self.count:
+            self.bits[items] = self.lengths(items)
+            self.by_gap.setdefault(gap, {})[items] = None
+            self.takes.pop(gap, None)
+        if left:
+            self.count[items] = left
+            return
+        del self.count[items], self.bits[items], self.by_gap[gap][items]
+        self.takes.pop(gap, None)
+        if not self.by_gap[gap]:
+            del self.by_gap[gap]
+
+    def given(self, gap: int, but: tuple[int, ...] | None = None) -> tuple[int, int]:
+        """(what groups of this gap give for one piece: nothing, one or two; for two: one), ``but`` one group."""
+        ones = twos = 0
+        for items in self.by_gap[gap]:
+            if items != but:
+                one, two = self.bits[items]
+                ones |= 1 | one | two
+                twos |= one
+        return ones, twos
+
+    def receivable(self, gap: int) -> tuple[int, int, int, int]:
+        """(lengths, sums of two) that groups of this gap may receive, giving less by ``gap`` at most; and ``given``."""
+        if gap not in self.takes:
+            ones, twos = self.given(gap)
+            self.takes[gap] = _raised(ones, gap), _raised(twos, gap), ones, twos
+        return self.takes[gap]
+
+    def exchange(self, low: tuple[int, ...]) -> tuple | None:
+        """(high, out of high, into high) that moves most into a sequence as full or fuller, the emptiest of equals."""
+        one, two = self.bits[low]
+        own = self.capacity - sum(low)
+        best = None
+        for gap in sorted((g for g in self.by_gap if g <= own), reverse=True):
+            if best is not None and gap <= best[0]:
+                break  # no more than the gap can move
+            ones, twos, ones_from, twos_from = self.receivable(gap)
+            if not (one & ones or two & twos):
+                continue
+            but = low if gap == own and self.count[low] < 2 else None
+            if but:
+                ones_from, twos_from = self.given(gap, but)
+            for more in range(gap, best[0] if best is not None else 0, -1):
+                if one & ones_from << more or two & twos_from << more:
+                    best = more, gap, but
+                    break
+        if best is None:
+            return None
+        more, gap, but = best
+        for high in self.by_gap[gap]:
+            a, aa = self.bits[high]
+            if high != but and (one & (1 | a | aa) << more or two & a << more):
+                break
+        if one >> more & 1:
+            return high, (), (more,)
+        if got := one & a << more:
+            x = got.bit_length() - 1
+            return high, (x - more,), (x,)
+        if got := one & aa << more:
+            x = got.bit_length() - 1
+            return high, _pair(high, x - more), (x,)
+        x = (two & a << more).bit_length() - 1
+        return high, (x - more,), _pair(low, x)
+
+
+def _raised(bits: int, most: int) -> int:
+    """All that exceeds one of these numbers by 1 to ``most``."""
+    bits <<= 1
+    width = 1
+    while width < most:
+        step = min(width, most - width)
+        bits |= bits << step
+        width += step
+    return bits
+
+
+def _pair(items: tuple[int, ...], total: int) -> tuple[int, int]:
+    """Two of the items that have this sum."""
+    have = set(items)
+    return next((x, total - x) for x in items if total - x in have and (2 * x != total or items.count(x) > 1))
+
+
+def local_search(groups: list[tuple[int, tuple[int, ...]]], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
+    """Moves, one-for-one and two-for-one exchanges (either way) until none is left that fills a fuller sequence more.
 
     Works on groups: an exchange between two groups is made for as many pairs of sequences as the smaller group has.
-    The emptiest groups give, the fullest that are not full receive. ``passes`` and ``partners`` bound the planner's
-    own work on this bounded plan, not what is packed. A sequence whose pieces have all moved disappears.
+    The emptiest groups give, all that are as full or fuller and not full may receive, so squared fill grows. Partners
+    are found by gap and by length or sum of two lengths, so none is left out. A sequence whose pieces have all moved
+    disappears; the search also ends when no fewer sequences could hold the pieces.
     """
     done = [(n, items) for n, items in groups if sum(items) == capacity]
-    pool: dict[tuple[int, ...], int] = {}
+    pool = Underfull(capacity)
     for n, items in groups:
         if sum(items) < capacity:
-            key = tuple(sorted(items, reverse=True))
-            pool[key] = pool.get(key, 0) + n
-    need = -(-sum(n * sum(items) for n, items in groups) // capacity)
-    for _ in range(passes):
-        if sum(n for n, _ in done) + sum(pool.values()) <= need:
-            break
-        heap: list = []
-        for key in pool:
-            heappush(heap, (sum(key), key))
+            pool.add(tuple(sorted(items, reverse=True)), n)
+    spare = sum(n for n, _ in groups) - -(-sum(n * sum(items) for n, items in groups) // capacity)
+    changed = True
+    while changed and spare > 0:
+        heap = [(sum(key), key) for key in pool.count]
+        heapify(heap)
         changed = False
-        while heap:
+        while heap and spare > 0:
             fill, low = heappop(heap)
-            if low not in pool:
-                continue
-            best = None
-            fullest = sorted(pool, key=sum, reverse=True)[:partners]
-            for high in fullest:
-                gap = capacity - sum(high)
-                if high == low and pool[low] < 2 or sum(high) < fill:
-                    continue
-                # what leaves low (b) and what leaves high (a): squared fill grows if b > a; b - a may be gap at most
-                options = [((), (b,)) for b in set(low) if b <= gap]
-                options += [((a,), (b,)) for b in set(low) for a in set(high) if 0 < b - a <= gap]
-                pairs = {(high[i], high[j]) for i in range(len(high)) for j in range(i + 1, len(high))} if len(high) <= 12 else set()
-                options += [(p, (b,)) for b in set(low) for p in pairs if 0 < b - sum(p) <= gap]
-                for out, into in options:
-                    gain = sum(into) - sum(out)
-                    if best is None or gain > best[0]:
-                        best = (gain, high, out, into)
-                if best and best[0] == gap and best[1] == high:
-                    break
-            if best is None:
+            if low not in pool.count or (found := pool.exchange(low)) is None:
                 continue
-            _, high, out, into = best
-            n = min(pool[low], pool[high]) if low != high else pool[low] // 2
+            high, out, into = found
+            n = min(pool.count[low], pool.count[high]) if low != high else pool.count[low] // 2
             new_low, new_high = list(low), list(high)
             for x in into:
                 new_low.remove(x)
@@ -261,24 +351,20 @@ def local_search(groups: list[tuple[int, tuple[int, ...]]], capacity: int, passe
                 new_high.remove(x)
                 new_low.append(x)
             for key in (low, high):
-                pool[key] -= n
-                if pool[key] <= 0:
-                    del pool[key]
+                pool.add(key, -n)
             for items in (new_low, new_high):
                 if not items:
-                    continue
-                if sum(items) == capacity:
+                    spare -= n
+                elif sum(items) == capacity:
                     done.append((n, tuple(items)))
-                    continue
-                key = tuple(sorted(items, reverse=True))
-                pool[key] = pool.get(key, 0) + n
-                heappush(heap, (sum(key), key))
-            if low in pool:
+                else:
+                    key = tuple(sorted(items, reverse=True))
+                    pool.add(key, n)
+                    heappush(heap, (sum(key), key))
+            if low in pool.count:
                 heappush(heap, (fill, low))
             changed = True
-        if not changed:
-            break
-    return done + [(n, items) for items, n in pool.items()]
+    return done + [(n, items) for items, n in pool.count.items()]
 
 
 def plan(histogram: dict[int, int], capacity: int) -> dict[str, np.ndarray]:

@@ -142,6 +142,33 @@ def test_plan_uses_swaps():
     assert sum(n for n, _ in best_fit(h, 10)) == 5
 
 
+def left_over(groups, capacity):
+    """All exchanges of one or two pieces for fewer than three that still fill a sequence as full or fuller."""
+    under = [(n, items) for n, items in groups if sum(items) < capacity]
+    some = {i: [()] + [(x,) for x in items] + [(items[j], items[k]) for j in range(len(items)) for k in range(j)] for i, (_, items) in enumerate(under)}
+    for i, (n, low) in enumerate(under):
+        for j, (_, high) in enumerate(under):
+            if (i != j or n > 1) and sum(high) >= sum(low):
+                for into in some[i]:
+                    for out in some[j]:
+                        if 1 <= len(into) + len(out) <= 3 and (len(into), len(out)) != (2, 0) and 0 < sum(into) - sum(out) <= capacity - sum(high):
+                            yield low, high, into, out
+
+
+def test_local_search_leaves_no_exchange():
+    rnd = random.Random(4)
+    cases = [([(rnd.randint(1, 3), tuple(rnd.choices(range(3, 40), k=rnd.randint(1, 16)))) for _ in range(30)], 100) for _ in range(10)]
+    cases.append(([(10, (90,)), (1, (7,) * 13), (1, (20,))], 100))  # one for two of many pieces
+    cases.append(([(10, (90,)), (1, (56, 35)), (1, (31, 30))], 100))  # two for one
+    for groups, capacity in cases:
+        groups = [(n, items) for n, items in groups if sum(items) <= capacity]
+        after = local_search(groups, capacity)
+        assert collections.Counter(x for n, items in after for x in items * n) == collections.Counter(x for n, items in groups for x in items * n)
+        assert all(0 < sum(items) <= capacity for _, items in after)
+        need = -(-sum(n * sum(items) for n, items in groups) // capacity)
+        assert sum(n for n, _ in after) == need or not list(left_over(after, capacity))
+
+
 def test_schema_types(docs):
     s = best_fit_packing(docs).schema
     assert isinstance(s["piece"].dataType, T.IntegerType) and isinstance(s["sequence_id"].dataType, T.LongType)
