@@ -1,8 +1,9 @@
 """Toxicity: a sparse logistic classifier regularised on counterfactual pairs.
 
-Features are the presence of words and of word beginnings, hashed. For labelled texts that name a group, and for
-short labelled sentences into which a group's name is put, the name is swapped for another group's and the change
-of the score is penalised, so that a neutral mention of any group weighs like that of any other, and next to nothing.
+Features are the presence of words and of word beginnings, hashed. For every training text that names a group, every
+mention in the whole text is swapped for another group's name; for every other, a name put before its first words is.
+The change of the score is penalised, so that a neutral mention of any group weighs like that of any other, and next
+to nothing.
 
 The model is fitted on the driver on at most MAX_TRAIN_ROWS labelled rows (those with the smallest hashed ids, so the
 sample doesn't depend on the order of rows); its weights are one array of 2**BITS numbers whatever the input.
@@ -15,6 +16,7 @@ an empty table gives an empty result; other columns are ignored. Very long texts
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,6 +35,8 @@ IDENTITY = "women men girls boys muslims christians jews hindus buddhists atheis
 _BETWEEN = np.ones(256, bool)
 _BETWEEN[48:58] = _BETWEEN[65:91] = _BETWEEN[97:123] = _BETWEEN[128:] = False
 _BETWEEN[ord("'")] = False
+_INSIDE = "[0-9A-Za-z'\x80-\U0010ffff]"  # the same borders for text
+_NAMED = re.compile(f"(?<!{_INSIDE})(?:{'|'.join(IDENTITY)})(?!{_INSIDE})", re.I)
 
 
 def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,18 +71,25 @@ def gathered(texts: pa.Array, useful: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return tuple(np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in (0, 1))
 
 
-def counterfactuals(texts: pa.Array, seed: int = 7, most: int = 4000) -> tuple[list[str], list[str]]:
-    """Pairs of texts that differ in one group's name: swapped where one stands, else put before a short sentence."""
+def counterfactuals(texts: pa.Array, seed: int = 7) -> tuple[list[str], list[str]]:
+    """A pair of texts for each text: whole with every group's name swapped, else a name before a short sentence."""
     rnd = np.random.default_rng(seed)
-    names = set(IDENTITY)
     left, right = [], []
-    for text in texts[:most].to_pylist():
-        tokens = text.split()
-        at = [i for i, t in enumerate(tokens) if t.lower() in names]
-        sentence = tokens[max(0, at[0] - 15) : at[0] + 16] if at else [str(rnd.choice(IDENTITY)), *tokens[:15]]
-        k = min(at[0], 15) if at else 0
-        left.append(" ".join(sentence))
-        right.append(" ".join([*sentence[:k], str(rnd.choice(IDENTITY)), *sentence[k + 1 :]]))
+
+    def other(name: str) -> str:
+        return str(rnd.choice([n for n in IDENTITY if n != name]))
+
+    for text in texts.to_pylist():
+        low = text.lower()
+        named = sorted({m[0].lower() for m in _NAMED.finditer(text)}) if any(n in low for n in IDENTITY) else []
+        if named:
+            swap = {n: other(n) for n in named}
+            left.append(text)
+            right.append(_NAMED.sub(lambda m: swap[m[0].lower()], text))
+        else:
+            name, sentence = str(rnd.choice(IDENTITY)), text.split()[:15]
+            left.append(" ".join([name, *sentence]))
+            right.append(" ".join([other(name), *sentence]))
     return left, right
 
 
@@ -99,10 +110,12 @@ def fit(texts: pa.Array, toxic: np.ndarray, l1: float = 1e-3, l2: float = 1e-5,
     columns, row = gathered(texts, useful)
     columns, k = number[columns], int(useful.sum())
     left, right = counterfactuals(texts)
-    sides = [gathered(pa.array(side, pa.string()), useful) for side in (left, right)]
-    d_col = number[np.concatenate([c for c, _ in sides])]
-    d_row = np.concatenate([r for _, r in sides])
-    d_val = np.repeat([1.0, -1.0], [len(r) for _, r in sides])
+    sides = [r << BITS | c for c, r in (gathered(pa.array(side, pa.string()), useful) for side in (left, right))]
+    # what both texts of a pair hold cancels out
+    sides = [np.setdiff1d(sides[i], sides[1 - i], assume_unique=True) for i in (0, 1)]
+    both = np.concatenate(sides)
+    d_col, d_row = number[both & ((1 << BITS) - 1)], both >> BITS
+    d_val = np.repeat([1.0, -1.0], [len(x) for x in sides])
     m = max(len(left), 1)
     w, b = np.zeros(k), float(np.log(share / (1 - share)))
     scale = 1 / np.sqrt(np.maximum(np.bincount(columns, minlength=k), 1) / n)  # rare features learn as fast

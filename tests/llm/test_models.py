@@ -2,6 +2,7 @@
 
 import collections
 import math
+import re
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ import pytest
 from tessella.llm import queries
 from tessella.llm.language_id import language_id
 from tessella.llm.nearest import chi_square, nearest_neighbours, quantile
-from tessella.llm.toxicity import counterfactuals, fit, score_texts, toxicity
+from tessella.llm.toxicity import IDENTITY, counterfactuals, fit, score_texts, toxicity
 
 SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, score string, id string"
@@ -109,6 +110,27 @@ def test_counterfactual_penalty_evens_out_groups():
     assert all(len(a.split()) == len(b.split()) for a, b in zip(left, right, strict=True))
 
 
+def test_counterfactuals_swap_every_mention_of_every_text():
+    late = "x " * 100 + "(Women), MEN. women's women\nand judíos!"
+    left, right = counterfactuals(pa.array(["good day"] * 5000 + [late, "a government of women.", "the moment"]))
+    assert len(left) == len(right) == 5003
+    assert left[5000] == late
+    names = "|".join(IDENTITY)
+    m = re.fullmatch(rf"(?:x ){{100}}\(({names})\), ({names})\. women's ({names})\nand ({names})!", right[5000])
+    assert m and m[1] == m[3] != "women" and m[2] != "men" and m[4] != "judíos"
+    assert left[5001] == "a government of women." and re.fullmatch(rf"a government of (?!women)({names})\.", right[5001])
+    assert left[5002].endswith(" the moment") and left[5002] != right[5002]
+
+
+def test_counterfactual_penalty_reaches_late_rows_and_punctuation():
+    base = "they went to the river and came home"
+    texts = [f"{base} {i}" for i in range(4500)] + [f"idiot {base} {i}" for i in range(400)] + [f"{base} with women, {i}" for i in range(600)]
+    toxic = np.array([0.0] * 4500 + [1.0] * 1000)
+    asked = pa.array([f"{base} with {g}," for g in ("women", "men")])
+    free, even = ([*score_texts(asked, *fit(pa.array(texts), toxic, fairness=f))] for f in (0.0, 50.0))
+    assert free[0] > 0.5 and even[0] - even[1] < 0.2 * (free[0] - free[1])
+
+
 def test_toxicity_edge_cases(spark):
     rows = [(i, "you idiot there" if i % 3 == 0 else "good day to all", "en", "s", "x", "y") for i in range(60)]
     rows += [(None, "idiot", None, None, None, None), (90, None, None, None, None, None), (91, "", None, None, None, None), (3, "twice", None, None, None, None)]
