@@ -8,7 +8,7 @@ import pytest
 
 from tessella.llm.chat_format import format_chats
 from tessella.llm.html_text import html_text, render
-from tessella.llm.mixing import complete, mix, rake
+from tessella.llm.mixing import complete, missed, mix, rake, rake_frame
 
 TURNS = "conv_id long, turn long, role string, text string, json string, place string"
 SCHEMAS = {
@@ -178,6 +178,26 @@ def test_mix_reaches_targets_either_way(spark):
     assert all(large[r.doc_id] == pytest.approx(r.mix_weight, rel=1e-3) for r in rows)
 
 
+def test_rake_frame_goes_the_same_way_on_a_sparse_table_with_nulls(spark):
+    values = [["a", None, "None"], [None, "None", "en"]]
+    at = [(i, j) for i in range(3) for j in range(3) if (i, j) != (0, 2)]
+    mass = np.arange(3.0, 11.0)
+    cells = spark.createDataFrame([(values[0][i], values[1][j], float(m)) for (i, j), m in zip(at, mass, strict=True)], "s string, l string, mass double").coalesce(1)
+    targets = [np.array([0.2, 0.45, 0.35]), np.array([0.3, 0.4, 0.3])]
+    codes = [np.array([x[k] for x in at]) for k in (0, 1)]
+    frame, gap = rake_frame(cells, ["s", "l"], values, targets, rounds=2)
+    want = rake(mass, codes, targets, rounds=2)
+    got = {(r.s, r.l): r.w for r in frame.collect()}
+    assert got == pytest.approx({(values[0][i], values[1][j]): w for (i, j), w in zip(at, want, strict=True)}, rel=1e-12)
+    assert gap == pytest.approx(missed(mass, codes, targets, want), rel=1e-9) and gap > 1e-9
+
+
+def test_mix_tells_of_targets_that_cannot_be_met(spark):
+    docs = spark.createDataFrame([(1, "a b", "en", "s"), (2, "c d", "de", "t")], "doc_id long, text string, lang string, source string")
+    with pytest.warns(UserWarning, match="miss their targets by up to 0"):
+        mix(docs, {"lang": {"en": 0.9, "de": 0.1}, "source": {"s": 0.1, "t": 0.9}}).collect()
+
+
 def test_mix_edge_cases(spark):
     rows = [(1, "a b", None, "s"), (1, "a b", None, "s"), (None, None, "en", None), (2, "", "en", "s"), (3, "x\ty|z|", "en", "t")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "1 as w", "2 as tokens", "3 as dim0")
