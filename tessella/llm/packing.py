@@ -1,8 +1,8 @@
 """Best-fit packing of tokenised documents into sequences, improved by swaps.
 
 Plan and placement are separate. The plan needs only how many pieces there are of each length, at most ``capacity``
-numbers whatever the input: best-fit decreasing over that histogram, then a local search on groups of equally filled
-sequences. Placement gives every piece its rank among pieces of its length (exact, from counts by task) and reads its
+numbers whatever the input: a next-fit packing of that histogram, then a local search on groups of equally filled
+sequences, whose exchanges empty one sequence after another until no fewer could hold the pieces or none is left. Placement gives every piece its rank among pieces of its length (exact, from counts by task) and reads its
 sequence and offset from the plan. Neither step brings pieces together in one task or on the driver.
 
 Edge cases: a null text is an empty document, one piece of the single end token; repeated rows and null ids are
@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from bisect import bisect_right, insort
 from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
 
@@ -170,41 +171,25 @@ def cut_pieces(path: str, capacity: int) -> Callable:
     return run
 
 
-def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
-    """(number of sequences, lengths in each) by best-fit decreasing, as if one piece were placed after another."""
-    open_by_room: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
-    rooms: list[int] = []  # sorted
-
-    def put(room: int, n: int, items: tuple[int, ...]) -> None:
-        if room not in open_by_room:
-            open_by_room[room] = []
-            rooms.insert(int(np.searchsorted(rooms, room)) if rooms else 0, room)
-        open_by_room[room].append((n, items))
-
+def next_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
+    """(number of sequences, lengths in each) by next-fit from the longest length on: the packing that the search starts from."""
+    groups: list[tuple[int, tuple[int, ...]]] = []
+    items: list[int] = []
     for length in sorted(histogram, reverse=True):
         left = histogram[length]
-        while left:
-            k = int(np.searchsorted(rooms, length)) if rooms else 0
-            if k == len(rooms):
-                each = capacity // length
-                full, rest = divmod(left, each)
-                if full:
-                    put(capacity - each * length, full, (length,) * each)
-                if rest:
-                    put(capacity - rest * length, 1, (length,) * rest)
-                break
-            room = rooms[k]
-            n, items = open_by_room[room].pop()
-            if not open_by_room[room]:
-                del open_by_room[room]
-                rooms.pop(k)
-            each = min(room // length, 1)
-            take = min(n, left)
-            put(room - each * length, take, (*items, *(length,) * each))
-            if n > take:
-                put(room, n - take, items)
-            left -= take
-    return [g for groups in open_by_room.values() for g in groups]
+        more = min((capacity - sum(items)) // length, left) if items else 0
+        items += [length] * more
+        left -= more
+        if not left:
+            continue
+        if items:
+            groups.append((1, tuple(items)))
+        each = capacity // length
+        full, rest = divmod(left, each)
+        if full:
+            groups.append((full, (length,) * each))
+        items = [length] * rest
+    return [*groups, (1, tuple(items))] if items else groups
 
 
 class Underfull:
@@ -219,6 +204,7 @@ class Underfull:
         self.count: dict[tuple[int, ...], int] = {}
         self.bits: dict[tuple[int, ...], tuple[int, int]] = {}
         self.by_gap: dict[int, dict[tuple[int, ...], None]] = {}
+        self.gaps: list[int] = []  # sorted
         self.takes: dict[int, tuple[int, int, int, int]] = {}  # absent where groups have changed
 
     @staticmethod
@@ -237,8 +223,15 @@ class Underfull:
         gap = self.capacity - sum(items)
         if items not in self.count:
             self.bits[items] = self.lengths(items)
-            self.by_gap.setdefault(gap, {})[items] = None
-            self.takes.pop(gap, None)
+            if gap not in self.by_gap:
+                self.by_gap[gap] = {}
+                insort(self.gaps, gap)
+            self.by_gap[gap][items] = None
+            if gap in self.takes:
+                one, two = self.bits[items]
+                _, _, ones, twos = self.takes[gap]
+                ones, twos = ones | 1 | one | two, twos | one
+                self.takes[gap] = _raised(ones, gap), _raised(twos, gap), ones, twos
         if left:
             self.count[items] = left
             return
@@ -246,6 +239,7 @@ class Underfull:
         self.takes.pop(gap, None)
         if not self.by_gap[gap]:
             del self.by_gap[gap]
+            self.gaps.remove(gap)
 
     def given(self, gap: int, but: tuple[int, ...] | None = None) -> tuple[int, int]:
         """(what groups of this gap give for one piece: nothing, one or two; for two: one), ``but`` one group."""
@@ -269,19 +263,20 @@ class Underfull:
         one, two = self.bits[low]
         own = self.capacity - sum(low)
         best = None
-        for gap in sorted((g for g in self.by_gap if g <= own), reverse=True):
+        for gap in reversed(self.gaps[: bisect_right(self.gaps, own)]):
             if best is not None and gap <= best[0]:
                 break  # no more than the gap can move
-            ones, twos, ones_from, twos_from = self.receivable(gap)
-            if not (one & ones or two & twos):
+            ones, twos, ones_from, twos_from = self.takes.get(gap) or self.receivable(gap)
+            ones &= one
+            twos &= two
+            if not (ones or twos):
                 continue
             but = low if gap == own and self.count[low] < 2 else None
             if but:
                 ones_from, twos_from = self.given(gap, but)
-            for more in range(gap, best[0] if best is not None else 0, -1):
-                if one & ones_from << more or two & twos_from << more:
-                    best = more, gap, but
-                    break
+            more = max(_widest(ones, ones_from, gap) if ones else 0, _widest(twos, twos_from, gap) if twos else 0)
+            if more > (best[0] if best is not None else 0):
+                best = more, gap, but
         if best is None:
             return None
         more, gap, but = best
@@ -301,6 +296,19 @@ class Underfull:
         return high, (x - more,), _pair(low, x)
 
 
+def _widest(mine: int, theirs: int, most: int) -> int:
+    """The largest number up to ``most`` by which one of mine exceeds one of theirs; 0 without one."""
+    best = 0
+    while mine and best < most:
+        x = mine.bit_length() - 1
+        mine ^= 1 << x
+        low = max(x - most, 0)
+        above = theirs >> low
+        if above:
+            best = max(best, x - low - (above & -above).bit_length() + 1)
+    return best
+
+
 def _raised(bits: int, most: int) -> int:
     """All that exceeds one of these numbers by 1 to ``most``."""
     bits <<= 1
@@ -371,7 +379,7 @@ def plan(histogram: dict[int, int], capacity: int) -> dict[str, np.ndarray]:
     """Runs of ranks: of each length, from which rank on, how many, in which sequences, at which offset."""
     used: dict[int, int] = {}
     runs, sequence = [], 0
-    for n, items in local_search(best_fit(histogram, capacity), capacity):
+    for n, items in local_search(next_fit(histogram, capacity), capacity):
         offset = 0
         for length in items:
             rank = used.get(length, 0)
@@ -385,8 +393,9 @@ def plan(histogram: dict[int, int], capacity: int) -> dict[str, np.ndarray]:
     return {"key": a[:, 0] << 44 | a[:, 1], "rank": a[:, 1], "sequence": a[:, 2], "offset": a[:, 3]}
 
 
-def _place(table: dict[str, np.ndarray]) -> Callable:
+def _place(sent) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sent.value
         for batch in batches:
             col = {n: batch.column(n) for n in batch.schema.names}
             length, rank = col["length"].to_numpy(), col["rank"].to_numpy()
@@ -415,5 +424,5 @@ def best_fit_packing(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ranked = pieces.join(by_task, ["length", "task"]).withColumn("rank", F.col("before") + F.col("place"))
     ranked = ranked.select("id", "piece", "start", "length", "ids_crc32", "rank")
     out = f"{id_col} {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    placed = ranked.mapInArrow(_place(plan(histogram, capacity)), out.replace(id_col, "id", 1))
+    placed = ranked.mapInArrow(_place(spark.sparkContext.broadcast(plan(histogram, capacity))), out.replace(id_col, "id", 1))
     return placed.withColumnRenamed("id", id_col)
