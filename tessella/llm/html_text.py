@@ -1,10 +1,12 @@
 """Layout-aware rendering of HTML: all visible text, with block spacing, lists and aligned table cells.
 
 A tokeniser feeds a tree builder that knows implied end tags (a block ends an open paragraph, an item its sibling, a
-row its cells, ...), void and raw-text elements; hidden elements (by tag, attribute or inline style) and all they
-hold are left out. Blocks are separated by line breaks, paragraphs and headings by blank lines; list items get a
-bullet or number and two spaces a level; cells of a table are padded to the widest of their column; preformatted text
-keeps its white space, other white space collapses.
+row its cells, ...), void and raw-text elements; elements that aren't displayed (by tag, the attribute ``hidden`` or
+``display:none`` in their style) are left out with all they hold, and text under ``visibility:hidden`` unless an element
+within is visible again. ``aria-hidden`` text is seen on the page, so it stays. Blocks are separated by line breaks,
+paragraphs and headings by blank lines; list items get a bullet or number and two spaces a level; cells of a table
+stand in a grid (with their row and column spans) padded to the widest of their column; preformatted text keeps its
+white space, other white space collapses.
 
 Edge cases: a null page is a null text, an empty one or one without visible text an empty text; unclosed, stray or
 badly nested tags are mended, never an error; rows are rendered one by one, so repeated rows and null ids don't
@@ -15,6 +17,7 @@ whole, without recursion.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from html import unescape
 
@@ -46,6 +49,7 @@ IMPLIED = {
     "body": ({"head"}, set()),
 }
 ENDS_P = BLOCK | SPACED | {"li", "hr"}
+SECTIONS = frozenset(("thead", "tbody", "tfoot"))
 CELL_SCOPE = frozenset(("td", "th", "table"))
 CROSSES_CELLS = frozenset("table tr tbody thead tfoot td th body html".split())
 #: roots of foreign content, where "/>" closes, and elements in it that hold HTML again
@@ -57,22 +61,62 @@ _ATTRIBUTE = re.compile(r"""(=?[^ \t\n\f\r/>=]+|=)(?:[ \t\n\f\r]*=[ \t\n\f\r]*("
 #: what a semicolon of CSS doesn't end: comments, strings, brackets
 _OPAQUE = re.compile(r"""/\*.*?(?:\*/|\Z)|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|\((?:"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|[^()"'])*\)""", re.S)
 _KEYWORDS = re.compile(r"[a-z-]+(?:\s+[a-z-]+)*")
+_NUMBER = re.compile(r"[ \t\n\f\r]*\+?(\d{1,9})")
+#: Cells wider than this don't widen their column, they push what follows in their row.
+WIDEST = 200
+DEEPEST = 60
 _START = re.compile(r"""(?i)\bstart\s*=\s*["']?(-?\d+)""")
 _SPACES = re.compile(r"[ \t\n\r\f\v]+")
 
 
 class Table:
+    """Cells in a grid: each row's (column, columns it spans, text), as row and column spans place them."""
+
     def __init__(self) -> None:
-        self.rows: list[list[str]] = []
+        self.rows: list[list[tuple[int, int, str]]] = []
+        self.down: list[list[int]] = []  # spans from rows above: first column, end, rows left (negative: all of the section)
+
+    def new_row(self) -> None:
+        self.rows.append([])
+        self.down = [[a, b, left - 1] for a, b, left in self.down if left != 0]
+        self.at = 0
+
+    def new_section(self) -> None:
+        self.down = []
+
+    def add(self, text: str, columns: int, rows: int) -> None:
+        if not self.rows:
+            self.new_row()
+        for a, b, _ in sorted(self.down):
+            if a < self.at + columns and b > self.at:
+                self.at = b
+        if rows != 1:
+            self.down.append([self.at, self.at + columns, rows - 1])
+        self.rows[-1].append((self.at, columns, text))
+        self.at += columns
 
     def lines(self) -> list[str]:
-        rows = [r for r in self.rows if any(r)]
-        width = [max((len(line) for r in rows if k < len(r) for line in r[k].split("\n")), default=0) for k in range(max(map(len, rows), default=0))]
+        used = sorted({c for row in self.rows for c, _, _ in row})
+        ends: dict[int, list[tuple[int, int]]] = {}
+        for row in self.rows:
+            for c, columns, text in row:
+                k = bisect_left(used, c + columns)
+                if k < len(used):
+                    ends.setdefault(used[k], []).append((c, min(max(map(len, text.split("\n"))), WIDEST)))
+        place: dict[int, int] = {}
+        for before, c in zip([None, *used], used, strict=False):
+            place[c] = max([place[a] + w + 2 for a, w in ends.get(c, ())] + [0 if before is None else place[before] + 2])
         out = []
-        for r in rows:
-            cells = [c.split("\n") for c in r]
-            for i in range(max(map(len, cells))):
-                out.append("  ".join((c[i] if i < len(c) else "").ljust(w) for c, w in zip(cells, width, strict=False)).rstrip())
+        for row in self.rows:
+            if not any(text for _, _, text in row):
+                continue
+            cells = [(place[c], text.split("\n")) for c, _, text in row]
+            for i in range(max(len(x) for _, x in cells)):
+                line = ""
+                for at, x in cells:
+                    if i < len(x) and x[i]:
+                        line = (line.ljust(at) if len(line) + 2 <= at or not line else line + "  ") + x[i]
+                out.append(line.rstrip())
         return out
 
 
@@ -85,14 +129,14 @@ class Canvas:
         self.mark = ""
         self.gap = False
         self.space = False
-        self.indent = ""
+        self.span = (1, 1)
 
     def text(self, s: str, pre: bool) -> None:
         if pre:
             head, *tail = s.split("\n")
             self.add(head)
             for part in tail:
-                self.lines.append(self.indent + "".join(self.line))
+                self.lines.append("".join(self.line))
                 self.line = [part] if part else []
             return
         for i, word in enumerate(_SPACES.split(s)):
@@ -118,7 +162,7 @@ class Canvas:
 
     def end_line(self, gap: bool = False) -> None:
         if self.line:
-            self.lines.append(self.indent + "".join(self.line).rstrip())
+            self.lines.append("".join(self.line).rstrip())
             self.line = []
         self.space = False
         self.gap |= gap
@@ -149,8 +193,8 @@ def _attributes(attrs: str) -> dict[str, str]:
     return out
 
 
-def _style_hides(style: str) -> bool:
-    """Whether the declarations that prevail are display:none or visibility:hidden."""
+def _declared(style: str) -> tuple[str, str]:
+    """The values of display and visibility that prevail among declarations; empty without one."""
     chosen: dict[str, tuple[bool, str]] = {}
     for declaration in _OPAQUE.sub(" ", style).lower().split(";"):
         name, _, value = declaration.partition(":")
@@ -161,37 +205,51 @@ def _style_hides(style: str) -> bool:
         value, important = value.strip(), rest.strip() == "important"
         if bool(bang) == important and _KEYWORDS.fullmatch(value) and (important or not chosen.get(name, (False,))[0]):
             chosen[name] = important, value
-    return chosen.get("display", (False, ""))[1] == "none" or chosen.get("visibility", (False, ""))[1] == "hidden"
+    return chosen.get("display", (False, ""))[1], chosen.get("visibility", (False, ""))[1]
 
 
-def _is_hidden(tag: str, attrs: str) -> bool:
+def _shows(tag: str, attrs: str) -> tuple[bool, bool | None]:
+    """Whether an element is left out with all it holds; whether its text is seen (None: as its parent's)."""
     if tag in HIDDEN:
-        return True
+        return True, None
     if not attrs or not _MAY_HIDE.search(attrs):
-        return False
+        return False, None
     own = _attributes(attrs)
-    if own.get("hidden", "false").strip().lower() not in ("false", "until-found") or own.get("aria-hidden", "").strip().lower() == "true":
-        return True
-    return _style_hides(own.get("style", "")) or tag == "input" and own.get("type", "").strip().lower() == "hidden"
+    if own.get("hidden", "false").strip().lower() not in ("false", "until-found") or tag == "input" and own.get("type", "").strip().lower() == "hidden":
+        return True, None
+    display, visibility = _declared(own.get("style", ""))
+    return display == "none", {"hidden": False, "collapse": False, "visible": True, "initial": True}.get(visibility)
+
+
+def _spans(attrs: str) -> tuple[int, int]:
+    """(columns, rows) that a cell spans; 0 rows are all that are left of its section."""
+    own = _attributes(attrs) if "span" in attrs.lower() else {}
+    columns, rows = (int(m[1]) if (m := _NUMBER.match(own.get(k, ""))) else 1 for k in ("colspan", "rowspan"))
+    return min(max(columns, 1), 1000), min(rows, 65534)
+
+
+def indent(depth: int) -> str:
+    """Two spaces a level; beyond DEEPEST the level is written as a number, so a page's lines don't grow with its depth."""
+    return "  " * depth if depth <= DEEPEST else "  " * DEEPEST + f"({depth}) "
 
 
 class Renderer:
     def __init__(self) -> None:
-        self.stack: list[tuple[str, bool]] = []  # open elements, and whether each hides what it holds
+        self.stack: list[tuple[str, bool, bool]] = []  # open elements, whether each hides what it holds, whether text was seen before
         self.places: dict[str, list[int]] = {}  # of each element's name, where it stands on the stack
         self.hidden = 0
+        self.seen = True
         self.pre = 0
         self.lists: list[int | None] = []
         self.canvases = [Canvas()]
         self.tables: list[Table] = []
-        self.page_indents: list[str] = []
 
     @property
     def out(self) -> Canvas:
         return self.canvases[-1]
 
     def text(self, raw: str) -> None:
-        if not self.hidden:
+        if not self.hidden and self.seen:
             self.out.text(unescape(raw) if "&" in raw else raw, bool(self.pre))
 
     def innermost(self, tags: Iterable[str]) -> int:
@@ -203,9 +261,10 @@ class Renderer:
         return tag in FOREIGN or (root := self.innermost(FOREIGN)) >= 0 and self.innermost(HTML_AGAIN) < root
 
     def pop(self) -> None:
-        tag, hides = self.stack.pop()
+        tag, hides, seen = self.stack.pop()
         self.places[tag].pop()
         self.finish(tag, hides)
+        self.seen = seen
 
     def start(self, tag: str, attrs: str) -> None:
         if tag in ENDS_P:
@@ -214,9 +273,10 @@ class Renderer:
             self.close_within(*IMPLIED[tag])
         if attrs.endswith("/") and self.foreign(tag) and _closes_itself(attrs):
             return
-        hides = _is_hidden(tag, attrs)
+        hides, shown = _shows(tag, attrs)
+        shown = self.seen if shown is None else shown
         if tag in VOID:
-            if not self.hidden and not hides:
+            if not self.hidden and not hides and shown:
                 if tag == "br":
                     self.out.end_line() if self.out.line else self.out.lines.append("") if self.out.lines and self.out.lines[-1] else None
                 elif tag == "hr":
@@ -225,20 +285,24 @@ class Renderer:
                     self.out.end_line()
             return
         self.places.setdefault(tag, []).append(len(self.stack))
-        self.stack.append((tag, hides))
+        self.stack.append((tag, hides, self.seen))
         self.hidden += hides
+        self.seen = shown
         if self.hidden:
             return
         if tag in ("td", "th"):
             if self.tables:
                 self.canvases.append(Canvas())
+                self.out.span = _spans(attrs)
         elif tag == "table":
             self.out.end_line(True)
             self.tables.append(Table())
         elif tag == "tr":
             if self.tables:
-                self.tables[-1].rows.append([])
+                self.tables[-1].new_row()
         elif tag in SPACED or tag in BLOCK:
+            if tag in SECTIONS and self.tables:
+                self.tables[-1].new_section()
             self.out.end_line(tag in SPACED and not (tag in ("ul", "ol") and self.lists))
             if tag in ("ul", "ol"):
                 first = _START.search(attrs)
@@ -247,12 +311,12 @@ class Renderer:
                 self.pre += 1
         elif tag == "li":
             self.out.end_line()
-            deep = "  " * min(max(len(self.lists) - 1, 0), 40)
+            deep = indent(max(len(self.lists) - 1, 0))
             if self.lists and self.lists[-1] is not None:
                 self.lists[-1] += 1
-                self.out.mark = f"{deep}{self.lists[-1]}. "
+                self.out.mark = f"{deep}{self.lists[-1]}. " if shown else ""
             else:
-                self.out.mark = f"{deep}- "
+                self.out.mark = f"{deep}- " if shown else ""
 
     def finish(self, tag: str, hides: bool) -> None:
         """Effects of the end of the innermost element, already off the stack."""
@@ -262,10 +326,8 @@ class Renderer:
             return
         if tag in ("td", "th"):
             if self.tables and len(self.canvases) > 1:
-                cell = self.canvases.pop().result()
-                if not self.tables[-1].rows:
-                    self.tables[-1].rows.append([])
-                self.tables[-1].rows[-1].append(cell)
+                cell = self.canvases.pop()
+                self.tables[-1].add(cell.result(), *cell.span)
         elif tag == "table":
             if self.tables:
                 for line in self.tables.pop().lines():

@@ -1,7 +1,9 @@
 """Chat formatting, HTML rendering and mixing."""
 
 import json
+import random
 import re
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -125,7 +127,7 @@ def test_render_finds_open_elements_at_any_depth(html, want):
         'style="display:none; display:block"',
         """style="background:url('a;display:none'); --x-display:none" """,
         "hidden=false hidden",
-        "aria-hidden=truest",
+        "aria-hidden=true",
         'title="a > b hidden"',
     ],
 )
@@ -135,12 +137,123 @@ def test_what_is_visible(attrs):
 
 @pytest.mark.parametrize(
     "attrs",
-    ["hidden", "HIDDEN=''", "id=x hidden=hidden", "title='x'hidden", "style=display:none", "STYLE='color:red; Display : NONE !important; display:block'", "style='visibility:hidden;'", 'style="/* ; */display:none"', "style='display&colon;none'", "aria-hidden=true"],
+    ["hidden", "HIDDEN=''", "id=x hidden=hidden", "title='x'hidden", "style=display:none", "STYLE='color:red; Display : NONE !important; display:block'", "style='visibility:hidden;'", 'style="/* ; */display:none"', "style='display&colon;none'"],
 )
 def test_what_is_hidden(attrs):
     assert render(f"a<b {attrs}>b</b>c") == "ac"
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ("a<div style='visibility:hidden'>no<b style=visibility:visible>yes</b>no<p hidden>no</p></div>z", "a\nyes\nz"),
+        ("a<b style='display:none'>no<i style='visibility:visible'>no</i></b>z", "az"),
+        ("<ol><li>a<li style='visibility:collapse'>no<li>c</ol>", "1. a\n3. c"),
+        ("<table><tr><td rowspan=2>a<td>bb<td>c<tr><td>d<td>e<tr><td>f<td>g<td>h</table>", "a  bb  c\n   d   e\nf  g   h"),
+        ("<table><tr><td colspan=2>wide head<td>x<tr><td>a<td>b<td>c</table>", "wide head  x\na  b       c"),
+        ("<table><thead><tr><th rowspan=0>h<th>i<tr><th>j</thead><tbody><tr><td>k<td>l</table>", "h  i\n   j\nk  l"),
+        ("<table><tr><td>a<table><tr><td>n<td>m</table><td>b</table>", "a     b\nn  m"),
+        (f"<table><tr><td>{'x' * 500}<td>y<tr><td>z<td>w</table>", f"{'x' * 500}  y\nz{' ' * 201}w"),
+    ],
+)
+def test_visibility_and_spans(html, want):
+    assert render(html) == want
+
+
+def test_lists_of_any_depth_keep_their_level():
+    lines = render("".join(f"<ul><li>x{k}" for k in range(5000))).split("\n")
+    assert len(lines) == 5000
+    assert [line for line in lines[:61]] == [f"{'  ' * k}- x{k}" for k in range(61)]
+    assert all(lines[k] == f"{'  ' * 60}({k}) - x{k}" for k in range(61, 5000))
+
+
+class Plain(HTMLParser):
+    """Visible words in order, for pages whose tags all are closed or void: a plain second way to read them."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.stack, self.words = [], []
+
+    def handle_starttag(self, tag, attrs):
+        own = {}
+        for k, v in attrs:
+            own.setdefault(k, v or "")
+        style = dict(x.replace(" ", "").split(":", 1) for x in own.get("style", "").split(";") if ":" in x)
+        gone, seen = self.stack[-1][1:] if self.stack else (False, True)
+        gone |= tag in ("head", "script", "style", "template", "svg") or "hidden" in own or style.get("display") == "none"
+        seen = {"hidden": False, "visible": True}.get(style.get("visibility"), seen)
+        if tag not in ("br", "meta", "hr"):
+            self.stack.append((tag, gone, seen))
+
+    def handle_endtag(self, tag):
+        while tag in [t for t, _, _ in self.stack]:
+            if self.stack.pop()[0] == tag:
+                break
+
+    def handle_data(self, data):
+        gone, seen = self.stack[-1][1:] if self.stack else (False, True)
+        if seen and not gone:
+            self.words.append(data)
+
+    def result(self, html):
+        self.feed(html)
+        self.close()
+        return "".join(self.words)
+
+
+def squeezed(text):
+    return re.sub(r"\s+", "", text)
+
+
+def test_no_visible_text_is_lost_on_whole_pages(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    got = {r.page_id: r.text for r in html_text(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        # the only mark in these pages is the bullet of the navigation's items
+        assert squeezed(re.sub(r"(?m)^- ", "", got[r.page_id])) == squeezed(Plain().result(r.html))
+
+
+def tree(rnd, depth, number):
+    """(html, visible words in order) of a random well-formed tree; words are numbered, so order and loss both show."""
+    out, words = [], []
+    for _ in range(rnd.randint(1, 4)):
+        kind = rnd.choice(["text", "text", "div", "span", "p", "gone", "unseen", "list", "deep", "table", "script"] if depth else ["text"])
+        if kind == "text":
+            number[0] += 1
+            out.append(f" w{number[0]} ")
+            words.append((f"w{number[0]}", True))
+        elif kind == "script":
+            out.append("<script>var a = '<p>no';</script>")
+        elif kind == "deep":
+            html, inner = tree(rnd, depth - 1, number)
+            k = rnd.choice([3, 300])
+            out.append("<div>" * k + html + "</div>" * k)
+            words += inner
+        elif kind == "list":
+            parts = [tree(rnd, depth - 1, number) for _ in range(rnd.randint(1, 3))]
+            out.append("<ul>" + "".join(f"<li>{h}" + rnd.choice(["", "</li>"]) for h, _ in parts) + "</ul>")
+            words += [w for _, ws in parts for w in ws]
+        elif kind == "table":
+            number[0] += 2
+            out.append(f"<table><tr><td>w{number[0] - 1}<td rowspan=2>w{number[0]}</table>")
+            words += [(f"w{number[0] - 1}", True), (f"w{number[0]}", True)]
+        else:
+            html, inner = tree(rnd, depth - 1, number)
+            tag = "p" if kind == "p" and not re.search("<(p|div|ul|table)", html) else "span" if kind == "span" else "div"
+            style = {"gone": " style='display: none'", "unseen": " style='visibility:hidden'"}.get(kind, "")
+            out.append(f"<{tag}{style}>{html}</{tag}>")
+            words += [(w, seen and kind not in ("gone", "unseen")) for w, seen in inner]
+    return "".join(out), words
+
+
+def test_generated_trees_show_their_words_in_order():
+    rnd = random.Random(8)
+    for _ in range(300):
+        html, words = tree(rnd, 4, [0])
+        assert re.findall(r"w\d+", render(html)) == [w for w, seen in words if seen]
+
+
 def test_html_frame(spark):
     df = spark.createDataFrame([(1, "<p>a"), (1, "<p>a"), (None, None)], "page_id long, html string").selectExpr("*", "'t' as text", "'i' as id")
     assert sorted(map(tuple, html_text(df).collect()), key=str) == [(1, "a"), (1, "a"), (None, None)]
