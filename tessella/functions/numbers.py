@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import string
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -65,3 +66,8 @@ def group_digits(text: str, digits: int | None = None) -> str:
         return f"{value:,.{digits}f}"
     whole, dot, rest = text.strip().partition(".")
     return f"{int(whole):,}{dot}{rest}"
+
+
+def ascii_lower(text: Column) -> Column:
+    """A-Z in lower case; other letters as they are."""
+    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)

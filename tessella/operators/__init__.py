@@ -1,6 +1,6 @@
 """Lazy operators: each takes a DataFrame and returns one."""
 
-from .bins import bin2d, bin_values, box_stats, regression
+from .bins import bin2d, bin_values, box_outliers, box_stats, regression
 from .dedup import uniq
 from .filters import filter_rows
 from .joins import join_rows
@@ -13,7 +13,7 @@ from .shape import check, header_table
 from .stats import stats
 
 __all__ = [
-    "append", "bin2d", "bin_values", "blank", "box_stats", "check", "except_left", "fill", "filter_rows", "header_table",
+    "append", "bin2d", "bin_values", "blank", "box_outliers", "box_stats", "check", "except_left", "fill", "filter_rows", "header_table",
     "intersect_left", "join_rows", "longer", "nl", "regression", "reverse", "running_sum", "sample", "select", "slice_rows",
     "sort_rows", "stats", "transpose", "union_distinct", "uniq", "wider",
 ]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fields import resolve_fields
 from ..functions.numbers import num
+from .stats import stats
 
 
 def bin_values(df: DataFrame, field: str, width: float, minimum: float = 0.0, new_name: str | None = None) -> DataFrame:
@@ -66,27 +67,40 @@ def bin2d(df: DataFrame, x: str, y: str, bins: tuple[int, int] | int | None = 10
     return out.groupBy("x_bin", "y_bin").agg(F.count("*").alias("count"))
 
 
-def box_stats(df: DataFrame, field: str, by: str | None = None, outliers: bool = True) -> DataFrame:
-    """Quartiles, whiskers (the extreme values within 1.5 interquartile ranges) and outliers, by group if asked."""
+def _boxes(df: DataFrame, field: str, by: str | None) -> tuple[list[str], DataFrame]:
+    """(grouping columns, every number with its group's statistics and whether it is inside the whiskers)."""
     c = resolve_fields(field, df.columns)[0]
     keys = resolve_fields(by, df.columns) if by else []
     v = num(F.col(f"`{c}`"), df.schema[c].dataType)
     rows = df.select(*(F.col(f"`{k}`") for k in keys), v.alias("__v")).where("__v is not null and not isnan(__v)")
-    q = F.percentile("__v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    centre = rows.groupBy(*keys).agg(q.alias("__q"), F.count("*").alias("n"), F.min("__v").alias("min"), F.max("__v").alias("max"))
-    centre = centre.select(*keys, "n", "min", "max", F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"), F.col("__q")[2].alias("q3"))
+    centre = stats(rows, f"1-{len(keys)}" if keys else None, count="n", **{op: f"{len(keys) + 1}:{op}" for op in ("min", "max", "q1", "median", "q3")})
     named = centre.select(*(F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)), "n", "min", "max", "q1", "median", "q3")
     same = F.lit(True)
     for i, k in enumerate(keys):
         same &= F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}"))
     joined = rows.join(named, same) if keys else rows.crossJoin(named)  # one row of statistics
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    inside = F.col("__v").between(F.col("q1") - reach, F.col("q3") + reach)
+    return keys, joined.withColumn("__inside", F.col("__v").between(F.col("q1") - reach, F.col("q3") + reach))
+
+
+def box_stats(df: DataFrame, field: str, by: str | None = None, outliers: bool = True) -> DataFrame:
+    """Quartiles, whiskers (the extreme values within 1.5 interquartile ranges) and outliers, by group if asked.
+
+    ``outliers`` lists a group's outliers in one cell; ``box_outliers`` gives them as rows, for groups that have many.
+    """
+    keys, joined = _boxes(df, field, by)
+    inside = F.col("__inside")
     aggs = [F.first(x).alias(x) for x in ("n", "min", "q1", "median", "q3", "max")]
     aggs += [F.min(F.when(inside, F.col("__v"))).alias("low"), F.max(F.when(inside, F.col("__v"))).alias("high"), F.count_if(~inside).alias("n_outliers")]
     if outliers:
         aggs.append(F.array_sort(F.collect_list(F.when(~inside, F.col("__v")))).alias("outliers"))
-    return joined.groupBy(*keys).agg(*aggs)
+    return joined.groupBy(*(F.col(f"`{k}`") for k in keys)).agg(*aggs)
+
+
+def box_outliers(df: DataFrame, field: str, by: str | None = None) -> DataFrame:
+    """(groups, outlier): every value outside its group's whiskers, a row each."""
+    keys, joined = _boxes(df, field, by)
+    return joined.where("not __inside").select(*(F.col(f"`{k}`") for k in keys), F.col("__v").alias("outlier"))
 
 
 def regression(df: DataFrame, x: str, y: str, by: str | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fields import resolve_fields
-from ..functions.numbers import plain
+from ..functions.numbers import ascii_lower, plain
 from ..plans.order import SMALL_ROWS, Ordered
 
 
@@ -39,7 +39,7 @@ def uniq(
         return df.dropDuplicates(names)
     if order_by is None:
         raise ValueError("which row of a key comes first depends on the order of rows: say order_by")
-    shown = [F.lower(plain(F.col(f"`{c}`"))) if ignore_case else F.col(f"`{c}`") for c in names]
+    shown = [ascii_lower(plain(F.col(f"`{c}`"))) if ignore_case else F.col(f"`{c}`") for c in names]
     parts = [c.alias(f"__k{i}") for i, c in enumerate(shown)]
     work = df.select("*", *parts)
     keys = [f"__k{i}" for i in range(len(parts))]

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fields import resolve_fields
-from ..functions.numbers import num, plain
+from ..functions.numbers import ascii_lower, num, plain
 from ..plans.order import SMALL_ROWS, Ordered
 
 
@@ -89,7 +89,7 @@ def fill(df: DataFrame, fields: str, order_by: Sequence[str] | None = None, valu
 def blank(df: DataFrame, fields: str | Sequence[tuple[str, str]], order_by: Sequence[str], replacement: str = "", ignore_case: bool = False, small: int = SMALL_ROWS) -> DataFrame:
     """Cells equal to the row's before are replaced (``fields`` may be (field, replacement) pairs)."""
     pairs = [(f, replacement) for f in resolve_fields(fields, df.columns)] if isinstance(fields, str) else [(c, r) for f, r in fields for c in resolve_fields(f, df.columns)]
-    shown = lambda c: F.lower(plain(F.col(f"`{c}`"))) if ignore_case else plain(F.col(f"`{c}`"))
+    shown = lambda c: ascii_lower(plain(F.col(f"`{c}`"))) if ignore_case else plain(F.col(f"`{c}`"))
     before = Ordered(df, order_by, small).previous({f"__p{i}": shown(c) for i, (c, _) in enumerate(pairs)})
     new = {c: F.when(F.col(f"__p{i}").isNotNull() & (F.col(f"__p{i}.v") == shown(c)), F.lit(r)).otherwise(F.col(f"`{c}`").cast("string")) for i, (c, r) in enumerate(pairs)}
     return before.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in df.columns))

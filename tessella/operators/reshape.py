@@ -53,6 +53,10 @@ def longer(
     return out.where(~missing(F.col(f"`{values_to}`"))) if drop_na else out
 
 
+#: The most columns that a pivot or a transposition makes.
+MAX_COLUMNS = 10_000
+
+
 def _cell(op: str, x: Column, n: Column, order: Column | None, delimiter: str) -> Column:
     if op == "count":
         return F.count(F.lit(1))
@@ -65,7 +69,10 @@ def _cell(op: str, x: Column, n: Column, order: Column | None, delimiter: str) -
         return F.mode(F.when(~missing(x), x.cast("string")), True)
     if op in ("values", "unique_values", "nunique"):
         return S._text(op, x, order, delimiter)
-    return S._numeric(op, n, None)
+    if op in S.QUANTILES:
+        probs = S.QUANTILES[op]
+        return S._of_quantiles(op, lambda p: S._quantiles(n, probs, None)[probs.index(p)])
+    return S._numeric(op, n)
 
 
 def wider(
@@ -95,7 +102,9 @@ def wider(
     order = F.struct(*order_by) if order_by else None
     if names is None:
         seen = df.groupBy(plain(F.col(f"`{name}`")).alias("n")).agg((F.min(order) if order is not None and not names_sort else F.lit(0)).alias("o"))
-        names = [r.n for r in seen.orderBy("o", "n").collect()]
+        names = [r.n for r in seen.orderBy("o", "n").limit(MAX_COLUMNS + 1).collect()]
+    if len(names) > MAX_COLUMNS:
+        raise ValueError(f"{name} has more than {MAX_COLUMNS} values: too many columns")
     x = F.col(f"`{value}`")
     n = num(x, df.schema[value].dataType)
     cell = _cell(op, x, F.when(~F.isnan(n), n), order, delimiter)
@@ -116,6 +125,8 @@ def transpose(df: DataFrame, order_by: Sequence[str], header: bool = True) -> Da
 
     numbered = Ordered(df, order_by).number("__row")
     n = numbered.agg(F.max("__row")).first()[0] or 0
+    if n > MAX_COLUMNS:
+        raise ValueError(f"{n} rows are too many columns: at most {MAX_COLUMNS}")
     cells = F.array(*(F.struct(F.lit(i).alias("pos"), F.lit(c).alias("field"), plain(F.col(f"`{c}`")).alias("x")) for i, c in enumerate(df.columns)))
     tall = numbered.select("__row", F.explode(cells).alias("c")).select("__row", "c.*")
     out = tall.groupBy("pos", "field").pivot("__row", list(range(1, n + 1))).agg(F.first("x")).orderBy("pos")

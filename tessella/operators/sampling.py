@@ -65,7 +65,7 @@ def sample(
     elif prob is not None:
         out = df.withColumn(random_name, u).where(F.col(random_name) < prob)
     elif replace:
-        numbered = Ordered(df, order_by or [F.lit(0)], small).number("__n", 0)
+        numbered = Ordered(df, order_by or [], small).number("__n", 0)
         total = numbered.count()
         draws = df.sparkSession.range(n if total else 0).select(F.floor(F.rand(seed) * total).alias("__n"), F.rand(seed + 1).alias(random_name))
         out = draws.join(numbered, "__n").drop("__n")

@@ -1,7 +1,8 @@
 """Grouped summary statistics.
 
-Algebraic operators are one partial and one final hash aggregation. Those that need the values of a group (exact
-quantiles, lists) use Spark's object aggregates; those over value counts (mode, mode_count) aggregate twice, so that a
+Algebraic operators are one partial and one final hash aggregation. All exact quantiles of a column are one aggregate
+over up to SMALL_VALUES rows; beyond that places are picked from range-partitioned value counts, so no group's values
+meet. Lists use Spark's object aggregates; those over value counts (mode, mode_count) aggregate twice, so that a
 group's distinct values never meet in one buffer. NaN and NULL play no part in numbers.
 """
 
@@ -15,7 +16,12 @@ from pyspark.sql import functions as F
 
 from ..functions.fields import resolve_fields
 from ..functions.numbers import missing, num, plain
+from ..plans.order import exact_quantiles
 
+#: Rows whose exact quantiles may be aggregated in buffers (a buffer holds a group's distinct values).
+SMALL_VALUES = 2_000_000
+#: Probabilities of the quantiles that operators take.
+QUANTILES = {"median": [0.5], "q1": [0.25], "q3": [0.75], "iqr": [0.25, 0.75]}
 #: Scale of the median absolute deviation (for a normal distribution).
 MAD_SCALE = 1.4826
 NUMERIC = ("sum", "min", "max", "range", "mean", "geomean", "harmmean", "variance", "stdev", "cv", "median", "q1", "q3", "iqr", "mad", "quantile")
@@ -28,8 +34,12 @@ def _quantiles(x: Column, p: list[float], accuracy: int | None) -> Column:
     return F.percentile_approx(x, at, F.lit(accuracy)) if accuracy else F.percentile(x, at)
 
 
-def _numeric(op: str, x: Column, accuracy: int | None) -> Column:
-    q = lambda p: _quantiles(x, [p], accuracy)[0]
+def _of_quantiles(op: str, q: Callable[[float], Column]) -> Column:
+    low, *high = QUANTILES[op]
+    return q(high[0]) - q(low) if high else q(low)
+
+
+def _numeric(op: str, x: Column) -> Column:
     if op == "sum":
         return F.coalesce(F.sum(x), F.lit(0.0))
     if op == "geomean":
@@ -47,10 +57,6 @@ def _numeric(op: str, x: Column, accuracy: int | None) -> Column:
         "mean": lambda: F.avg(x),
         "variance": lambda: F.var_samp(x),
         "stdev": lambda: F.stddev_samp(x),
-        "median": lambda: q(0.5),
-        "q1": lambda: q(0.25),
-        "q3": lambda: q(0.75),
-        "iqr": lambda: q(0.75) - q(0.25),
     }[op]()
 
 
@@ -113,6 +119,7 @@ def stats(
     accuracy: int | None = None,
     seed: int = 0,
     custom: dict[str, Callable[[Column], Column]] | None = None,
+    small: int = SMALL_VALUES,
     **ops,
 ) -> DataFrame:
     """One row a group (one row in all, also for an empty frame, without ``group_by``).
@@ -120,7 +127,8 @@ def stats(
     Operators are keywords with field lists: ``sum="a,b"``, ``mean="x:average"``, ``quantile="x:0.1,0.9"``. ``count``
     is True, or the name of its column. A missing number is skipped, or counts as ``replace_missing``.
     ``custom`` adds operators: functions from a number's Column to an aggregate, called by their names like the others.
-    ``accuracy`` takes approximate quantiles instead of exact ones. ``order_by`` names the columns that order rows,
+    ``accuracy`` takes approximate quantiles instead of exact ones, which are one aggregate a column over up to ``small``
+    rows and picked from sorted value counts beyond that. ``order_by`` names the columns that order rows,
     for first, last and values.
     """
     if replace_missing is not None and exclude_missing:
@@ -139,20 +147,26 @@ def stats(
     work = df.withColumns({f"__n_{c}": number(c) for op, c, *_ in specs if op in NUMERIC or op in custom}) if specs else df
     if any(op == "rand" for op, *_ in specs):
         work = work.withColumn("__rand", F.rand(seed))
+    asked: dict[str, list[float]] = {}
+    for op, c, _, probs in specs:
+        if op in QUANTILES or probs:
+            asked[c] = sorted({*asked.get(c, []), *QUANTILES.get(op, probs)})
+    spread = accuracy is None and (bool(asked) or any(op == "mad" for op, *_ in specs)) and work.count() > small
     aggs: list[Column] = []
-    later: list[tuple[str, str, str]] = []
+    later: list[tuple[str, str, str, list[float]]] = []
     if count:
         aggs.append(F.count("*").alias(count if isinstance(count, str) else "count"))
     for op, c, name, probs in specs:
         x = F.col(f"`{c}`")
         if op in custom:
             aggs.append(custom[op](F.col(f"`__n_{c}`")).alias(name))
-        elif op == "quantile":
-            aggs.append(_quantiles(F.col(f"`__n_{c}`"), probs, accuracy)[0].alias(name))
-        elif op in ("mad", "mode", "mode_count"):
-            later.append((op, c, name))
+        elif op in ("mad", "mode", "mode_count") or spread and (op in QUANTILES or probs):
+            later.append((op, c, name, probs))
+        elif op in QUANTILES or probs:
+            at = lambda p, c=c: _quantiles(F.col(f"`__n_{c}`"), asked[c], accuracy)[asked[c].index(p)]
+            aggs.append((at(probs[0]) if probs else _of_quantiles(op, at)).alias(name))
         elif op in NUMERIC:
-            aggs.append(_numeric(op, F.col(f"`__n_{c}`"), accuracy).alias(name))
+            aggs.append(_numeric(op, F.col(f"`__n_{c}`")).alias(name))
         else:
             aggs.append(_text(op, F.when(~missing(x), x) if exclude_missing and op != "missing_count" else x, order, values_delimiter).alias(name))
     grouped = work.groupBy(*(F.col(f"`{k}`") for k in keys))
@@ -161,22 +175,31 @@ def stats(
     def attach(left: DataFrame, right: DataFrame) -> DataFrame:
         if not keys:
             return left.crossJoin(right)  # one row and one row
-        renamed = right.select(*(F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)), *[c for c in right.columns if c not in keys])
+        renamed = right.select(*(F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)), *(F.col(f"`{c}`") for c in right.columns if c not in keys))
         same = reduce(lambda a, b: a & b, (F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)))
         return left.join(renamed, same, "left").drop(*(f"__k{i}" for i in range(len(keys))))
 
     columns = [F.col(f"`{k}`") for k in keys]
-    for c in dict.fromkeys(c for op, c, _ in later if op == "mad"):
+    def middle(rows: DataFrame, x: Column, name: str) -> DataFrame:
+        if spread:
+            return exact_quantiles(rows, keys, x, [0.5], "__m").select(*columns, F.col("__m")[0].alias(name))
+        return rows.groupBy(*columns).agg(_quantiles(x, [0.5], accuracy)[0].alias(name))
+
+    for c in dict.fromkeys(c for op, c, *_ in later if op == "mad"):
         x = F.col(f"`__n_{c}`")
-        centre = work.groupBy(*columns).agg(_quantiles(x, [0.5], accuracy)[0].alias("__centre"))
-        spread = attach(work, centre).groupBy(*columns).agg((_quantiles(F.abs(x - F.col("__centre")), [0.5], accuracy)[0] * MAD_SCALE).alias("__mad"))
-        for name in [n for op, c2, n in later if op == "mad" and c2 == c]:
-            out = attach(out, spread.withColumnRenamed("__mad", name))
-    for c in dict.fromkeys(c for op, c, _ in later if op != "mad"):
+        apart = middle(attach(work, middle(work, x, "__centre")), F.abs(x - F.col("__centre")), "__mad")
+        for name in [n for op, c2, n, _ in later if op == "mad" and c2 == c]:
+            out = attach(out, apart.select(*columns, (F.col("__mad") * MAD_SCALE).alias(name)))
+    for c in asked if spread else ():
+        picked = exact_quantiles(work, keys, F.col(f"`__n_{c}`"), asked[c], "__q")
+        at = lambda p, c=c: F.col("__q")[asked[c].index(p)]
+        named = [(at(probs[0]) if probs else _of_quantiles(op, at)).alias(name) for op, c2, name, probs in later if c2 == c and (op in QUANTILES or probs)]
+        out = attach(out, picked.select(*columns, *named))
+    for c in dict.fromkeys(c for op, c, *_ in later if op in ("mode", "mode_count")):
         x = plain(F.col(f"`{c}`"))
         counted = work.groupBy(*columns, x.alias("__x")).agg(F.count("*").alias("__c"))
         best = counted.groupBy(*columns).agg(F.min(F.struct((-F.col("__c")).alias("c"), F.col("__x").alias("x"))).alias("__best"))
-        for op, _, name in [s for s in later if s[0] != "mad" and s[1] == c]:
+        for op, _, name, _ in [s for s in later if s[0] in ("mode", "mode_count") and s[1] == c]:
             value = F.col("__best.x") if op == "mode" else -F.col("__best.c")
             out = attach(out, best.select(*columns, value.alias(name)))
     ordered = [k for k in keys] + ([count if isinstance(count, str) else "count"] if count else []) + [n for *_, n, _ in specs]

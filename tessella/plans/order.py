@@ -7,22 +7,18 @@ partition, collected and handed back as a map. Small frames take the plain globa
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 SMALL_ROWS = 1_000_000
 PID, LOC = "__pid", "__loc"
 
 
-def shared_folder(spark) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return named.rstrip("/") if named else tempfile.mkdtemp(prefix="tessella-")
-
-
 def materialized(df: DataFrame) -> DataFrame:
     """df written below the shared folder and read again, so that all later readers see the same rows."""
     spark = df.sparkSession
@@ -34,7 +30,7 @@ def materialized(df: DataFrame) -> DataFrame:
 
 
 class Ordered:
-    """A frame with its order key: columns (names or Columns) that determine the order of rows."""
+    """A frame with its order key: columns (names or Columns) that determine the order of rows; none is any order."""
 
     def __init__(self, df: DataFrame, order_by: Sequence[str | Column], small: int = SMALL_ROWS, partitions: int | None = None):
         self.columns = df.columns
@@ -42,12 +38,15 @@ class Ordered:
         self.keys = keys
         if df.count() <= small:
             self.df = df
-            self.wide = Window.orderBy(*keys)
+            self.wide = Window.orderBy(*(keys or [F.lit(0)]))
             self.distributed = False
             return
-        ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
+        ranged = df
+        if keys:
+            ranged = df.repartitionByRange(partitions, *keys) if partitions else df.repartitionByRange(*keys)
+            ranged = ranged.sortWithinPartitions(*keys)
         ids = F.monotonically_increasing_id()  # partition number and row number within it
-        ranged = ranged.sortWithinPartitions(*keys).withColumn(PID, F.shiftright(ids, 33)).withColumn(LOC, ids.bitwiseAND((1 << 33) - 1))
+        ranged = ranged.withColumn(PID, F.shiftright(ids, 33)).withColumn(LOC, ids.bitwiseAND((1 << 33) - 1))
         self.df = materialized(ranged)
         self.wide = Window.partitionBy(PID).orderBy(LOC)
         self.distributed = True
@@ -125,3 +124,33 @@ def assert_unique(df: DataFrame, keys: Sequence[str]) -> None:
     """An order key that isn't unique leaves the order of its ties open: refuse it."""
     if df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
         raise ValueError(f"order key {list(keys)} isn't unique")
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], x: Column, probs: Sequence[float], name: str) -> DataFrame:
+    """(keys, ``name``: the quantiles of x, interpolated) without bringing a group's values together.
+
+    Counts by value are range partitioned by (keys, value) and added up across partitions; of each quantile the two
+    values are picked whose places it lies between.
+    """
+    own = [f"__k{i}" for i in range(len(keys))]
+    counted = df.select(*(F.col(f"`{k}`").alias(o) for k, o in zip(keys, own, strict=True)), x.alias("__x")).where("__x is not null").groupBy(*own, "__x").agg(F.count("*").alias("__c"))
+    sums = Ordered(counted, [*own, "__x"], small=0).running_sum({"__to": F.col("__c")}).withColumn("__from", F.col("__to") - F.col("__c"))
+    ends = sums.groupBy(*own).agg(F.min("__from").alias("__start"), F.max("__to").alias("__end"))
+    same = F.lit(True)
+    for o in own:
+        same &= F.col(o).eqNullSafe(F.col(f"_{o}"))
+    ends = ends.select(*(F.col(o).alias(f"_{o}") for o in own), "__start", "__end")
+    placed = sums.join(ends, same) if own else sums.crossJoin(ends)  # one row of ends
+    picks = []
+    for i, p in enumerate(probs):
+        at = F.lit(float(p)) * (F.col("__end") - F.col("__start") - 1)
+        for side, place in (("l", F.floor(at)), ("h", F.ceil(at))):
+            place += F.col("__start")
+            picks.append(F.max(F.when((F.col("__from") <= place) & (place < F.col("__to")), F.col("__x"))).alias(f"{side}{i}"))
+        picks.append(F.max(at).alias(f"p{i}"))
+    picked = placed.groupBy(*own).agg(*picks)
+    between = [
+        F.when(F.col(f"l{i}") == F.col(f"h{i}"), F.col(f"l{i}")).otherwise((F.ceil(f"p{i}") - F.col(f"p{i}")) * F.col(f"l{i}") + (F.col(f"p{i}") - F.floor(f"p{i}")) * F.col(f"h{i}"))
+        for i in range(len(probs))
+    ]
+    return picked.select(*(F.col(o).alias(k) for o, k in zip(own, keys, strict=True)), F.array(*between).alias(name))

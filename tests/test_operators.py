@@ -30,7 +30,7 @@ from tessella.operators import (
     uniq,
     wider,
 )
-from tessella.operators.bins import bin_count
+from tessella.operators.bins import bin_count, box_outliers
 from tessella.operators.plots import breaks, nice_step, plot_bin2d, plot_box, plot_point
 from tessella.operators.process import pipe_rows
 from tessella.operators.sampling import random_by_key
@@ -330,3 +330,42 @@ def test_filters_reach_the_scan(spark):
     pushed = plan.split("PushedFilters:")[1].split("]")[0]
     assert "GreaterThan(l_quantity" in pushed and "EqualTo(l_returnfl" in pushed  # Spark shortens the list
     assert "l_comment" not in plan and "l_extendedprice" not in plan
+
+
+def test_quantiles_are_the_same_by_buffers_and_by_places(spark):
+    rows = [(g, float((i * 7919) % 101) if i % 9 else None) for i in range(400) for g in ("a", None)] + [("one", 5.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(3)
+    ask = dict(median="x", q1="x", iqr="x", mad="x", quantile="x:0.1,0.37,1")
+    for by in ("g", None):
+        near = {r[0] if by else "": r for r in stats(df, by, count=True, **ask).collect()}
+        far = {r[0] if by else "": r for r in stats(df, by, count=True, small=0, **ask).collect()}
+        assert near == far and len(near) == (4 if by else 1)
+
+
+def test_ignoring_case_folds_ascii_only(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "A"), (3, "é"), (4, "É")], "n int, x string")
+    assert sorted(r.n for r in uniq(df, "x", order_by=["n"], ignore_case=True).collect()) == [1, 3, 4]
+    assert [r.x for r in blank(df, "x", ["n"], ignore_case=True).orderBy("n").collect()] == ["a", "", "é", "É"]
+
+
+def test_sample_with_replacement_of_a_large_frame(spark):
+    got = sample(spark.range(50).repartition(3), n=200, replace=True, small=10).collect()
+    assert len(got) == 200 and {r.id for r in got} <= set(range(50)) and len({r.id for r in got}) > 30
+
+
+def test_box_outliers_as_rows(spark):
+    df = spark.createDataFrame([("a", float(x)) for x in [*range(20), 900, -900]] + [("b", 1.0)], "g string, x double")
+    assert sorted(map(tuple, box_outliers(df, "x", "g").collect())) == [("a", -900.0), ("a", 900.0)]
+
+
+def test_plots_of_paths_and_densities(spark):
+    df = spark.createDataFrame([(k, float(k % 2) * 10, float(k)) for k in range(4)], "k int, x double, y double")
+    assert plot_point(df, "x", "y", path=["k"]).count("·") > plot_point(df, "x", "y", line=True).count("·") / 4
+    dense = spark.createDataFrame([(0.0, 0.0)] * 100 + [(9.0, 0.0)] * 4 + [(0.0, 9.0)] * 5 + [(9.0, 9.0)] * 20, "x double, y double")
+    assert plot_bin2d(dense, "x", "y", (2, 2)).split("\n") == ["·░", "█"]
+    assert plot_bin2d(dense, "x", "y", None, binwidth=3.0).split("\n") == ["· ░", "", "█"]
+
+
+def test_too_many_columns_are_refused(spark):
+    with pytest.raises(ValueError, match="too many columns"):
+        wider(spark.range(10_001).withColumn("v", F.lit(1)), "id", "v", op="sum")
