@@ -11,7 +11,7 @@ import pytest
 
 from tessella.llm import queries
 from tessella.llm.language_id import language_id
-from tessella.llm.nearest import chi_square, nearest_neighbours, quantile
+from tessella.llm.nearest import Cells, chi_square, nearest_neighbours, quantile
 from tessella.llm.toxicity import IDENTITY, counterfactuals, fit, score_texts, toxicity
 
 SF = "/root/testdata/sf0.01"
@@ -58,6 +58,45 @@ def test_vector_edge_cases(spark):
     assert nearest_neighbours(df.where("vec_id is null")).count() == 0
 
 
+def test_repeated_query_rows_and_scaled_vectors(spark):
+    """Every list as long as it can be, of distinct neighbours, with the best score of an id's vectors, over several cells."""
+    table = [(r.vec_id, [float(x) for x in r.embedding]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+    rnd = np.random.default_rng(5)
+    rows = [(i, [x * 1e4 for x in v]) for i, v in table]
+    rows += [rows[i] for i in (0, 20, 20, 7, 8)] + [(40, rows[41][1]), (3, rows[60][1])] + [(2000 + i, rows[5][1]) for i in range(100)]
+    rows = [rows[i] for i in rnd.permutation(len(rows))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = collections.defaultdict(list)
+    for r in nearest_neighbours(df, cell_rows=64).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    hits = total = 0
+    assert got.keys() == {i for i in ids.tolist() if i % 20 == 0}
+    for q, found in got.items():
+        best = {}
+        for v in x[ids == q]:
+            for i, s in zip(ids.tolist(), (x * v).sum(1).tolist(), strict=True):
+                if i != q:
+                    best[i] = max(best.get(i, -np.inf), s)
+        want = sorted(best.items(), key=lambda p: (-p[1], p[0]))[:20]
+        assert len({i for i, _ in found}) == len(found) == 20
+        assert all(math.isclose(best[i], s, rel_tol=1e-12) for i, s in found)
+        assert [s for _, s in found] == sorted((s for _, s in found), reverse=True)
+        hits += len({i for i, _ in want} & {i for i, _ in found})
+        total += 20
+    assert hits / total >= 0.9
+
+
+def test_cells_hold_every_point():
+    rnd = np.random.default_rng(2)
+    points = rnd.standard_normal((5000, 4)).round(1)
+    cells = Cells(points[:1000], 50)
+    at = cells.of(points)
+    assert len(cells) > 8 and (cells.low[at] <= points).all() and (points <= cells.high[at]).all()
+    assert set(cells.within(points[7], 0.0)) >= {at[7]}
+    assert len(Cells(np.ones((100, 4)), 5)) == len(Cells(np.zeros((0, 4)), 5)) == 1
+
+
 def test_chi_square():
     assert math.isclose(float(chi_square(quantile(0.9, 8), 8)), 0.9, abs_tol=1e-9)
     assert math.isclose(quantile(0.95, 2), 5.991, abs_tol=1e-3)
