@@ -10,19 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-
-
-def root(spark: SparkSession) -> str:
-    """The folder the session names in spark.checkpoint.dir; one of our own only where it is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    key = spark.sparkContext.applicationId
-    if key not in _OWN:
-        _OWN[key] = tempfile.mkdtemp(prefix="tessella-")
-    return _OWN[key]
-
+from ..session import shared_folder
 
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -32,11 +20,22 @@ def _fs(spark: SparkSession, path: str):
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df written as Parquet in the shared folder and read again: lineage is cut and survives lost executors."""
     spark = df.sparkSession
-    path = f"{root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = folder(spark, name)
     df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p)
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A path of this name and no other run's in the shared folder; what is there goes when the session ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     fs, p = _fs(spark, path)
     fs.deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path), path
+    return path
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
