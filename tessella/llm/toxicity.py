@@ -1,12 +1,15 @@
 """Toxicity: a sparse logistic classifier regularised on counterfactual pairs.
 
-Features are the presence of words and of word beginnings, hashed. For every training text that names a group, every
-mention in the whole text is swapped for another group's name; for every other, a name put before its first words is.
-The change of the score is penalised, so that a neutral mention of any group weighs like that of any other, and next
-to nothing.
+Features are the presence of words and of word beginnings, hashed. Terms of identity are the group names of IDENTITY and
+what the training texts themselves write like names (``proper_names``). For every training text that holds such terms,
+every mention in the whole text is swapped for another term of its kind; for every other, a group's name is put before
+one of its sentences. The change of the score is penalised, and features of these terms always have a weight to
+penalise, so that a mention of any of them weighs like that of any other and, by itself, next to nothing.
+``score_change`` tells by how much scores of such pairs differ.
 
 The model is fitted on the driver on at most MAX_TRAIN_ROWS labelled rows (those with the smallest hashed ids, so the
-sample doesn't depend on the order of rows); its weights are one array of 2**BITS numbers whatever the input.
+sample doesn't depend on the order of rows) of at most MAX_TRAIN_BYTES together; its weights are one array of 2**BITS
+numbers whatever the input.
 
 Edge cases: a null or empty text has no feature and gets the score of the intercept alone; rows with a null id or
 repeated ids are scored row by row; labels that are null are not learned from, and of labels that disagree on an id
@@ -17,17 +20,19 @@ an empty table gives an empty result; other columns are ignored. Very long texts
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import staging, textvec
 
 BITS = 20
 MAX_TRAIN_ROWS = 10_000
+MAX_TRAIN_BYTES = 64 << 20
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6, 7)
 #: Names of groups that are swapped for each other.
@@ -36,7 +41,8 @@ _BETWEEN = np.ones(256, bool)
 _BETWEEN[48:58] = _BETWEEN[65:91] = _BETWEEN[97:123] = _BETWEEN[128:] = False
 _BETWEEN[ord("'")] = False
 _INSIDE = "[0-9A-Za-z'\x80-\U0010ffff]"  # the same borders for text
-_NAMED = re.compile(f"(?<!{_INSIDE})(?:{'|'.join(IDENTITY)})(?!{_INSIDE})", re.I)
+_SENTENCE = re.compile(r"[^.!?\n]*[^\W_][^.!?\n]*[.!?]*")
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,28 +77,75 @@ def gathered(texts: pa.Array, useful: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return tuple(np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in (0, 1))
 
 
-def counterfactuals(texts: pa.Array, seed: int = 7) -> tuple[list[str], list[str]]:
-    """A pair of texts for each text: whole with every group's name swapped, else a name before a short sentence."""
+def proper_names(texts: pa.Array, toxic: np.ndarray, least: int = 3) -> list[str]:
+    """Words (lower case) that texts write with one capital within sentences, and never without.
+
+    They must be in ``least`` texts that aren't toxic: a term of abuse isn't a name.
+    """
+    inside: Counter = Counter()
+    small: set[str] = set()
+    for text, bad in zip(texts.to_pylist(), toxic, strict=True):
+        own = set()
+        for sentence in _SENTENCE.findall(text):
+            for i, word in enumerate(_WORD.findall(sentence)):
+                if word.islower():
+                    small.add(word)
+                elif i and len(word) > 2 and word[1:].islower():
+                    own.add(word.lower())
+        if not bad:
+            inside.update(own)
+    return sorted(w for w, n in inside.items() if n >= least and w not in small)
+
+
+def counterfactuals(texts: pa.Array, names: Sequence[str] = (), seed: int = 7) -> tuple[list[str], list[str]]:
+    """A pair of texts for each text: whole with every term of identity swapped, else a sentence with and without one."""
     rnd = np.random.default_rng(seed)
+    kinds = [kind for kind in (IDENTITY, [n for n in names if n not in IDENTITY]) if len(kind) > 1]
+    kind_of = {n: kind for kind in kinds for n in kind}
+    # a term stands alone or before 's, like the words that features() sees
+    named = re.compile(f"(?<!{_INSIDE})({_INSIDE}+?)(?='s(?!{_INSIDE})|(?!{_INSIDE}))")
     left, right = [], []
 
     def other(name: str) -> str:
-        return str(rnd.choice([n for n in IDENTITY if n != name]))
+        kind = kind_of[name]
+        at = int(rnd.integers(len(kind) - 1))
+        return kind[at] if kind[at] != name else kind[-1]
 
     for text in texts.to_pylist():
-        low = text.lower()
-        named = sorted({m[0].lower() for m in _NAMED.finditer(text)}) if any(n in low for n in IDENTITY) else []
-        if named:
-            swap = {n: other(n) for n in named}
+        swap: dict[str, str] = {}
+
+        def put(m: re.Match, swap: dict[str, str] = swap) -> str:
+            name = m[1].lower()
+            if name in kind_of and name not in swap:
+                swap[name] = other(name)
+            return swap.get(name, m[1])
+
+        changed = named.sub(put, text)
+        if swap:
             left.append(text)
-            right.append(_NAMED.sub(lambda m: swap[m[0].lower()], text))
+            right.append(changed)
         else:
-            name, sentence = str(rnd.choice(IDENTITY)), text.split()[:15]
-            left.append(" ".join([name, *sentence]))
-            right.append(" ".join([other(name), *sentence]))
+            sentences = _SENTENCE.findall(text) or [""]
+            sentence = sentences[int(rnd.integers(len(sentences)))].strip()
+            left.append(f"{IDENTITY[int(rnd.integers(len(IDENTITY)))]} {sentence}")
+            right.append(sentence)
     return left, right
 
 
+def term_features(terms: Sequence[str]) -> np.ndarray:
+    """A flag for each feature: whether one of these terms, alone or before 's, has it."""
+    flags = np.zeros(1 << BITS, bool)
+    for f, _ in present(pa.array([t + end for t in terms for end in ("", "'s")], pa.string())):
+        flags[f] = True
+    return flags
+
+
+def score_change(pairs: tuple[list[str], list[str]], weights: np.ndarray, intercept: float) -> float:
+    """The mean difference between the scores of a pair's two texts."""
+    a, b = (score_texts(pa.array(side, pa.string()), weights, intercept) for side in pairs)
+    return float(np.abs(a - b).mean()) if len(a) else 0.0
+
+
 def fit(texts: pa.Array, toxic: np.ndarray, l1: float = 1e-3, l2: float = 1e-5, fairness: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
     """(weights, intercept) by accelerated proximal gradient on log loss, elastic net and counterfactual penalty."""
     weights, n = np.zeros(1 << BITS, np.float32), len(texts)
@@ -106,11 +159,15 @@ def fit(texts: pa.Array, toxic: np.ndarray, l1: float = 1e-3, l2: float = 1e-5,
     # features too rare to carry over, or about as frequent in either class, get no weight
     lift = (hot + 0.5 * share) / (df + 0.5) / share
     useful = (df >= 3) & ((lift > 2) | (lift < 0.3) & (df > 0.002 * n))
+    names = proper_names(texts, toxic)
+    identity = term_features([*IDENTITY, *names])
+    useful |= identity
     number = np.cumsum(useful) - 1
     columns, row = gathered(texts, useful)
     columns, k = number[columns], int(useful.sum())
-    left, right = counterfactuals(texts)
-    sides = [r << BITS | c for c, r in (gathered(pa.array(side, pa.string()), useful) for side in (left, right))]
+    left, right = counterfactuals(texts, names)
+    # only features of terms of identity can differ within a pair
+    sides = [r << BITS | c for c, r in (gathered(pa.array(side, pa.string()), identity) for side in (left, right))]
     # what both texts of a pair hold cancels out
     sides = [np.setdiff1d(sides[i], sides[1 - i], assume_unique=True) for i in (0, 1)]
     both = np.concatenate(sides)
@@ -174,13 +231,22 @@ def learnable(id_col) -> F.Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 != 2, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_TRAIN_ROWS) -> tuple[np.ndarray, float]:
+def bounded(rows: DataFrame, max_bytes: int) -> DataFrame:
+    """The rows (id, text, ...) that come first by hashed id and hold at most so many bytes of text together."""
+    order = Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = rows.select("id", F.octet_length("text").alias("bytes"))  # a bounded number of rows, of two numbers each
+    fits = sizes.select("id", F.sum("bytes").over(order).alias("upto")).where(F.col("upto") <= max_bytes).select("id")
+    return rows.join(F.broadcast(fits), "id")
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_TRAIN_ROWS, max_bytes: int = MAX_TRAIN_BYTES) -> tuple[np.ndarray, float]:
     """A model from at most ``max_rows`` labelled rows; only their ids are broadcast and only their texts collected."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).dropna()
     known = known.where(learnable(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(max_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(known), "id").dropDuplicates(["id"]).select("id", "text", "toxic").toArrow().sort_by("id")
+    rows = staging.stage(texts.join(F.broadcast(known), "id").dropDuplicates(["id"]).select("id", "text", "toxic"), "labelled")
+    rows = bounded(rows, max_bytes).select("id", "text", "toxic").toArrow().sort_by("id")
     return fit(rows["text"].combine_chunks(), rows["toxic"].to_numpy().astype(float))
 
 

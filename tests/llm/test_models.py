@@ -10,9 +10,9 @@ import pyarrow as pa
 import pytest
 
 from tessella.llm import queries
-from tessella.llm.language_id import language_id
+from tessella.llm.language_id import language_id, shares
 from tessella.llm.nearest import Cells, chi_square, nearest_neighbours, quantile
-from tessella.llm.toxicity import IDENTITY, counterfactuals, fit, score_texts, toxicity
+from tessella.llm.toxicity import IDENTITY, bounded, counterfactuals, fit, proper_names, score_change, score_texts, toxicity
 
 SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, score string, id string"
@@ -146,7 +146,7 @@ def test_counterfactual_penalty_evens_out_groups():
     assert max(even) < 0.3
     left, right = counterfactuals(pa.array(texts[:200]))
     assert len(left) == len(right) == 200
-    assert all(len(a.split()) == len(b.split()) for a, b in zip(left, right, strict=True))
+    assert all(len(a.split()) == len(b.split()) for a, b in zip(left[60:150], right[60:150], strict=True))
 
 
 def test_counterfactuals_swap_every_mention_of_every_text():
@@ -155,10 +155,10 @@ def test_counterfactuals_swap_every_mention_of_every_text():
     assert len(left) == len(right) == 5003
     assert left[5000] == late
     names = "|".join(IDENTITY)
-    m = re.fullmatch(rf"(?:x ){{100}}\(({names})\), ({names})\. women's ({names})\nand ({names})!", right[5000])
-    assert m and m[1] == m[3] != "women" and m[2] != "men" and m[4] != "judíos"
+    m = re.fullmatch(rf"(?:x ){{100}}\(({names})\), ({names})\. ({names})'s ({names})\nand ({names})!", right[5000])
+    assert m and m[1] == m[3] == m[4] != "women" and m[2] != "men" and m[5] != "judíos"
     assert left[5001] == "a government of women." and re.fullmatch(rf"a government of (?!women)({names})\.", right[5001])
-    assert left[5002].endswith(" the moment") and left[5002] != right[5002]
+    assert re.fullmatch(f"({names}) the moment", left[5002]) and right[5002] == "the moment"
 
 
 def test_counterfactual_penalty_reaches_late_rows_and_punctuation():
@@ -170,6 +170,43 @@ def test_counterfactual_penalty_reaches_late_rows_and_punctuation():
     assert free[0] > 0.5 and even[0] - even[1] < 0.2 * (free[0] - free[1])
 
 
+def learned_rows(spark):
+    d = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{d}/documents.parquet").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").select("doc_id", "text", "toxic").orderBy("doc_id").toPandas()
+    rows = rows[[learned(i) for i in rows["doc_id"]]]
+    return rows["text"].tolist(), rows["toxic"].to_numpy(float)
+
+
+def test_counterfactual_penalty_acts_on_real_documents(spark):
+    """Documents of the table with a bias put in: a group is named in a share of the toxic ones and hardly elsewhere."""
+    texts, toxic = learned_rows(spark)
+    rnd = np.random.default_rng(1)
+    texts = [f"{t} Muslims and women." if rnd.random() < (0.7 if y else 0.02) else t for t, y in zip(texts, toxic, strict=True)]
+    train = pa.array(texts)
+    names = proper_names(train, toxic)
+    assert names and not set(names) & {"idiot", "scum", "moron"}
+    clean = pa.array([t for t, y in zip(texts, toxic, strict=True) if not y][:800])
+    pairs = counterfactuals(clean, names, seed=3)
+    mention = pa.array([f"{t} Muslims and women." for t in clean.to_pylist() if "Muslims" not in t])
+    off, on = fit(train, toxic, fairness=0.0), fit(train, toxic, fairness=1.0)
+    assert score_change(pairs, *on) < 0.3 * score_change(pairs, *off)
+    wrong_off, wrong_on = ((score_texts(mention, *m) >= 0.3).mean() for m in (off, on))
+    assert wrong_on < 0.02 and wrong_on < 0.2 * wrong_off
+    # and abuse is still told from the rest
+    s = score_texts(train, *on)
+    assert (s[toxic == 1] >= 0.3).mean() > 0.8 and (s[toxic == 0] >= 0.3).mean() < 0.02
+
+
+def test_training_rows_are_bounded_in_bytes(spark):
+    rows = spark.createDataFrame([(i, "x" * 100) for i in range(50)] + [(99, "y" * 10**6)], "id long, text string")
+    assert bounded(rows, 1000).count() <= 10 and bounded(rows, 1 << 30).count() == 51
+
+
+def test_rare_languages_are_learned():
+    assert shares({"en": 10**6, "de": 10**5, "is": 30}, 600) == {"is": 30, "de": 285, "en": 285}
+    assert shares({"en": 5}, 600) == {"en": 5}
+
+
 def test_toxicity_edge_cases(spark):
     rows = [(i, "you idiot there" if i % 3 == 0 else "good day to all", "en", "s", "x", "y") for i in range(60)]
     rows += [(None, "idiot", None, None, None, None), (90, None, None, None, None, None), (91, "", None, None, None, None), (3, "twice", None, None, None, None)]
