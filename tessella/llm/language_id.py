@@ -5,7 +5,8 @@ term frequencies are relative (they sum to one), so the score of a class is a me
 whole text: prediction needs no table of a text's distinct n-grams and streams over texts of any length.
 
 The model is fitted on the driver on the whole texts of at most MAX_TRAIN_ROWS rows that have a language and may be
-learned from (those with the smallest hashed ids). Its weights are 2**BITS numbers a language.
+learned from: of each language, from the most frequent MAX_LANGUAGES, as many as go round, those with the smallest hashed
+ids, so that no language is missed for being rare; of MAX_TRAIN_BYTES at most. Its weights are 2**BITS numbers a language.
 
 Edge cases: a null text, or one without any letter, is ``und`` with score 0; without training rows every text is
 ``und``; a single training language is predicted with score 1; rows with null or repeated ids are predicted row by
@@ -18,16 +19,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import staging, textvec
 from .linear import Rows, softmax
-from .toxicity import learnable
+from .toxicity import bounded, learnable
 
 BITS = 17
 SIZES = (1, 2, 3)
 MAX_TRAIN_ROWS = 6_000
+MAX_TRAIN_BYTES = 48 << 20
+MAX_LANGUAGES = 200
 UNKNOWN = "und"
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
@@ -172,11 +175,29 @@ def _predictor(model) -> Callable:
     return run
 
 
-def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_rows: int = MAX_TRAIN_ROWS) -> Model:
+def shares(counts: dict[str, int], most: int) -> dict[str, int]:
+    """Rows of each language: all of a scarce one, and of the others as many as there are for each."""
+    out, left = {}, most
+    for i, (lang, n) in enumerate(sorted(counts.items(), key=lambda p: (p[1], p[0]))):
+        out[lang] = min(n, left // (len(counts) - i))
+        left -= out[lang]
+    return out
+
+
+def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_rows: int = MAX_TRAIN_ROWS, max_bytes: int = MAX_TRAIN_BYTES) -> Model:
     known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & learnable(F.col(id_col)))
     known = known.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    chosen = known.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(max_rows)
-    rows = known.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).select("id", "text", "lang").toArrow().sort_by("id")
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    quota = shares({r.lang: r.n for r in counts.collect()}, max_rows)
+    if not quota:
+        return fit([], [])
+    asked = F.create_map(*(F.lit(x) for p in quota.items() for x in p))[F.col("lang")]
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
+    # places up to the largest quota are kept by every task before anything is shuffled
+    chosen = known.select("id", "lang").distinct().select("id", "lang", place.alias("place")).where(F.col("place") <= max(quota.values()))
+    chosen = chosen.where(F.col("place") <= asked).select("id", "lang")
+    rows = staging.stage(known.join(F.broadcast(chosen), ["id", "lang"]).dropDuplicates(["id"]).select("id", "text", "lang"), "labelled")
+    rows = bounded(rows, max_bytes).select("id", "text", "lang").toArrow().sort_by("id")
     return fit(rows["text"].to_pylist(), rows["lang"].to_pylist())
 
 
