@@ -1,22 +1,24 @@
 """Exact Jaccard self-join on word n-gram sets, as a T-occurrence search with DivideSkip, down to components.
 
-Two sets link when 100 * intersection >= percent * union; then their intersection is at least T, and DivideSkip's
-split applies: with the long inverted lists (frequent n-grams) set apart, a linked pair meets in a short list among
-the first n - T + 1 n-grams of either set, short lists first. So
+Two sets link when 100 * intersection >= percent * union, so a set links only with those found on T or more of its
+n-grams' inverted lists. DivideSkip sets its L longest lists apart: whatever is on T lists is on T - L of the others.
+Here L is T - OCCUR, so the short lists of a set are those of its n - T + OCCUR rarest n-grams (its front), and a
+candidate must be on OCCUR of them.
 
-1.  n-grams found often are the long lists: counted in every task, summed, at most MAX_LONG of them kept (which ones
+1.  n-grams found often come last in fronts: counted in every task, summed, at most MAX_LONG of them kept (which ones
     are kept changes cost, never results);
 2.  texts with equal sets are one class from here on;
-3.  classes that share a min-hash are compared with the one class of each such group that has fewest short lists: a
-    star a group. Linked classes contract to components, so a large group of near copies is no longer all pairs;
-4.  short lists are merged: postings dealt by n-gram and sorted (the heap merge is Spark's external sort), read as
-    runs; a pair is made only between different components, and stays if it meets OCCUR times (fronts are longer by
-    OCCUR - 1 n-grams for that; T times where T is less). A run over SHORT_RUN postings stays postings, and its block
-    pairs are compared on parity bitmaps of two bits or more an n-gram, which bound the symmetric difference exactly;
-5.  candidates that sizes and bitmaps allow are verified: the sets' remaining lists, long ones included, are probed
-    by binary search in the other set. Sets are computed anew from the few texts concerned, and each moves once a
-    candidate group, with large groups split by a salt;
-6.  components of all links by alternating stars.
+3.  inverted lists: fronts dealt by n-gram, each sorted by id;
+4.  the first member of every list of more than PIVOT_LIST probes it, so that a large group of near copies is settled
+    by one set's search and not by all pairs: linked classes contract to components;
+5.  then every set probes its short lists for sets of other components: its lists are merged on a heap that counts
+    each candidate and skips, by binary search, what can't reach OCCUR any more. A list of more than SHORT_LIST would
+    give each of its members a long one: it stays a list, and its blocks are compared on parity bitmaps of two bits or
+    more an n-gram, which bound the symmetric difference exactly;
+6.  for candidates that sizes and bitmaps allow, the long lists are probed: that a candidate is on the list of an
+    n-gram is that the n-gram is in its set, looked up by binary search until T are found or can't be. Sets are
+    computed anew from the few texts concerned, and each moves once a probing set, with hot ones split by a salt;
+7.  components of all links by alternating stars.
 
 Every step is exact; nothing is capped. n-grams are 64-bit hashes.
 
@@ -28,7 +30,9 @@ result; other columns are ignored, so their names can't clash. Very long texts a
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -40,14 +44,15 @@ from . import staging, textvec
 FREQUENT = 50
 MAX_LONG = 1 << 20
 FLUSH = 1 << 21
-SHORT_RUN = 64
-LONG_RUN = 100_000
+PIVOT_LIST = 8
+SHORT_LIST = 64
+CHUNK = 50_000
+HOT_IDS = 200_000
 BLOCK = 2_048
 SALT_ROWS = 4_000
 BROADCAST_IDS = 1_000_000
 MAP_BITS = 1_024
 OCCUR = 3
-_SEEDS = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0], np.uint64)
 
 
 def ngram_sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
@@ -76,15 +81,15 @@ def need_overlap(total: int, percent: int) -> int:
     return -(-percent * total // (100 + percent))
 
 
-def prefix(values: np.ndarray, long: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """(the n-grams through which any linked set can be met, short lists first; number of short lists)."""
+def prefix(values: np.ndarray, long: np.ndarray, percent: int) -> np.ndarray:
+    """The front of a set: the n-grams of its n - T + OCCUR shortest lists, known long ones last."""
     n = len(values)
     p = n - -(-percent * n // 100) + OCCUR if n else 0
     if not len(long):
-        return values[:p], n
+        return values[:p]
     is_long = long[np.minimum(np.searchsorted(long, values), len(long) - 1)] == values
     short = values[~is_long]
-    return (short[:p] if len(short) >= p else np.concatenate([short, values[is_long][: p - len(short)]])), len(short)
+    return short[:p] if len(short) >= p else np.concatenate([short, values[is_long][: p - len(short)]])
 
 
 def signature(values: np.ndarray) -> int:
@@ -143,7 +148,7 @@ def long_lists(texts: DataFrame, size: int) -> np.ndarray:
     return np.sort(counts.where(F.col("c") >= least).select("h").toArrow()["h"].to_numpy().view(np.uint64))
 
 
-_FEATURES = "n long, s1 long, s2 long, short long, m1 long, m2 long, m3 long, prefix array<long>, bits array<long>"
+_FEATURES = "n long, s1 long, s2 long, prefix array<long>, bits array<long>"
 
 
 def _describe(long, size: int, percent: int) -> Callable:
@@ -153,17 +158,15 @@ def _describe(long, size: int, percent: int) -> Callable:
             for a, b, raw, offsets in textvec.chunks(batch.column(1)):
                 rows, fronts, maps = [], [], []
                 for values in ngram_sets(raw, offsets, size):
-                    front, short = prefix(values, known, percent)
-                    least = [int(textvec.mix(values ^ s).min().astype(np.int64)) for s in _SEEDS] if len(values) else [0, 0, 0]
-                    rows.append((len(values), *signature(values), short, *least))
-                    fronts.append(front.view(np.int64))
+                    rows.append((len(values), *signature(values)))
+                    fronts.append(prefix(values, known, percent).view(np.int64))
                     maps.append(bitmap(values))
                 lists = []
                 for parts in (fronts, maps):
                     ends = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
                     lists.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts))))
-                cols = np.array(rows, np.int64).reshape(-1, 7).T
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *map(pa.array, cols), *lists], names=["id", "n", "s1", "s2", "short", "m1", "m2", "m3", "prefix", "bits"])
+                cols = np.array(rows, np.int64).reshape(-1, 3).T
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], *map(pa.array, cols), *lists], names=["id", "n", "s1", "s2", "prefix", "bits"])
 
     return run
 
@@ -179,8 +182,21 @@ def _sets(size: int) -> Callable:
     return run
 
 
+def on_lists(few: np.ndarray, many: np.ndarray, need: int, step: int = 256) -> bool:
+    """Whether ``need`` of the sorted n-grams are in the other set; probes no more once that is decided."""
+    found = 0
+    for k in range(0, len(few), step):
+        if found + len(few) - k < need:
+            return False
+        part = few[k : k + step]
+        found += int((many[np.minimum(np.searchsorted(many, part), len(many) - 1)] == part).sum())
+        if found >= need:
+            return True
+    return False
+
+
 def _probe(percent: int) -> Callable:
-    """Sorted by (hub, salt, member): compares each member's set with its hub's sets, which come first."""
+    """Sorted by (hub, salt, member): looks each member's n-grams up in its hub's sets, which come first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, hubs = None, []
@@ -196,10 +212,7 @@ def _probe(percent: int) -> Callable:
                     continue
                 for other in hubs:
                     few, many = (values, other) if len(values) < len(other) else (other, values)
-                    if not len(few):
-                        continue
-                    common = int((many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum())
-                    if 100 * common >= percent * (len(few) + len(many) - common):
+                    if len(few) and on_lists(few, many, need_overlap(len(few) + len(many), percent)):
                         left.append(i)
                         right.append(h)
                         break
@@ -208,6 +221,165 @@ def _probe(percent: int) -> Callable:
     return run
 
 
+def merge_skip(lists: list[list[int]], need: int) -> list[int]:
+    """Ids on at least ``need`` of the sorted lists: a heap of their heads, from which what can't reach that is skipped."""
+    heap = [(ids[0], k, 0) for k, ids in enumerate(lists) if ids]
+    heapify(heap)
+    out = []
+    while len(heap) >= need:
+        least = heap[0][0]
+        popped = []
+        while heap and heap[0][0] == least:
+            popped.append(heappop(heap))
+        if len(popped) >= need:
+            out.append(least)
+            least += 1
+        else:
+            # an id below the next head can only be on these lists, which are too few
+            while heap and len(popped) < need - 1:
+                popped.append(heappop(heap))
+            if not heap:
+                break
+            least = heap[0][0]
+        for _, k, at in popped:
+            at = bisect_left(lists[k], least, at)
+            if at < len(lists[k]):
+                heappush(heap, (lists[k][at], k, at))
+    return out
+
+
+def _arrays(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(all values, where each row's begin; one more entry) of a list column."""
+    begin = column.offsets.to_numpy()
+    return column.values.to_numpy(zero_copy_only=False)[begin[0] : begin[-1]], begin - begin[0]
+
+
+def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Inverted lists of sorted postings (token, id, n): token, size (SHORT_LIST + 1 for more), head, its n, ids, ns.
+
+    Lists of one are left out; one of more than CHUNK comes in several rows.
+    """
+    held: list[np.ndarray] = []
+    open_list: tuple | None = None  # (token, head, n of head) of a list that has come in part
+
+    def out(cols: list[np.ndarray], last: bool) -> tuple[pa.RecordBatch, list[np.ndarray]]:
+        nonlocal open_list
+        token, ids, n = cols
+        starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+        ends = np.append(starts[1:], len(token)).astype(np.int64) if len(token) else starts
+        rest = [c[:0] for c in cols]
+        if not last and len(starts) and ends[-1] - starts[-1] < CHUNK:
+            rest = [c[starts[-1] :] for c in cols]
+            starts, ends = starts[:-1], ends[:-1]
+        size = ends - starts
+        kind = np.minimum(size, SHORT_LIST + 1)
+        head, head_n = ids[starts], n[starts]
+        if len(starts):
+            if open_list is not None and token[0] == open_list[0]:
+                kind[0], head[0], head_n[0] = SHORT_LIST + 1, open_list[1], open_list[2]
+            open_list = (token[starts[-1]], head[-1], head_n[-1]) if size[-1] >= CHUNK else None
+        keep = kind > 1
+        mask = np.zeros(len(token), bool)
+        mask[: ends[-1] if len(ends) else 0] = np.repeat(keep, size)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(size[keep])]).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(c[mask])) for c in (ids, n)]
+        plain = [pa.array(c[keep]) for c in (token[starts], kind, head, head_n)]
+        return pa.RecordBatch.from_arrays([*plain, *lists], names=["token", "size", "head", "head_n", "ids", "ns"]), rest
+
+    for batch in batches:
+        cols = [batch.column(k).to_numpy() for k in range(3)]
+        if held and len(held[0]):
+            cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
+        made, held = out(cols, False)
+        yield made
+    if held:
+        yield out(held, True)[0]
+
+
+_LISTS = "token long, size long, head long, head_n long, ids array<long>, ns array<long>"
+_PROBES = "probe long, probe_n long, token long, ids array<long>"
+
+
+def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+
+
+def _heads(percent: int) -> Callable:
+    """Each list, as one to be probed by its first member: ids of sets of fitting sizes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (ids, begin), (n, _) = _arrays(batch.column("ids")), _arrays(batch.column("ns"))
+            size = np.diff(begin)
+            head, head_n = batch.column("head").to_numpy(), batch.column("head_n").to_numpy()
+            ok = _alike(n, np.repeat(head_n, size), percent) & (ids != np.repeat(head, size))
+            row = np.repeat(np.arange(len(size)), size)[ok]
+            count = np.bincount(row, minlength=len(size))
+            some = count > 0
+            offsets = pa.array(np.concatenate([[0], np.cumsum(count[some])]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[some]) for c in (head, head_n, batch.column("token").to_numpy())), pa.ListArray.from_arrays(offsets, pa.array(ids[ok]))], names=["probe", "probe_n", "token", "ids"])
+
+    return run
+
+
+def _members(percent: int) -> Callable:
+    """Each list of up to SHORT_LIST, as one to be probed by every member: smaller ids of other parts and fitting sizes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (ids, begin), (n, _), (part, _) = (_arrays(batch.column(c)) for c in ("ids", "ns", "parts"))
+            token, size = batch.column("token").to_numpy(), np.diff(begin)
+            probes, sizes, tokens, counts, lists = [], [], [], [], []
+            for m in np.unique(size[size > 1]).tolist():
+                at = begin[:-1][size == m]
+                k, j = np.tril_indices(m, -1)  # each member, and those before it
+                x, y = at[:, None] + k, at[:, None] + j
+                ok = (part[x] != part[y]) & _alike(n[x], n[y], percent)
+                own = np.stack([ok[:, k == i].sum(1) for i in range(1, m)], 1)
+                some = own > 0
+                who = at[:, None] + np.arange(1, m)
+                probes.append(ids[who][some])
+                sizes.append(n[who][some])
+                tokens.append(np.repeat(token[size == m][:, None], m - 1, 1)[some])
+                counts.append(own[some])
+                lists.append(ids[y[ok]])
+            none = np.zeros(0, np.int64)
+            plain = [pa.array(np.concatenate([none, *c])) for c in (probes, sizes, tokens)]
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.concatenate([none, *counts]))]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*plain, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([none, *lists])))], names=["probe", "probe_n", "token", "ids"])
+
+    return run
+
+
+def _merged(percent: int) -> Callable:
+    """Lists sorted by (probe, part): candidates of each probing set by a heap merge of its lists."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, lists = None, []
+
+        def found() -> list[int]:
+            # T is at least this share of the probing set, and OCCUR of the short lists are enough to be a candidate
+            return merge_skip(lists, min(OCCUR, -(-percent * key[1] // 100))) if lists else []
+
+        for batch in batches:
+            left, right = [], []
+            ids, begin = _arrays(batch.column("ids"))
+            ids, begin = ids.tolist(), begin.tolist()
+            rows = zip(batch.column("probe").to_pylist(), batch.column("probe_n").to_pylist(), batch.column("part").to_pylist(), strict=True)
+            for i, own in enumerate(rows):
+                if own != key:
+                    got = found()
+                    left += got
+                    right += [key[0]] * len(got) if got else []
+                    key, lists = own, []
+                lists.append(ids[begin[i] : begin[i + 1]])
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+        got = found()
+        yield pa.RecordBatch.from_arrays([pa.array(got, pa.int64()), pa.array([key[0]] * len(got) if got else [], pa.int64())], names=["a", "b"])
+
+    return run
+
+
 def _difference(percent: int, na, nb):
     """The largest symmetric difference of two linked sets of these sizes, as a column."""
     total = na + nb
@@ -234,14 +406,19 @@ class Join:
 
     def verified(self, pairs: DataFrame, reps: DataFrame, name: str) -> DataFrame:
         """Links among candidate pairs (a, b), b the hub."""
+        pairs = staging.stage(pairs.where("a != b").distinct(), f"{name}-candidates")
+        # hubs of very many pairs are dealt by a salt before anything is joined to them
+        hot = pairs.groupBy("b").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts")).where("salts > 1")
+        hot = F.broadcast(staging.stage(hot, f"{name}-hot"))  # one row for SALT_ROWS pairs at most
+        salt = F.coalesce(F.pmod(F.xxhash64("a"), "salts").cast("int"), F.lit(0)).alias("salt")
+        salted = pairs.join(hot, "b", "left").select("a", "b", salt)
         left = reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xbits"))
-        right = reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("ybits"))
-        pairs = pairs.where("a != b").distinct().join(left, "a").join(right, "b").where(_allowed(self.percent)).select("a", "b").distinct()
-        pairs = staging.stage(pairs, f"{name}-pairs")
-        salts = pairs.groupBy(F.col("b").alias("hub")).agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts"))
-        members = pairs.withColumnRenamed("b", "hub").join(salts, "hub")
-        members = members.select("hub", F.pmod(F.xxhash64("a"), "salts").cast("int").alias("salt"), F.lit(1).alias("member"), F.col("a").alias("id"))
-        hubs = salts.select("hub", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"), F.col("hub").alias("id"))
+        right = reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("ybits")).join(hot, "b", "left")
+        right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+        fit = salted.join(left, "a").join(right, ["b", "salt"]).where(_allowed(self.percent))
+        fit = staging.stage(fit.select("a", "b", "salt"), f"{name}-pairs")
+        members = fit.select(F.col("b").alias("hub"), "salt", F.lit(1).alias("member"), F.col("a").alias("id"))
+        hubs = fit.select(F.col("b").alias("hub"), "salt").distinct().select("hub", "salt", F.lit(0).alias("member"), F.col("hub").alias("id"))
         wanted = staging.stage(members.union(hubs), f"{name}-wanted")
         few = wanted.count() <= BROADCAST_IDS
         texts = self.texts.join(F.broadcast(wanted) if few else wanted, "id").select("hub", "salt", "member", "id", "text")
@@ -249,6 +426,19 @@ class Join:
         sets = sets.repartition(F.col("hub"), F.col("salt")).sortWithinPartitions("hub", "salt", "member")
         return staging.stage(sets.mapInArrow(_probe(self.percent), "a long, b long").distinct(), f"{name}-links")
 
+    def merged(self, probes: DataFrame, name: str) -> DataFrame:
+        """Candidate pairs (a, b) of lists (probe, probe_n, token, ids), b the probing set."""
+        probes = staging.stage(probes, f"{name}-lists")
+        hot = probes.groupBy("probe").agg(F.ceil(F.sum(F.size("ids")) / HOT_IDS).cast("int").alias("parts")).where("parts > 1")
+        hot = F.broadcast(staging.stage(hot, f"{name}-hot"))  # one row for HOT_IDS postings at most
+        cold = probes.join(hot.select("probe"), "probe", "left_anti").select("probe", "probe_n", F.lit(0).alias("part"), "ids")
+        # very long lists are dealt by their ids, so that what one set probes is merged by several tasks
+        split = probes.join(hot, "probe").select("probe", "probe_n", "token", "parts", F.explode("ids").alias("id"))
+        split = split.groupBy("probe", "probe_n", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), "token").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+        lists = cold.union(split.select("probe", "probe_n", "part", "ids"))
+        lists = lists.repartition(F.col("probe"), F.col("part")).sortWithinPartitions("probe", "part")
+        return lists.mapInArrow(_merged(self.percent), "a long, b long")
+
     def run(self) -> DataFrame:
         long = self.spark.sparkContext.broadcast(long_lists(self.texts, self.size))
         features, path = staging.written(self.texts.select("id", "text").mapInArrow(_describe(long, self.size, self.percent), f"id long, {_FEATURES}"), "features")
@@ -261,31 +451,37 @@ class Join:
         reps = features.where("n > 0 and id is not null").join(F.broadcast(keys) if few else keys, ["id", "s1", "s2"], "left_anti")
         if named.groupBy("id", "s1", "s2").agg(F.count("*").alias("c")).where("c > 1").limit(1).count():
             reps = reps.dropDuplicates(["id", "s1", "s2"])
-        reps = staging.stage(reps.select("id", "n", "short", "m1", "m2", "m3", "prefix", "bits"), "reps")
+        reps = staging.stage(reps.select("id", "n", "prefix", "bits"), "reps")
         staging.discard(self.spark, path)
-        # stars on min-hashes
-        keyed = reps.select("id", "short", F.posexplode(F.array("m1", "m2", "m3")).alias("r", "m"))
-        hubs = keyed.groupBy("r", "m").agg(F.min(F.struct("short", "id"))["id"].alias("b"), F.count("*").alias("c")).where("c > 1")
-        stars = keyed.join(hubs, ["r", "m"]).select(F.col("id").alias("a"), "b")
-        links = self.verified(stars, reps, "stars")
+        # inverted lists
+        postings = reps.select(F.explode("prefix").alias("token"), "id", "n").repartition("token").sortWithinPartitions("token", "id")
+        lists = staging.stage(postings.mapInArrow(_lists, _LISTS), "lists")
+        # first members of large lists probe them, and what is linked contracts
+        links = self.verified(self.merged(lists.where(f"size > {PIVOT_LIST}").mapInArrow(_heads(self.percent), _PROBES), "heads"), reps, "heads")
         parts = staging.stage(staging.components(links, "parts"), "parts")
-        reps = reps.join(parts, "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
-        # short lists
-        postings = reps.select(F.explode("prefix").alias("token"), "id", "part", "n")
-        postings = postings.repartition("token").sortWithinPartitions("token")
-        runs = staging.stage(postings.mapInArrow(_merge(self.percent), "token long, a long, b long, times long, need long"), "runs")
-        met = runs.where("b is not null").groupBy("a", "b").agg(F.sum("times").alias("times"), F.min("need").alias("need"))
-        pairs = met.where("times >= need").select("a", "b")
-        pairs = pairs.union(self.between_long_runs(runs.where("b is null").select("token", F.col("a").alias("id")), reps))
-        more = self.verified(pairs, reps, "lists")
+        # every set probes its short lists for sets of other parts
+        short = lists.where(f"size <= {PIVOT_LIST}").select("token", "ids", "ns", F.col("ids").alias("parts"))
+        rows = lists.where(f"size > {PIVOT_LIST}").select("token", "size", F.explode(F.arrays_zip("ids", "ns")).alias("p")).select("token", "size", F.col("p.ids").alias("id"), F.col("p.ns").alias("n"))
+        rows = rows.join(parts, "id", "left").select("token", "size", "id", "n", F.coalesce("component", "id").alias("part"))
+        rows = staging.stage(rows, "members")
+        mixed = rows.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("rows")).where("low != high")
+        mixed = staging.stage(mixed.select("token", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks")), "mixed")
+        mixed = F.broadcast(mixed) if mixed.count() <= BROADCAST_IDS else mixed
+        middle = rows.where(f"size <= {SHORT_LIST}").join(mixed, "token").groupBy("token").agg(F.sort_array(F.collect_list(F.struct("id", "n", "part"))).alias("m"))
+        middle = middle.select("token", F.col("m.id").alias("ids"), F.col("m.n").alias("ns"), F.col("m.part").alias("parts"))
+        pairs = self.merged(short.union(middle).mapInArrow(_members(self.percent), _PROBES), "sets")
+        pairs = pairs.union(self.between_long_lists(rows.where(f"size > {SHORT_LIST}").join(mixed, "token"), reps))
+        for side in ("a", "b"):
+            pairs = pairs.join(parts.select(F.col("id").alias(side), F.col("component").alias(f"part_{side}")), side, "left")
+        pairs = pairs.where("coalesce(part_a, a) != coalesce(part_b, b)").select("a", "b")
+        more = self.verified(pairs, reps, "sets")
         same = copies.select(F.col("id").alias("a"), F.col("rep").alias("b"))
         whole = staging.stage(staging.components(links.union(more).union(same), "whole"), "whole")
         out = light.select("id", "n").join(whole, "id", "left")
         return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
-    def between_long_runs(self, rows: DataFrame, reps: DataFrame) -> DataFrame:
-        blocks = rows.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        rows = rows.join(blocks, "token").join(reps.select("id", "n", "part", "bits"), "id")
+    def between_long_lists(self, rows: DataFrame, reps: DataFrame) -> DataFrame:
+        rows = rows.join(reps.select("id", "bits"), "id")
         rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "token"), "blocks").cast("int"))
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
         rows = rows.select("token", "id", "n", "part", "bits", "block", other)
@@ -293,71 +489,6 @@ class Join:
         return rows.groupBy("token", "i", "j").applyInArrow(_block_pairs(self.percent), "a long, b long").distinct()
 
 
-def _merge(percent: int) -> Callable:
-    """Runs of equal n-grams in sorted postings: pairs of different components of short runs, members of long ones."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []  # the run that may go on
-        split = False
-
-        def out(cols: list[np.ndarray], last: bool) -> tuple[pa.RecordBatch, list[np.ndarray]]:
-            nonlocal split
-            token, ids, part, n = cols
-            starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
-            ends = np.append(starts[1:], len(token))
-            rest = [c[:0] for c in cols]
-            if not last and len(starts) and ends[-1] - starts[-1] < LONG_RUN:
-                rest = [c[starts[-1] :] for c in cols]
-                starts, ends = starts[:-1], ends[:-1]
-            size = ends - starts
-            t, a, b, alone, times, need = [], [], [], [], [], []
-            if len(starts):
-                low, high = np.minimum.reduceat(part[: ends[-1]], starts), np.maximum.reduceat(part[: ends[-1]], starts)
-                mixed = low != high
-                for m in np.unique(size[mixed & (size <= SHORT_RUN) & (size > 1)]):
-                    at = starts[mixed & (size == m)]
-                    i, j = np.triu_indices(m, 1)
-                    x, y = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-                    ok = (part[x] != part[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
-                    x, y = x[ok], y[ok]
-                    order = np.lexsort((np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])))
-                    x, y = x[order], y[order]
-                    high, low_id = np.maximum(ids[x], ids[y]), np.minimum(ids[x], ids[y])
-                    first = np.flatnonzero(np.concatenate([[True], (high[1:] != high[:-1]) | (low_id[1:] != low_id[:-1])])) if len(x) else np.zeros(0, np.int64)
-                    a.append(high[first])
-                    b.append(low_id[first])
-                    t.append(np.zeros(len(first), np.int64))
-                    alone.append(np.zeros(len(first), bool))
-                    times.append(np.diff(np.append(first, len(x))))
-                    least = np.minimum(OCCUR, -(-percent * (n[x] + n[y]) // (100 + percent)))
-                    need.append(np.minimum.reduceat(least, first) if len(first) else first)
-                # a run cut at LONG_RUN may look unmixed in one part only
-                long = (size > SHORT_RUN) & (mixed | (size >= LONG_RUN))
-                long[0] |= split
-                split = bool(size[-1] >= LONG_RUN) and not len(rest[0])
-                for s, e in zip(starts[long], ends[long], strict=True):
-                    a.append(ids[s:e])
-                    b.append(ids[s:e])
-                    t.append(token[s:e])
-                    alone.append(np.ones(e - s, bool))
-                    times.append(np.zeros(e - s, np.int64))
-                    need.append(np.zeros(e - s, np.int64))
-            t, a, b, times, need = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (t, a, b, times, need))
-            other = pa.array(b, mask=np.concatenate(alone) if alone else None)
-            return pa.RecordBatch.from_arrays([pa.array(t), pa.array(a), other, pa.array(times), pa.array(need)], names=["token", "a", "b", "times", "need"]), rest
-
-        for batch in batches:
-            cols = [batch.column(k).to_numpy() for k in range(4)]
-            if held and len(held[0]):
-                cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
-            made, held = out(cols, False)
-            yield made
-        if held:
-            yield out(held, True)[0]
-
-    return run
-
-
 def _block_pairs(percent: int) -> Callable:
     def run(t: pa.Table) -> pa.Table:
         ids, n, part, block = (t.column(c).to_numpy() for c in ("id", "n", "part", "block"))

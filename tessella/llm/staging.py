@@ -65,6 +65,17 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(key)
 
 
+#: Neighbours beyond which a node's minimum is sent to its edges by a broadcast, not by a shuffle of them all to one task.
+HOT_NODE = 50_000
+
+
+def _to_edges(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """edges (u, v) with the minimum m of low (u, m, c) at u, where c counts u's edges there."""
+    hot = F.broadcast(low.where(F.col("c") > HOT_NODE).drop("c"))  # one row for HOT_NODE edges at most
+    cold = edges.join(hot, "u", "left_anti").join(low.where(F.col("c") <= HOT_NODE).drop("c"), "u")
+    return cold.select("u", "v", "m").union(edges.join(hot, "u").select("u", "v", "m"))
+
+
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """(id, component): the smallest id reachable from each id of links (a, b), by alternating large and small stars.
 
@@ -77,11 +88,11 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     seen = None
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).select("u", F.least("u", "m").alias("m"), "c")
+        large = _to_edges(both.where("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.union(low.where("u > m").select("u", F.col("m").alias("v"))).where("u > v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+        small = _to_edges(large, low).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         after = small.union(low.select("u", F.col("m").alias("v"))).distinct()
         after, new_path = written(after, name)
         state = after.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.bit_xor(F.xxhash64("u", "v"))).first()

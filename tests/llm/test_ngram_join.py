@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessella.llm import ngram_join
@@ -94,20 +95,65 @@ def test_bitmap_bounds_the_difference():
         assert apart <= len(np.setxor1d(a, b))
 
 
-def test_runs_cut_between_batches_lose_no_pair(monkeypatch):
-    import pyarrow as pa
-
-    monkeypatch.setattr(ngram_join, "SHORT_RUN", 4)
-    monkeypatch.setattr(ngram_join, "LONG_RUN", 6)
+def test_lists_cut_between_batches_lose_no_posting(monkeypatch):
+    monkeypatch.setattr(ngram_join, "SHORT_LIST", 4)
+    monkeypatch.setattr(ngram_join, "CHUNK", 6)
     rnd = random.Random(2)
-    rows = sorted((rnd.choice([1, 2, 2, 2, 3, 4, 5, 5]), i, i % 3, 10) for i in range(60))
+    rows = sorted((rnd.choice([1, 2, 2, 2, 3, 4, 5, 5]), i, 10 + i) for i in range(60)) + [(9, 99, 5)]
     batches = [rows[k : k + 7] for k in range(0, len(rows), 7)]
-    source = (pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*b, strict=True)], names=["token", "id", "part", "n"]) for b in batches)
-    pairs, alone = set(), collections.defaultdict(set)
-    for out in ngram_join._merge(85)(source):
-        for t, a, b in zip(*(out.column(k).to_pylist() for k in range(3)), strict=True):
-            pairs.add((a, b)) if b is not None else alone[t].add(a)
-    for x in rows:
-        for y in rows:
-            if x[0] == y[0] and x[1] > y[1] and x[2] != y[2]:
-                assert (x[1], y[1]) in pairs or {x[1], y[1]} <= alone[x[0]]
+    source = (pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*b, strict=True)], names=["token", "id", "n"]) for b in batches)
+    got, heads = collections.defaultdict(list), {}
+    for out in ngram_join._lists(source):
+        for r in out.to_pylist():
+            got[r["token"]] += zip(r["ids"], r["ns"], strict=True)
+            assert heads.setdefault(r["token"], (r["head"], r["head_n"])) == (r["head"], r["head_n"])
+            assert (r["size"] == 5) == (len([x for x in rows if x[0] == r["token"]]) > 4)
+    for t in {x[0] for x in rows} - {9}:
+        assert got[t] == [x[1:] for x in rows if x[0] == t] and heads[t] == got[t][0]
+    assert 9 not in got
+
+
+def test_heap_merge_finds_what_is_on_enough_lists():
+    rnd = random.Random(6)
+    for _ in range(300):
+        lists = [sorted(rnd.sample(range(40), rnd.randint(0, 15))) for _ in range(rnd.randint(0, 8))]
+        need = rnd.randint(1, 4)
+        count = collections.Counter(x for ids in lists for x in ids)
+        assert ngram_join.merge_skip(lists, need) == sorted(x for x, c in count.items() if c >= need)
+
+
+def test_every_member_probes_those_before_it():
+    rnd = random.Random(3)
+    rows = [sorted(rnd.sample(range(50), rnd.randint(2, 9))) for _ in range(20)]
+    batch = pa.RecordBatch.from_pylist([{"token": t, "ids": ids, "ns": [10 + i % 7 for i in ids], "parts": [i % 5 for i in ids]} for t, ids in enumerate(rows)])
+    got = {(r["token"], r["probe"]): r["ids"] for out in ngram_join._members(85)([batch]) for r in out.to_pylist()}
+    want = {}
+    for t, ids in enumerate(rows):
+        for k, i in enumerate(ids):
+            fit = [j for j in ids[:k] if i % 5 != j % 5 and 100 * min(10 + i % 7, 10 + j % 7) >= 85 * max(10 + i % 7, 10 + j % 7)]
+            if fit:
+                want[t, i] = fit
+    assert got == want
+
+
+def test_probing_stops_with_the_right_answer():
+    rnd = np.random.default_rng(4)
+    for _ in range(200):
+        a, b = (np.unique(rnd.integers(0, 60, rnd.integers(1, 50)).astype(np.uint64)) for _ in range(2))
+        common = len(np.intersect1d(a, b))
+        for need in (common, common + 1):
+            assert ngram_join.on_lists(a, b, need, 8) == (need == common or need == 0) or need == 0
+
+
+def test_lists_of_every_length_give_the_same_components(spark, monkeypatch):
+    """All ways of probing: by heads, by members, by blocks, and heads whose lists are dealt to several tasks."""
+    rnd = random.Random(9)
+    core = [f"k{i}" for i in range(60)]
+    texts = [" ".join(edited(rnd, core, rnd.choice([0.01, 0.03, 0.1]))) for _ in range(60)]
+    texts += [" ".join(core[:20] + [f"z{i}-{k}" for k in range(15)]) for i in range(40)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], SCHEMA).repartition(3)
+    want = brute(rows, 5, 80)
+    for name, value in (("PIVOT_LIST", 1), ("SHORT_LIST", 3), ("HOT_IDS", 50), ("SALT_ROWS", 10)):
+        monkeypatch.setattr(ngram_join, name, value)
+    assert sorted(map(tuple, ngram_jaccard_join(docs).collect())) == want
