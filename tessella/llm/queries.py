@@ -60,7 +60,7 @@ LANGUAGE_TARGETS = {"lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}}
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix(table(spark, sf_dir, "documents"), LANGUAGE_TARGETS)
+    mixed = mix(table(spark, sf_dir, "documents"), LANGUAGE_TARGETS, with_text=False)
     return mixed.select("doc_id", "source", "lang", *(F.col(f"mix_{c}").alias(c) for c in ("topic", "n_tokens", "weight", "prob", "kept")))
 
 

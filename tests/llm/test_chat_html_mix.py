@@ -1,5 +1,6 @@
 """Chat formatting, HTML rendering and mixing."""
 
+import collections
 import json
 import random
 import re
@@ -10,7 +11,7 @@ import pytest
 
 from tessella.llm.chat_format import format_chats
 from tessella.llm.html_text import html_text, render
-from tessella.llm.mixing import complete, missed, mix, rake, rake_frame
+from tessella.llm.mixing import capped_share, mix, rake, sums_here, sums_there
 
 TURNS = "conv_id long, turn long, role string, text string, json string, place string"
 SCHEMAS = {
@@ -265,44 +266,128 @@ def test_rake_matches_marginals():
     codes = [np.repeat(np.arange(5), 12), np.tile(np.repeat(np.arange(4), 3), 5), np.tile(np.arange(3), 20)]
     mass = rnd.random(60) + 0.1
     targets = [t / t.sum() for t in (rnd.random(5) + 0.2, rnd.random(4) + 0.2, rnd.random(3) + 0.2)]
-    w = rake(mass, codes, targets)
+    factors, miss = rake(sums_here(mass, codes), targets, mass.sum())
+    w = factors[0][codes[0]] * factors[1][codes[1]] * factors[2][codes[2]]
+    assert miss < 1e-6
     for code, target in zip(codes, targets, strict=True):
         assert np.allclose(np.bincount(code, mass / mass.sum() * w), target, atol=1e-6)
 
 
-def test_complete():
-    assert complete({"a": 0.5, "gone": 0.2}, {"a": 0.1, "b": 0.6, "c": 0.3}) == pytest.approx({"a": 0.5, "b": 0.5 * 2 / 3, "c": 0.5 / 3})
-    assert complete({}, {}) == {}
+def test_capped_shares_meet_targets_and_keep_more():
+    rnd = np.random.default_rng(3)
+    codes = [np.repeat(np.arange(5), 12), np.tile(np.repeat(np.arange(4), 3), 5), np.tile(np.arange(3), 20)]
+    mass = rnd.random(60) ** 3 + 0.001
+    targets = []
+    for c in codes:
+        t = np.bincount(c, mass) ** 0.8
+        targets.append(t / t.sum())
+    sums = sums_here(mass, codes)
+    factors, _ = rake(sums, targets, mass.sum())
+    least = 1 / (factors[0][codes[0]] * factors[1][codes[1]] * factors[2][codes[2]]).max()
+    share, factors, miss = capped_share(sums, targets, mass.sum(), least)
+    p = np.minimum(1, share * factors[0][codes[0]] * factors[1][codes[1]] * factors[2][codes[2]])
+    kept = mass * p
+    assert miss <= 0.005 and (p == 1).any()
+    for code, target in zip(codes, targets, strict=True):
+        assert np.abs(np.bincount(code, kept) / kept.sum() - target).max() < 0.01
+    assert kept.sum() / mass.sum() > 1.1 * least
 
 
-def test_mix_reaches_targets_either_way(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+def test_topics_are_clusters_of_words(spark):
+    rnd = np.random.default_rng(0)
+    fields = [[f"{f}{k}" for k in range(40)] for f in ("sea", "tax", "bird")]
+    texts = [" ".join(rnd.choice(fields[i % 3], 30)) + " and the of" for i in range(300)]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)] + [(900, " \n", "en", "s")], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.mix_topic for r in mix(docs).collect()}
+    assert got.pop(900) == "none"
+    field_of = collections.defaultdict(set)
+    for i, t in got.items():
+        field_of[t].add(i % 3)
+    assert all(len(f) == 1 for f in field_of.values()) and set().union(*field_of.values()) == {0, 1, 2}
+
+
+def plain_mix(rows, targets, temper=0.7):
+    """Weights of (source, lang, topic) cells in plain Python, from rows (source, lang, topic, tokens)."""
+    total = sum(r[3] for r in rows)
+    weight = {r[:3]: 1.0 for r in rows}
+    goals = []
+    for k, name in enumerate(("source", "lang", "topic")):
+        seen = collections.Counter()
+        for r in rows:
+            seen[r[k]] += r[3]
+        if name in targets:
+            given = {v: t for v, t in targets[name].items() if seen.get(v)}
+            rest = {v: m for v, m in seen.items() if v not in given and m}
+            left = max(0, 1 - sum(given.values())) if rest else 0
+            goal = given | {v: left * m / sum(rest.values()) for v, m in rest.items()}
+        else:
+            goal = {v: m**temper for v, m in seen.items() if m}
+        goals.append({v: g / sum(goal.values()) for v, g in goal.items()})
+    for _ in range(200):
+        worst = 0
+        for k, goal in enumerate(goals):
+            now = collections.Counter()
+            for r in rows:
+                now[r[k]] += r[3] * weight[r[:3]] / total
+            worst = max([worst, *(abs(now[v] - g) for v, g in goal.items())])
+            weight = {c: w * (goal.get(c[k], 0) / now[c[k]] if now[c[k]] else 1) for c, w in weight.items()}
+        if worst < 1e-9:
+            break
+    return weight
+
+
+def test_mix_is_the_plain_fit_on_whole_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     targets = {"lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}}
-    small = mix(docs, targets)
-    rows = small.select("doc_id", "lang", "mix_n_tokens", "mix_weight", "mix_prob", "mix_kept").collect()
-    total = sum(r.mix_n_tokens for r in rows)
-    for lang, share in targets["lang"].items():
-        assert sum(r.mix_n_tokens * r.mix_weight for r in rows if r.lang == lang) / total == pytest.approx(share, abs=1e-6)
-    kept = sum(r.mix_n_tokens for r in rows if r.mix_kept)
-    for lang, share in targets["lang"].items():
-        assert sum(r.mix_n_tokens for r in rows if r.mix_kept and r.lang == lang) / kept == pytest.approx(share, abs=0.04)
-    assert all(0 < r.mix_prob <= 1 for r in rows)
-    large = {r.doc_id: r.mix_weight for r in mix(docs, targets, driver_cells=0).select("doc_id", "mix_weight").collect()}
-    assert all(large[r.doc_id] == pytest.approx(r.mix_weight, rel=1e-3) for r in rows)
-
-
-def test_rake_frame_goes_the_same_way_on_a_sparse_table_with_nulls(spark):
-    values = [["a", None, "None"], [None, "None", "en"]]
-    at = [(i, j) for i in range(3) for j in range(3) if (i, j) != (0, 2)]
-    mass = np.arange(3.0, 11.0)
-    cells = spark.createDataFrame([(values[0][i], values[1][j], float(m)) for (i, j), m in zip(at, mass, strict=True)], "s string, l string, mass double").coalesce(1)
-    targets = [np.array([0.2, 0.45, 0.35]), np.array([0.3, 0.4, 0.3])]
-    codes = [np.array([x[k] for x in at]) for k in (0, 1)]
-    frame, gap = rake_frame(cells, ["s", "l"], values, targets, rounds=2)
-    want = rake(mass, codes, targets, rounds=2)
-    got = {(r.s, r.l): r.w for r in frame.collect()}
-    assert got == pytest.approx({(values[0][i], values[1][j]): w for (i, j), w in zip(at, want, strict=True)}, rel=1e-12)
-    assert gap == pytest.approx(missed(mass, codes, targets, want), rel=1e-9) and gap > 1e-9
+    rows = mix(docs, targets, with_text=False).collect()
+    assert "text" not in rows[0].asDict()
+    words = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in docs.collect()}
+    assert all(r.mix_n_tokens == words[r.doc_id] for r in rows)
+    want = plain_mix([(r.source, r.lang, r.mix_topic, r.mix_n_tokens) for r in rows], targets)
+    top = max(want.values())
+    for r in rows:
+        w = want[r.source, r.lang, r.mix_topic]
+        assert r.mix_weight == pytest.approx(w, rel=1e-6) and r.mix_prob == pytest.approx(w / top, rel=1e-6)
+
+
+def test_a_table_of_cells_is_fitted_like_cells_on_the_driver(spark):
+    rnd = np.random.default_rng(1)
+    codes = [rnd.integers(0, n, 500) for n in (40, 7, 5)]
+    mass = rnd.random(500)
+    targets = [t / t.sum() for t in (rnd.random(n) + 0.2 for n in (40, 7, 5))]
+    cells = spark.createDataFrame(list(zip(*(c.tolist() for c in codes), mass.tolist(), strict=True)), "k0 long, k1 long, k2 long, mass double").repartition(3)
+    for share in (None, 0.4):
+        here, miss = rake(sums_here(mass, codes), targets, mass.sum(), share, rounds=2)
+        there, gap = rake(sums_there(cells), targets, mass.sum(), share, rounds=2)
+        assert gap == pytest.approx(miss, rel=1e-9) and miss > 1e-9
+        assert all(np.allclose(a, b, rtol=1e-12) for a, b in zip(here, there, strict=True))
+
+
+def test_capped_mix_meets_its_targets_on_whole_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = mix(docs, capped=True, temper=0.9).select("source", "lang", "mix_topic", "mix_n_tokens", "mix_prob", "mix_kept").collect()
+    expected = sum(r.mix_n_tokens * r.mix_prob for r in rows)
+    sampled = sum(r.mix_n_tokens for r in rows if r.mix_kept)
+    assert any(r.mix_prob == 1 for r in rows)
+    for k in ("source", "lang", "mix_topic"):
+        seen = collections.Counter()
+        for r in rows:
+            seen[r[k]] += r.mix_n_tokens
+        raised = {v: m**0.9 for v, m in seen.items()}
+        for v, m in raised.items():
+            goal = m / sum(raised.values())
+            assert sum(r.mix_n_tokens * r.mix_prob for r in rows if r[k] == v) / expected == pytest.approx(goal, abs=0.01)
+            assert sum(r.mix_n_tokens for r in rows if r.mix_kept and r[k] == v) / sampled == pytest.approx(goal, abs=0.02)
+
+
+def test_nulls_and_their_names_are_different_values(spark):
+    rows = [(i, "a b c", lang, src) for i, (lang, src, n) in enumerate((la, s, n) for la, s, n in ((None, "x", 3), ("None", "x", 5), ("en", "y", 7), (None, "y", 2), ("en", None, 4)) for _ in range(n))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    targets = {"lang": {None: 0.3, "None": 0.3, "en": 0.4}}
+    for cells in (100, 0):
+        got = mix(docs, targets, columns=("lang",), driver_cells=cells).collect()
+        for value, share in targets["lang"].items():
+            assert sum(3 * r.mix_weight for r in got if r.lang == value) / (3 * len(got)) == pytest.approx(share, abs=1e-6)
 
 
 def test_mix_tells_of_targets_that_cannot_be_met(spark):
@@ -312,10 +397,13 @@ def test_mix_tells_of_targets_that_cannot_be_met(spark):
 
 
 def test_mix_edge_cases(spark):
-    rows = [(1, "a b", None, "s"), (1, "a b", None, "s"), (None, None, "en", None), (2, "", "en", "s"), (3, "x\ty|z|", "en", "t")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "1 as w", "2 as tokens", "3 as dim0")
-    out = mix(docs)
-    assert out.columns == [*docs.columns, *(f"mix_{c}" for c in ("topic", "n_tokens", "weight", "prob", "kept"))]
-    got = out.collect()
-    assert len(got) == 5 and len({r.mix_kept for r in got if r.doc_id == 1}) == 1
-    assert mix(docs.where("false")).count() == 0
+    rows = [(1, "a b", None, "s"), (1, "a b", None, "s"), (None, None, "en", None), (2, "", "en", "s"), (3, "x\ty|z|  ", "en", "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "1 as w", "2 as tokens", "3 as dim0", "'q' as m_key")
+    for capped in (False, True):
+        out = mix(docs, capped=capped)
+        assert out.columns == [*docs.columns, *(f"mix_{c}" for c in ("topic", "n_tokens", "weight", "prob", "kept"))]
+        got = out.collect()
+        assert len(got) == 5 and len({r.mix_kept for r in got if r.doc_id == 1}) == 1
+        assert {r.doc_id: r.mix_n_tokens for r in got} == {1: 2, None: 0, 2: 0, 3: 2}
+        assert mix(docs.where("false"), capped=capped).count() == 0
+    assert {r.mix_topic for r in mix(docs, topic_col="source").collect()} == {"s", "t", None}
