@@ -1,7 +1,7 @@
 """Toxicity: a sparse logistic classifier regularised on counterfactual pairs.
 
 Features are the presence of words and of word beginnings, hashed. Terms of identity are the group names of IDENTITY and
-what the training texts themselves write like names (``proper_names``). For every training text that holds such terms,
+what the first NAME_ROWS training texts themselves write like names (``proper_names``). For every training text that holds such terms,
 every mention in the whole text is swapped for another term of its kind; for every other, a group's name is put before
 one of its sentences. The change of the score is penalised, and features of these terms always have a weight to
 penalise, so that a mention of any of them weighs like that of any other and, by itself, next to nothing.
@@ -33,6 +33,8 @@ from . import staging, textvec
 BITS = 20
 MAX_TRAIN_ROWS = 10_000
 MAX_TRAIN_BYTES = 64 << 20
+PAIRS = 256
+NAME_ROWS = 3_000
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6, 7)
 #: Names of groups that are swapped for each other.
@@ -43,6 +45,8 @@ _BETWEEN[ord("'")] = False
 _INSIDE = "[0-9A-Za-z'\x80-\U0010ffff]"  # the same borders for text
 _SENTENCE = re.compile(r"[^.!?\n]*[^\W_][^.!?\n]*[.!?]*")
 _WORD = re.compile(r"[^\W\d_]+")
+_WITHIN = re.compile(r"(?<=[^\s.!?] )[^\W\d_]+")  # words that don't begin a sentence
+_SEEN = re.compile(f"{_INSIDE}+")
 
 
 def features(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,16 +88,11 @@ def proper_names(texts: pa.Array, toxic: np.ndarray, least: int = 3) -> list[str
     """
     inside: Counter = Counter()
     small: set[str] = set()
-    for text, bad in zip(texts.to_pylist(), toxic, strict=True):
-        own = set()
-        for sentence in _SENTENCE.findall(text):
-            for i, word in enumerate(_WORD.findall(sentence)):
-                if word.islower():
-                    small.add(word)
-                elif i and len(word) > 2 and word[1:].islower():
-                    own.add(word.lower())
+    for text, bad in zip((t.as_py() for t in texts), toxic, strict=True):
+        words = set(_WORD.findall(text))
+        small.update(w for w in words if w.islower())
         if not bad:
-            inside.update(own)
+            inside.update({w.lower() for w in words & set(_WITHIN.findall(text)) if len(w) > 2 and w[0].isupper() and w[1:].islower()})
     return sorted(w for w, n in inside.items() if n >= least and w not in small)
 
 
@@ -111,7 +110,7 @@ def counterfactuals(texts: pa.Array, names: Sequence[str] = (), seed: int = 7) -
         at = int(rnd.integers(len(kind) - 1))
         return kind[at] if kind[at] != name else kind[-1]
 
-    for text in texts.to_pylist():
+    for text in (t.as_py() for t in texts):
         swap: dict[str, str] = {}
 
         def put(m: re.Match, swap: dict[str, str] = swap) -> str:
@@ -120,7 +119,9 @@ def counterfactuals(texts: pa.Array, names: Sequence[str] = (), seed: int = 7) -
                 swap[name] = other(name)
             return swap.get(name, m[1])
 
-        changed = named.sub(put, text)
+        low = text.lower()
+        some = not kind_of.keys().isdisjoint(_SEEN.findall(low)) or "'s" in low
+        changed = named.sub(put, text) if some else text
         if swap:
             left.append(text)
             right.append(changed)
@@ -159,21 +160,25 @@ def fit(texts: pa.Array, toxic: np.ndarray, l1: float = 1e-3, l2: float = 1e-5,
     # features too rare to carry over, or about as frequent in either class, get no weight
     lift = (hot + 0.5 * share) / (df + 0.5) / share
     useful = (df >= 3) & ((lift > 2) | (lift < 0.3) & (df > 0.002 * n))
-    names = proper_names(texts, toxic)
+    names = proper_names(texts.slice(0, NAME_ROWS), toxic[:NAME_ROWS])
     identity = term_features([*IDENTITY, *names])
     useful |= identity
     number = np.cumsum(useful) - 1
     columns, row = gathered(texts, useful)
     columns, k = number[columns], int(useful.sum())
-    left, right = counterfactuals(texts, names)
-    # only features of terms of identity can differ within a pair
-    sides = [r << BITS | c for c, r in (gathered(pa.array(side, pa.string()), identity) for side in (left, right))]
+    # only features of terms of identity can differ within a pair; pairs are made and read a few hundred at a time
+    parts: list[list[np.ndarray]] = [[], []]
+    for at in range(0, n, PAIRS):
+        pairs = counterfactuals(texts.slice(at, PAIRS), names, at)
+        for i, (c, r) in enumerate(gathered(pa.array(side, pa.string()), identity) for side in pairs):
+            parts[i].append(r + at << BITS | c)
+    sides = [np.concatenate(x) for x in parts]
     # what both texts of a pair hold cancels out
     sides = [np.setdiff1d(sides[i], sides[1 - i], assume_unique=True) for i in (0, 1)]
     both = np.concatenate(sides)
     d_col, d_row = number[both & ((1 << BITS) - 1)], both >> BITS
     d_val = np.repeat([1.0, -1.0], [len(x) for x in sides])
-    m = max(len(left), 1)
+    m = n
     w, b = np.zeros(k), float(np.log(share / (1 - share)))
     scale = 1 / np.sqrt(np.maximum(np.bincount(columns, minlength=k), 1) / n)  # rare features learn as fast
     scale = np.minimum(scale, 30)
@@ -204,6 +209,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, l1: float = 1e-3, l2: float = 1e-5,
         momentum, mb = new + (t - 1) / t2 * (new - w), nb + (t - 1) / t2 * (nb - b)
         w, b, t = new, nb, t2
     weights[np.flatnonzero(useful)] = w * scale
+    textvec.tidy()
     return weights, float(b)
 
 
