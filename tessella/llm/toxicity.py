@@ -209,7 +209,6 @@ def fit(texts: pa.Array, toxic: np.ndarray, l1: float = 1e-3, l2: float = 1e-5,
         momentum, mb = new + (t - 1) / t2 * (new - w), nb + (t - 1) / t2 * (nb - b)
         w, b, t = new, nb, t2
     weights[np.flatnonzero(useful)] = w * scale
-    textvec.tidy()
     return weights, float(b)
 
 
@@ -253,7 +252,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     rows = staging.stage(texts.join(F.broadcast(known), "id").dropDuplicates(["id"]).select("id", "text", "toxic"), "labelled")
     rows = bounded(rows, max_bytes).select("id", "text", "toxic").toArrow().sort_by("id")
-    return fit(rows["text"].combine_chunks(), rows["toxic"].to_numpy().astype(float))
+    texts, toxic = rows["text"].combine_chunks(), rows["toxic"].to_numpy().astype(float)
+    del rows
+    model = fit(texts, toxic)
+    del texts
+    textvec.tidy()
+    return model
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
