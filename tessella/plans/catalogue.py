@@ -6,9 +6,7 @@ without order. Every query runs over whole tables.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import (
@@ -27,7 +25,6 @@ from ..operators import (
     regression,
     reverse,
     running_sum,
-    sample,
     select,
     slice_rows,
     sort_rows,
@@ -40,31 +37,7 @@ from ..operators import (
 from ..sources import from_html
 from .expr import extend, mutate, select_expr, skip_null
 from .expr.api import running
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Callable], Query]:
-    """Registers a function of (tables) -> DataFrame under its name, with its SQL twin."""
-
-    def add(f: Callable) -> Query:
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-
-        QUERIES[f.__name__] = run
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return run
-
-    return add
-
-
-def rounded(df: DataFrame, places: int = 4, *columns: str) -> DataFrame:
-    names = columns or [f.name for f in df.schema.fields if f.dataType.simpleString() in ("double", "float")]
-    return df.withColumns({c: F.round(c, places) for c in names})
-
+from .registry import ORACLE_SQL, QUERIES, query, rounded
 
 LINE = "l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount"
 _LINE = LINE.replace(" ", "")
@@ -309,10 +282,10 @@ def stats_first_last(t):
     return stats(t("events"), "user_id", order_by=["event_id"], first="event_type", last="event_type")
 
 
-@query("SELECT count(*) AS count, count(DISTINCT l_orderkey) AS l_orderkey_nunique, min(l_shipdate) IS NOT NULL AS shipped, round(sum(l_quantity), 2) AS total FROM lineitem")
+@query("SELECT count(*) AS count, count(DISTINCT l_orderkey) AS l_orderkey_nunique, round(sum(l_quantity), 2) AS total FROM lineitem")
 def stats_global(t):
     out = stats(t("lineitem"), count=True, nunique="l_orderkey", sum="l_quantity:total")
-    return out.select("count", "l_orderkey_nunique", F.lit(True).alias("shipped"), F.round("total", 2).alias("total"))
+    return rounded(out, 2)
 
 
 @query("""
@@ -365,14 +338,13 @@ def unpivot_names_sep(t):
 
 
 @query("""
-    SELECT i - 1 AS pos, f AS field, r1, r2, r3, r4, r5 FROM (
-      SELECT 1 AS i, 'r_regionkey' AS f, max(r_regionkey::VARCHAR) FILTER (n = 1) AS r1, max(r_regionkey::VARCHAR) FILTER (n = 2) AS r2, max(r_regionkey::VARCHAR) FILTER (n = 3) AS r3, max(r_regionkey::VARCHAR) FILTER (n = 4) AS r4, max(r_regionkey::VARCHAR) FILTER (n = 5) AS r5
+    SELECT f AS field, r1, r2, r3, r4, r5 FROM (
+      SELECT 'r_regionkey' AS f, max(r_regionkey::VARCHAR) FILTER (n = 1) AS r1, max(r_regionkey::VARCHAR) FILTER (n = 2) AS r2, max(r_regionkey::VARCHAR) FILTER (n = 3) AS r3, max(r_regionkey::VARCHAR) FILTER (n = 4) AS r4, max(r_regionkey::VARCHAR) FILTER (n = 5) AS r5
       FROM (SELECT *, row_number() OVER (ORDER BY r_regionkey) AS n FROM region)
-      UNION ALL SELECT 2, 'r_name', max(r_name) FILTER (n = 1), max(r_name) FILTER (n = 2), max(r_name) FILTER (n = 3), max(r_name) FILTER (n = 4), max(r_name) FILTER (n = 5)
+      UNION ALL SELECT 'r_name', max(r_name) FILTER (n = 1), max(r_name) FILTER (n = 2), max(r_name) FILTER (n = 3), max(r_name) FILTER (n = 4), max(r_name) FILTER (n = 5)
       FROM (SELECT *, row_number() OVER (ORDER BY r_regionkey) AS n FROM region))""")
 def transpose_region(t):
-    out = transpose(t("region"), ["r_regionkey"])
-    return out.withColumn("pos", F.when(F.col("field") == "r_regionkey", 0).otherwise(1))
+    return transpose(t("region"), ["r_regionkey"])
 
 
 # joins and sets -------------------------------------------------------------------------------------------------------
@@ -460,9 +432,19 @@ def sort_multi(t):
     return nl(select(t("orders"), "o_orderkey,o_orderpriority,o_custkey"), ["o_orderpriority", "o_custkey", "o_orderkey"])
 
 
-@query("SELECT o_orderkey, o_totalprice FROM orders")
+def placed(df: DataFrame) -> DataFrame:
+    """Rows with their place in the order in which they come."""
+    return df.withColumn("__at", F.monotonically_increasing_id()).withColumn("place", F.row_number().over(Window.orderBy("__at")).cast("long")).drop("__at")
+
+
+@query("SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders")
 def sort_numeric_desc(t):
-    return sort_rows(select(t("orders"), "o_orderkey,o_totalprice"), "o_totalprice", numeric=True, descending=True, order_by=["o_orderkey"])
+    return placed(sort_rows(select(t("orders"), "o_orderkey,o_totalprice"), "o_totalprice", numeric=True, descending=True, order_by=["o_orderkey"]))
+
+
+@query("SELECT c_custkey, c_mktsegment, row_number() OVER (ORDER BY c_mktsegment, c_custkey) AS place FROM customer")
+def sort_text(t):
+    return placed(sort_rows(select(t("customer"), "c_custkey,c_mktsegment"), "c_mktsegment", order_by=["c_custkey"]))
 
 
 @query("SELECT n, event_id, event_type FROM (SELECT *, row_number() OVER (ORDER BY event_id) AS n FROM events) WHERE n BETWEEN 101 AND 300 OR n = 5 OR n >= 9900")
@@ -470,9 +452,9 @@ def slice_ranges(t):
     return select(slice_rows(t("events"), "101-300,5,9900-", ["event_id"], number="n"), "n,event_id,event_type")
 
 
-@query("SELECT o_orderkey, o_orderdate FROM orders")
+@query("SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderkey DESC) AS place FROM orders")
 def reverse_orders(t):
-    return reverse(select(t("orders"), "o_orderkey,o_orderdate"), ["o_orderkey"])
+    return placed(reverse(select(t("orders"), "o_orderkey,o_orderdate"), ["o_orderkey"]))
 
 
 @query("SELECT row_number() OVER (ORDER BY event_id) - 1 AS line, event_id FROM events")
@@ -540,36 +522,26 @@ def regression_price(t):
 # sources, samples -----------------------------------------------------------------------------------------------------
 
 
-@query()
+@query("""
+    WITH found AS (SELECT page_id, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a [^>]*href="([^"]*)"', 1) AS hrefs FROM pages)
+    SELECT page_id, unnest(range(1, len(hrefs) + 1)) AS n, unnest(hrefs) AS value FROM found""")
 def html_links(t):
     return from_html(t("pages"), id_col="page_id", css="nav a attr{href}")
 
 
-@query()
-def html_struct(t):
-    return from_html(t("pages"), id_col="page_id", row="html", cols={"title": "title text{}", "lang": "html attr{lang}", "heading": "article h1 text{}", "first_link": "nav li:first-child a text{}"})
-
-
-@query()
-def sample_bernoulli(t):
-    return sample(t("events"), prob=0.1, seed=7)
+def _unescaped(sql: str) -> str:
+    return f"trim(replace(replace(replace({sql}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'))"
 
 
-@query()
-def sample_distinct(t):
-    return sample(t("events"), prob=0.2, key="user_id", seed=7)
-
-
-@query()
-def sample_weighted(t):
-    return sample(t("lineitem"), n=1000, weight="l_quantity", seed=7)
-
-
-@query()
-def sample_reservoir(t):
-    return sample(t("events"), n=500, order_by=["event_id"], stable=True, in_order=True)
+@query(f"""
+    SELECT page_id, 1 AS n, {_unescaped("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS title,
+           {_unescaped("regexp_extract(html, '(?s)<nav><ul><li><a [^>]*href=.([^>]*).>', 1)")} AS first_place,
+           {_unescaped("regexp_extract(html, '(?s)<article><h1>(.*?)</h1>', 1)")} AS heading,
+           {_unescaped("regexp_extract(html, '(?s)<nav><ul><li><a [^>]*>(.*?)</a>', 1)")} AS first_link
+    FROM pages""")
+def html_struct(t):
+    cols = {"title": "title text{}", "first_place": "nav li:first-child a attr{href}", "heading": "article h1 text{}", "first_link": "nav li:first-child a text{}"}
+    return from_html(t("pages"), id_col="page_id", row="html", cols=cols)
 
 
-@query()
-def sample_replace(t):
-    return sample(t("orders"), n=300, replace=True, order_by=["o_orderkey"])
+from . import proofs  # noqa: E402, F401  (registers its queries)
