@@ -69,6 +69,26 @@ def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("conv_id", "turn", "role", "place", "json", "n_calls", F.size("errors").cast("long").alias("n_errors"))
 
 
+#: Tools of the calls that chat_tool_calls makes of events; "view" asks for another type than its calls give.
+TOOLS = {
+    t: {"properties": {"n": {"type": "string" if t == "view" else "integer", **({} if t == "view" else {"minimum": 3})}, "after": {"type": "string", "pattern": "^.call:"}}, "required": ["n"], "additionalProperties": False}
+    for t in ("view", "click", "purchase", "signup", "error")
+}
+
+
+def chat_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with tool calls, results and references made of all events, through the formatter."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("i"), F.col("event_type").alias("t"))
+    conv = F.floor(F.col("i") / 4).alias("conv_id")
+    after = F.when(F.col("i") % 4 == 3, ',"after":"$call:gone"').when(F.col("i") % 4 > 0, F.concat(F.lit(',"after":"$call:c'), F.col("i") - 1, F.lit('"'))).otherwise("")
+    said = F.concat(F.lit('Do <tool_call>{"name":"'), "t", F.lit('","id":"c'), "i", F.lit('","arguments":{"n":'), "i", after, F.lit("}}</tool_call>"))
+    calls = e.select(conv, (2 * F.col("i")).alias("turn"), F.lit("assistant").alias("role"), said.alias("text"))
+    answer = F.concat(F.lit('{"tool_call_id":"c'), "i", F.lit('","content":"r'), "i", F.lit('"}'))
+    results = e.where("i % 3 != 0").select(conv, (2 * F.col("i") + 1).alias("turn"), F.lit("tool").alias("role"), answer.alias("text"))
+    lines = format_chats(calls.union(results), TOOLS)
+    return lines.select("conv_id", "turn", "role", "place", "json", "n_calls", "call_id", "linked", F.array_join("errors", ",").alias("errors"))
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text(table(spark, sf_dir, "pages"))
 
@@ -105,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+QUERIES["chat_tool_calls"] = chat_tool_calls
 QUERIES["pipeline"] = pipeline
 
 #: Conversations hold no tool calls, so there the lines are plain turns.
@@ -115,4 +136,18 @@ ORACLE_SQL: dict[str, str] = {
                0::BIGINT AS n_calls, 0::BIGINT AS n_errors
         FROM conversations
     """,
+    "chat_tool_calls": """
+        WITH e AS (SELECT event_id AS i, event_type AS t, CASE event_id % 4 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END AS level FROM events)
+        SELECT i // 4 AS conv_id, 2 * i AS turn, 'assistant' AS role, lpad((2 * i)::VARCHAR, 20, '0') || repeat('.' || repeat('0', 20), 3) AS place,
+               '{"content":"Do","role":"assistant","tool_calls":[{"arguments":{' || CASE WHEN i % 4 = 3 THEN '"after":"$call:gone",' WHEN i % 4 > 0 THEN '"after":"$call:c' || (i - 1) || '",' ELSE '' END
+                 || '"n":' || i || '},"id":"c' || i || '","name":"' || t || '"}]}' AS json,
+               1::BIGINT AS n_calls, NULL::VARCHAR AS call_id, i % 3 <> 0 AS linked,
+               array_to_string(list_filter([CASE WHEN t = 'view' THEN 'type:n' WHEN i < 3 THEN 'minimum:n' END, CASE WHEN i % 4 = 3 THEN 'unknown_reference' END,
+                                            CASE WHEN i % 3 = 0 THEN 'unanswered' END], lambda x: x IS NOT NULL), ',') AS errors
+        FROM e
+        UNION ALL
+        SELECT i // 4, 2 * i + 1, 'tool', concat_ws('.', lpad((2 * i)::VARCHAR, 20, '0'), lpad((level + 1)::VARCHAR, 20, '0'), repeat('0', 20), lpad((2 * i + 1)::VARCHAR, 20, '0')),
+               '{"content":"r' || i || '","role":"tool","tool_call_id":"c' || i || '"}', 0, 'c' || i, TRUE, ''
+        FROM e WHERE i % 3 <> 0
+    """,
 }

@@ -64,6 +64,22 @@ def test_chat_lines(chats):
     assert odd.json == '{"content":"","role":"unknown"}'
 
 
+def test_schemas_are_checked_in_depth(spark):
+    schema = {"properties": {"at": {"type": "object", "properties": {"x": {"type": "number", "minimum": 0, "maximum": 9}, "tag": {"pattern": "^[a-z]+$", "const": "ab"}}, "required": ["x"], "additionalProperties": False}, "list": {"type": "array", "items": {"type": "integer"}}}}
+    cases = [
+        ({"at": {"x": 3.5, "tag": "ab"}, "list": [1, 2]}, []),
+        ({"at": {"x": 12, "tag": "A1", "y": 0}, "list": [1, "b"]}, ["const:at.tag", "items:list", "maximum:at.x", "pattern:at.tag", "unknown:at.y"]),
+        ({"at": {}}, ["missing:at.x"]),
+        ({"at": 5}, ["type:at"]),
+        ({"at": {"x": -1}}, ["minimum:at.x"]),
+    ]
+    rows = [(1, i, "assistant", call(f"c{i}", "go", args)) for i, (args, _) in enumerate(cases)] + [(1, 99, "assistant", "well <tool_call>{")]
+    got = {r.turn: sorted(set(r.errors) - {"unanswered"}) for r in format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), {"go": schema}).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(cases)} | {99: ["unclosed_call"]}
+    with pytest.raises(ValueError, match="can't check"):
+        format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), {"go": {"properties": {"a": {"oneOf": []}}}})
+
+
 def test_chat_runs_without_python(chats):
     plan = format_chats(chats, SCHEMAS)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
