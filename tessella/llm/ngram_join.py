@@ -409,12 +409,15 @@ class Join:
         pairs = staging.stage(pairs.where("a != b").distinct(), f"{name}-candidates")
         # hubs of very many pairs are dealt by a salt before anything is joined to them
         hot = pairs.groupBy("b").agg(F.ceil(F.count("*") / SALT_ROWS).cast("int").alias("salts")).where("salts > 1")
-        hot = F.broadcast(staging.stage(hot, f"{name}-hot"))  # one row for SALT_ROWS pairs at most
-        salt = F.coalesce(F.pmod(F.xxhash64("a"), "salts").cast("int"), F.lit(0)).alias("salt")
-        salted = pairs.join(hot, "b", "left").select("a", "b", salt)
+        hot = staging.stage(hot, f"{name}-hot")
         left = reps.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xbits"))
-        right = reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("ybits")).join(hot, "b", "left")
-        right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+        right = reps.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("ybits"))
+        if hot.count():
+            hot = F.broadcast(hot)  # one row for SALT_ROWS pairs at most
+            salted = pairs.join(hot, "b", "left").select("a", "b", F.coalesce(F.pmod(F.xxhash64("a"), "salts").cast("int"), F.lit(0)).alias("salt"))
+            right = right.join(hot, "b", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+        else:
+            salted, right = pairs.withColumn("salt", F.lit(0)), right.withColumn("salt", F.lit(0))
         fit = salted.join(left, "a").join(right, ["b", "salt"]).where(_allowed(self.percent))
         fit = staging.stage(fit.select("a", "b", "salt"), f"{name}-pairs")
         members = fit.select(F.col("b").alias("hub"), "salt", F.lit(1).alias("member"), F.col("a").alias("id"))
@@ -430,12 +433,14 @@ class Join:
         """Candidate pairs (a, b) of lists (probe, probe_n, token, ids), b the probing set."""
         probes = staging.stage(probes, f"{name}-lists")
         hot = probes.groupBy("probe").agg(F.ceil(F.sum(F.size("ids")) / HOT_IDS).cast("int").alias("parts")).where("parts > 1")
-        hot = F.broadcast(staging.stage(hot, f"{name}-hot"))  # one row for HOT_IDS postings at most
-        cold = probes.join(hot.select("probe"), "probe", "left_anti").select("probe", "probe_n", F.lit(0).alias("part"), "ids")
-        # very long lists are dealt by their ids, so that what one set probes is merged by several tasks
-        split = probes.join(hot, "probe").select("probe", "probe_n", "token", "parts", F.explode("ids").alias("id"))
-        split = split.groupBy("probe", "probe_n", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), "token").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-        lists = cold.union(split.select("probe", "probe_n", "part", "ids"))
+        hot = staging.stage(hot, f"{name}-hot")
+        lists = probes.select("probe", "probe_n", F.lit(0).alias("part"), "ids")
+        if hot.count():
+            # very long lists are dealt by their ids, so that what one set probes is merged by several tasks
+            hot = F.broadcast(hot)  # one row for HOT_IDS postings at most
+            split = probes.join(hot, "probe").select("probe", "probe_n", "token", "parts", F.explode("ids").alias("id"))
+            split = split.groupBy("probe", "probe_n", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), "token").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+            lists = lists.join(hot.select("probe"), "probe", "left_anti").union(split.select("probe", "probe_n", "part", "ids"))
         lists = lists.repartition(F.col("probe"), F.col("part")).sortWithinPartitions("probe", "part")
         return lists.mapInArrow(_merged(self.percent), "a long, b long")
 

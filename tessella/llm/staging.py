@@ -69,8 +69,10 @@ def ship(spark: SparkSession) -> None:
 HOT_NODE = 50_000
 
 
-def _to_edges(edges: DataFrame, low: DataFrame) -> DataFrame:
-    """edges (u, v) with the minimum m of low (u, m, c) at u, where c counts u's edges there."""
+def _to_edges(edges: DataFrame, low: DataFrame, n: int) -> DataFrame:
+    """edges (u, v), no more than n, with the minimum m of low (u, m, c) at u, where c counts u's edges there."""
+    if n <= HOT_NODE:
+        return edges.join(low.drop("c"), "u").select("u", "v", "m")
     hot = F.broadcast(low.where(F.col("c") > HOT_NODE).drop("c"))  # one row for HOT_NODE edges at most
     cold = edges.join(hot, "u", "left_anti").join(low.where(F.col("c") <= HOT_NODE).drop("c"), "u")
     return cold.select("u", "v", "m").union(edges.join(hot, "u").select("u", "v", "m"))
@@ -85,14 +87,14 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     spark = links.sparkSession
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
     edges, path = written(edges, name)
-    seen = None
+    seen, n = None, edges.count()
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).select("u", F.least("u", "m").alias("m"), "c")
-        large = _to_edges(both.where("v > u"), low).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _to_edges(both.where("v > u"), low, 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.union(low.where("u > m").select("u", F.col("m").alias("v"))).where("u > v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
-        small = _to_edges(large, low).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
+        small = _to_edges(large, low, 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         after = small.union(low.select("u", F.col("m").alias("v"))).distinct()
         after, new_path = written(after, name)
         state = after.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.bit_xor(F.xxhash64("u", "v"))).first()
@@ -100,5 +102,5 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         edges, path = after, new_path
         if tuple(state) == seen:
             break
-        seen = tuple(state)
+        seen, n = tuple(state), state[0]
     return edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component"))
