@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import staging, textvec
 from .linear import Rows, softmax
-from .toxicity import bounded, learnable
+from .toxicity import bounded, learnable, one_an_id
 
 BITS = 17
 SIZES = (1, 2, 3)
@@ -196,7 +196,7 @@ def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_rows:
     # places up to the largest quota are kept by every task before anything is shuffled
     chosen = known.select("id", "lang").distinct().select("id", "lang", place.alias("place")).where(F.col("place") <= max(quota.values()))
     chosen = chosen.where(F.col("place") <= asked).select("id", "lang")
-    rows = staging.stage(known.join(F.broadcast(chosen), ["id", "lang"]).dropDuplicates(["id"]).select("id", "text", "lang"), "labelled")
+    rows = staging.stage(one_an_id(known.join(F.broadcast(chosen), ["id", "lang"]).select("id", "text", "lang")), "labelled")
     rows = bounded(rows, max_bytes).select("id", "text", "lang").toArrow().sort_by("id")
     return fit(rows["text"].to_pylist(), rows["lang"].to_pylist())
 

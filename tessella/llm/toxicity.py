@@ -25,7 +25,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import staging, textvec
@@ -237,11 +237,25 @@ def learnable(id_col) -> F.Column:
 
 
 def bounded(rows: DataFrame, max_bytes: int) -> DataFrame:
-    """The rows (id, text, ...) that come first by hashed id and hold at most so many bytes of text together."""
-    order = Window.orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, 0)
-    sizes = rows.select("id", F.octet_length("text").alias("bytes"))  # a bounded number of rows, of two numbers each
-    fits = sizes.select("id", F.sum("bytes").over(order).alias("upto")).where(F.col("upto") <= max_bytes).select("id")
-    return rows.join(F.broadcast(fits), "id")
+    """The rows (id, text, ...) that fit, taken by hashed id, into so many bytes of text together.
+
+    ``rows`` are a bounded number, one an id: their sizes alone are collected. A row that doesn't fit into what is left
+    is passed over, and those after it are tried.
+    """
+    left, fits = max_bytes, []
+    for r in rows.select("id", F.octet_length("text").alias("bytes")).orderBy(F.xxhash64("id"), "id").collect():
+        if r.bytes <= left:
+            left -= r.bytes
+            fits.append((r.id,))
+    chosen = rows.sparkSession.createDataFrame(fits, rows.select("id").schema)
+    return rows.join(F.broadcast(chosen), "id")
+
+
+def one_an_id(rows: DataFrame) -> DataFrame:
+    """Of rows (id, text, ...) that share an id, the one whose columns have the smallest hash."""
+    rest = [c for c in rows.columns if c != "id"]
+    best = rows.groupBy("id").agg(F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("r"))
+    return best.select("id", *(F.col(f"r.{c}").alias(c) for c in rest))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_TRAIN_ROWS, max_bytes: int = MAX_TRAIN_BYTES) -> tuple[np.ndarray, float]:
@@ -250,7 +264,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = known.where(learnable(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(max_rows)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    rows = staging.stage(texts.join(F.broadcast(known), "id").dropDuplicates(["id"]).select("id", "text", "toxic"), "labelled")
+    rows = staging.stage(one_an_id(texts.join(F.broadcast(known), "id").select("id", "text", "toxic")), "labelled")
     rows = bounded(rows, max_bytes).select("id", "text", "toxic").toArrow().sort_by("id")
     texts, toxic = rows["text"].combine_chunks(), rows["toxic"].to_numpy().astype(float)
     del rows

@@ -8,11 +8,12 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.llm import queries
 from tessella.llm.language_id import language_id, shares
 from tessella.llm.nearest import Cells, chi_square, nearest_neighbours, quantile
-from tessella.llm.toxicity import IDENTITY, bounded, counterfactuals, fit, proper_names, score_change, score_texts, toxicity
+from tessella.llm.toxicity import IDENTITY, bounded, counterfactuals, fit, one_an_id, proper_names, score_change, score_texts, toxicity
 
 SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, score string, id string"
@@ -199,7 +200,15 @@ def test_counterfactual_penalty_acts_on_real_documents(spark):
 
 def test_training_rows_are_bounded_in_bytes(spark):
     rows = spark.createDataFrame([(i, "x" * 100) for i in range(50)] + [(99, "y" * 10**6)], "id long, text string")
-    assert bounded(rows, 1000).count() <= 10 and bounded(rows, 1 << 30).count() == 51
+    assert bounded(rows, 1000).count() == 10 and bounded(rows, 5000).count() == 50 and bounded(rows, 1 << 30).count() == 51
+    # a text over the bound is passed over wherever its hash puts it
+    assert all(bounded(rows.withColumn("id", F.col("id") + k), 2000).count() == 20 for k in range(0, 500, 100))
+
+
+def test_of_rows_with_one_id_the_same_one_is_learned(spark):
+    rows = [(1, "a", 0), (1, "b", 1), (2, None, 1), (2, None, 1), (None, "c", 0), (None, "d", 0)]
+    got = {tuple(sorted(map(str, one_an_id(spark.createDataFrame(rows[k:] + rows[:k], "id long, text string, toxic int").repartition(3)).collect()))) for k in range(4)}
+    assert len(got) == 1
 
 
 def test_rare_languages_are_learned():
