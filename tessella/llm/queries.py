@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import staging
 from .chat_format import format_chats
+from .divergence import divergence_audit
 from .html_text import html_text
 from .language_id import language_id
 from .mixing import mix
@@ -102,6 +103,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out(), F.col("tox_score").alias("score"), F.col("tox_flag").cast("int").alias("predicted"))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_audit(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py, a file at the top that belongs to this subpackage."""
     import corpus_pipeline
@@ -122,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_html_text,
         op9_best_fit_packing,
         op10_toxicity,
+        op13_source_divergence,
     )
 }
 
@@ -150,4 +156,31 @@ ORACLE_SQL: dict[str, str] = {
                '{"content":"r' || i || '","role":"tool","tool_call_id":"c' || i || '"}', 0, 'c' || i, TRUE, ''
         FROM e WHERE i % 3 <> 0
     """,
+    "op13_source_divergence": r"""
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+                          regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+             t AS (SELECT r, lang, source, translate(unnest(w), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+             kept AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+             v AS (SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY lang),
+             groups AS (SELECT DISTINCT lang, source FROM d),
+             own AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+             wide AS (SELECT g.lang, g.source, k.term, coalesce(o.n, 0)::HUGEINT AS n
+                      FROM groups g JOIN kept k USING (lang) LEFT JOIN own o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term),
+             sums AS (SELECT lang, source, sum(n)::HUGEINT AS total FROM wide GROUP BY ALL),
+             p AS (SELECT w.lang, w.source, w.term, w.n, 1 + 1000000000::HUGEINT * (w.n + 1) // (s.total + v.v) AS p
+                   FROM wide w JOIN sums s USING (lang, source) JOIN v ON v.lang = w.lang),
+             all_of AS (SELECT lang, term, sum(n)::HUGEINT AS n FROM own GROUP BY ALL),
+             q AS (SELECT a.lang, a.term, 1 + 1000000000::HUGEINT * (a.n + 1) // (s.total + v.v) AS q
+                   FROM all_of a JOIN (SELECT lang, sum(n)::HUGEINT AS total FROM all_of GROUP BY lang) s USING (lang) JOIN v ON v.lang = a.lang),
+             pair AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::HUGEINT AS value
+                      FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+             pairs AS (SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(x.value, 0)::BIGINT AS value
+                       FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source
+                       LEFT JOIN pair x ON x.lang = g.lang AND x.source = g.source AND x.item = h.source),
+             terms AS (SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value
+                       FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+             ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+                        FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+        SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+    """,
 }
