@@ -18,6 +18,7 @@ from .ngram_join import ngram_jaccard_join
 from .packing import best_fit_packing
 from .quality_rules import quality_rules
 from .secret_scan import scan_version
+from .substring_dedup import remove_repeats
 from .toxicity import learnable, toxicity
 from .whitening import whiten
 
@@ -104,6 +105,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out(), F.col("tox_score").alias("score"), F.col("tox_flag").cast("int").alias("predicted"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
@@ -132,6 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_html_text,
         op9_best_fit_packing,
         op10_toxicity,
+        op11_substring_dedup,
         op12_embedding_whitening,
         op13_source_divergence,
     )
@@ -162,6 +168,17 @@ ORACLE_SQL: dict[str, str] = {
                '{"content":"r' || i || '","role":"tool","tool_call_id":"c' || i || '"}', 0, 'c' || i, TRUE, ''
         FROM e WHERE i % 3 <> 0
     """,
+    "op11_substring_dedup": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+             place AS (SELECT r, doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS j,
+                              unnest([CASE WHEN i + 49 <= len(w) THEN md5(array_to_string(w[i:i + 49], ' ')) END FOR i IN range(1, len(w) + 1)]) AS key FROM d),
+             early AS (SELECT key, min(doc_id) AS first_id FROM place WHERE key IS NOT NULL GROUP BY key),
+             flagged AS (SELECT r, j, word, max(CASE WHEN first_id < doc_id THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY j ROWS 49 PRECEDING) AS gone
+                         FROM place LEFT JOIN early USING (key)),
+             kept AS (SELECT r, count(*) AS n_words, sum(gone)::BIGINT AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (gone = 0) AS text FROM flagged GROUP BY r)
+        SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (r)
+    """,
     "op13_source_divergence": r"""
         WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
                           regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),

@@ -69,6 +69,25 @@ def ship(spark: SparkSession) -> None:
 HOT_NODE = 50_000
 
 
+#: Rows of keys met by very many rows, which are broadcast.
+MOST_HOT = 100_000
+
+
+def matched(rows: DataFrame, table: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """rows joined with ``table`` (one row a key; c counts the rows that have it) without one task for a hot key.
+
+    Keys of more than n / MOST_HOT rows, and of a thousand at least, can't be more than MOST_HOT for n rows that have
+    a key each (a thousand times as many for rows that have a thousand): those are broadcast, all others shuffled.
+    """
+    limit = max(1000, n // MOST_HOT)
+    hot, cold = table.where(F.col("c") > limit), table.where(F.col("c") <= limit)
+    if hot.count() > MOST_HOT:
+        limit = int(table.agg(F.sum("c")).first()[0]) // MOST_HOT
+        hot, cold = table.where(F.col("c") > limit), table.where(F.col("c") <= limit)
+    hot = F.broadcast(hot.drop("c"))
+    return rows.join(hot, keys, "left_anti").join(cold.drop("c"), keys).unionByName(rows.join(hot, keys))
+
+
 def _to_edges(edges: DataFrame, low: DataFrame, n: int) -> DataFrame:
     """edges (u, v), no more than n, with the minimum m of low (u, m, c) at u, where c counts u's edges there."""
     if n <= HOT_NODE:
