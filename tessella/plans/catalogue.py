@@ -545,3 +545,59 @@ def html_struct(t):
 
 
 from . import proofs  # noqa: E402, F401  (registers its queries)
+
+
+# globals that last over rows -------------------------------------------------------------------------------------------
+
+_EVENTS = "OVER (ORDER BY event_id)"
+
+
+@query(f"SELECT event_id, round(greatest(0, max(value) {_EVENTS}), 6) AS top FROM events")
+def expr_global_max(t):
+    return rounded(select(running(t("events"), "max(default(@__top, 0), @value) as @__top", ["event_id"]), "event_id,top"), 6)
+
+
+@query(f"SELECT event_id, round(least(1000000000, min(value + 1) {_EVENTS}), 6) AS low FROM events")
+def expr_global_min(t):
+    return rounded(select(running(t("events"), "min(default(@__low, 1000000000), @value + 1) as @__low", ["event_id"]), "event_id,low"), 6)
+
+
+@query(f"SELECT event_id, count(CASE WHEN event_type = 'click' THEN 1 END) {_EVENTS} AS clicks FROM events")
+def expr_global_count(t):
+    return select(running(t("events"), "if(@event_type eq 'click', default(@__clicks, 0) + 1, default(@__clicks, 0)) as @__clicks", ["event_id"]), "event_id,clicks")
+
+
+@query(f"SELECT event_id, (count(*) FILTER (user_id % 2 = 1) {_EVENTS}) % 2 * -2 + 1 AS sign FROM events")
+def expr_global_product(t):
+    out = running(t("events"), "default(@__sign, 1) * if(@user_id % 2 == 1, -1, 1) as @__sign", ["event_id"])
+    return select(out.withColumn("sign", F.col("sign").cast("long")), "event_id,sign")
+
+
+@query(f"""
+    WITH g AS (SELECT event_id, user_id, event_type, count(*) FILTER (event_type = 'error') {_EVENTS} AS g FROM events)
+    SELECT event_id, coalesce(sum(CASE WHEN event_type <> 'error' THEN user_id END) OVER (PARTITION BY g ORDER BY event_id), 0)::BIGINT AS since FROM g""")
+def expr_global_reset(t):
+    return select(running(t("events"), "if(@event_type eq 'error', 0, default(@__since, 0) + @user_id) as @__since", ["event_id"]), "event_id,since")
+
+
+@query(f"""
+    WITH s AS (SELECT event_id, sum(user_id % 11 - 5) {_EVENTS} AS s FROM events)
+    SELECT event_id, (s - least(0, min(s) {_EVENTS}))::BIGINT AS excess FROM s""")
+def expr_global_excess(t):
+    return select(running(t("events"), "max(0, default(@__excess, 0) + @user_id % 11 - 5) as @__excess", ["event_id"]), "event_id,excess")
+
+
+@query(f"""
+    WITH RECURSIVE n AS (SELECT event_id, value, row_number() {_EVENTS} AS k FROM events),
+         s AS (SELECT k, event_id, value * 0.25 AS x FROM n WHERE k = 1 UNION ALL SELECT n.k, n.event_id, s.x * 0.75 + n.value * 0.25 FROM s JOIN n ON n.k = s.k + 1)
+    SELECT event_id, round(x, 4) AS smooth FROM s""")
+def expr_global_smoothing(t):
+    return rounded(select(running(t("events"), "default(@__smooth, 0) * 0.75 + @value * 0.25 as @__smooth", ["event_id"]), "event_id,smooth"), 4)
+
+
+@query(f"""
+    SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN user_id END IGNORE NULLS) {_EVENTS} AS buyer,
+           user_id - coalesce(lag(user_id) {_EVENTS}, 0) AS step FROM events""")
+def expr_global_previous(t):
+    kept = running(t("events"), "if(@event_type eq 'purchase', @user_id, @__buyer) as @__buyer", ["event_id"])
+    return select(running(kept, "default(@__p, 0) as @old; @user_id as @__p; @user_id - @old", ["event_id"], name="step"), "event_id,buyer,step")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import logging
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
@@ -9,9 +11,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..order import SMALL_ROWS, Ordered
+from ..scan import running_states
 from .compiler import COMPILED, Scope, Typed, Untypable, compile_expr, text, truthy
 from .evaluator import FUNCTIONS, Env, adopt, evaluate, show
 from .evaluator import truthy as plain_truthy
+from .globals import references, update_of
 from .parser import Binary, Bind, Call, ExprError, Items, Lit, Ref, Seq, parse
 
 
@@ -141,20 +146,72 @@ def _running(tree: Any) -> tuple[str, Any] | None:
     return None
 
 
-def running(df: DataFrame, expr: str, order_by: Sequence[str], name: str | None = None, raw: bool = True, on_error: str = "fail") -> DataFrame:
-    """An expression with a global that lasts over rows, in order.
+def _scanned(df: DataFrame, parts: Sequence[Any], order_by: Sequence[str], raw: bool, on_error: str, small: int, partitions: int | None) -> tuple[DataFrame, Typed] | None:
+    """Rows with the states of all globals, and the value of the last part; None if an update can't be composed."""
+    bound = {p.name: i for i, p in enumerate(parts) if isinstance(p, Bind) and p.name.startswith("__")}
+    if len(bound) < sum(isinstance(p, Bind) and p.name.startswith("__") for p in parts):
+        return None
+    known: dict[str, tuple[Typed, Typed]] = {}  # before and after the row's update
+
+    def seen(upto: int) -> tuple[Scope, Typed | None]:
+        """What the parts before this place say, and the last one's value."""
+        scope, out = _scope(df, raw, on_error), None
+        scope.variables.update({g: before for g, (before, _) in known.items()})
+        for i, p in enumerate(parts[:upto]):
+            if bound.get(getattr(p, "name", None)) == i and isinstance(p, Bind):
+                if p.name in known:
+                    scope.variables[p.name] = out = known[p.name][1]
+                continue
+            try:
+                out = compile_expr(p, scope)
+            except (Untypable, ExprError):
+                if len(known) == len(bound):
+                    raise
+        return scope, out
+
+    frame, chance = df, []
+    while len(known) < len(bound):
+        ready = []
+        for g, i in bound.items():
+            if g not in known:
+                with contextlib.suppress(Untypable, ExprError):
+                    ready.append((g, *update_of(parts[i].value, g, seen(i)[0])))
+        if not ready:
+            return None
+        frame = running_states(frame, order_by, [u for _, u, _, _ in ready], small, partitions)
+        for k, (g, u, t, by_chance) in enumerate(ready):
+            names = [f"__{len(known)}_{w}" for w in ("before", "after")]
+            frame = frame.withColumnsRenamed({f"__before{k}": names[0], f"__after{k}": names[1]})
+            known[g] = tuple(Typed(F.col(n), t) for n in names)
+            chance.append(u.zero_missing and by_chance)
+        odd = f"__odd_{len(known)}"
+        frame = frame.withColumnRenamed("__odd", odd)
+        if any(chance[-len(ready) :]) and frame.where(odd).limit(1).count():
+            return None
+    try:
+        return frame, seen(len(parts))[1]
+    except Untypable:
+        return None
 
-    The accumulator ``default(@__x, 0) + e as @__x`` is a running sum without a single-task window; anything else that
-    reads globals is evaluated in order by one task, which suits small frames only.
-    """
-    from ..order import Ordered
 
+def running(df: DataFrame, expr: str, order_by: Sequence[str], name: str | None = None, raw: bool = True, on_error: str = "fail", small: int = SMALL_ROWS, partitions: int | None = None) -> DataFrame:
+    """An expression with globals (names that begin with two underscores) that last over rows, in order.
+
+    Updates that add to a global, multiply it, bound it by ``min`` or ``max``, set it, or leave it, each also on a
+    condition of the row, are composed and run in parallel; a global may use others, and be read before its update,
+    where it still has the value of the row before. The plain sum is a window. Anything else is evaluated in order by
+    one task, which suits small frames only; a warning says so.
+    """
     tree = parse(expr)
     found = _running(tree)
     name = name or header(tree, expr).removeprefix("__")
-    if found:
+    if found and not any(str(r).startswith("__") for r in references(found[1])):
         addend = compile_expr(found[1], _scope(df, raw, on_error))
-        return Ordered(df, order_by).running_sum({name: addend.c})
+        return Ordered(df, order_by, small, partitions).running_sum({name: addend.c})
+    scanned = _scanned(df, tree.parts if isinstance(tree, Seq) else (tree,), order_by, raw, on_error, small, partitions)
+    if scanned is not None:
+        return scanned[0].select(*(F.col(f"`{c}`") for c in df.columns), scanned[1].c.alias(name))
+    logging.getLogger(__name__).warning("evaluated row by row in one task: %s", expr)
     columns = list(df.columns)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
