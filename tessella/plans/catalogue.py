@@ -6,6 +6,8 @@ without order. Every query runs over whole tables.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +36,10 @@ from ..operators import (
     uniq,
     wider,
 )
+from ..session import shared_folder
 from ..sources import from_html
+from ..streaming import stream
+from ..streaming.ordered import OrderedSteps, released_rows, run_ordered
 from .expr import extend, mutate, select_expr, skip_null
 from .expr.api import running
 from .registry import ORACLE_SQL, QUERIES, query, rounded
@@ -601,3 +606,25 @@ def expr_global_smoothing(t):
 def expr_global_previous(t):
     kept = running(t("events"), "if(@event_type eq 'purchase', @user_id, @__buyer) as @__buyer", ["event_id"])
     return select(running(kept, "default(@__p, 0) as @old; @user_id as @__p; @user_id - @old", ["event_id"], name="step"), "event_id,buyer,step")
+
+
+# ordered operators on streams ------------------------------------------------------------------------------------------
+
+
+@query("""
+    WITH e AS (SELECT event_id, ts, user_id, CASE WHEN event_id % 5 > 0 THEN event_type END AS event_type FROM events)
+    SELECT event_id, row_number() OVER w AS line, last_value(event_type IGNORE NULLS) OVER w AS event_type, sum(user_id) OVER w AS total,
+           CASE WHEN user_id % 4 = lag(user_id % 4) OVER w THEN '=' ELSE (user_id % 4)::VARCHAR END AS part
+    FROM e WINDOW w AS (ORDER BY ts, event_id)""")
+def stream_ordered(t):
+    """Events that arrive in four files, each up to an hour out of order, one a micro-batch."""
+    spark, root = t("events").sparkSession, f"{shared_folder(t('events').sparkSession)}/stream-{uuid.uuid4().hex}"
+    e = t("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", F.when(F.col("event_id") % 5 > 0, F.col("event_type")).alias("event_type"), (F.col("user_id") % 4).cast("string").alias("part"))
+    arrives = F.col("ts").cast("long") + F.pmod(F.xxhash64("event_id"), F.lit(3600))
+    cuts = e.select(F.percentile_approx(arrives, [0.25, 0.5, 0.75])).first()[0]
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = e.where((F.lit(True) if low is None else arrives >= low) & (F.lit(True) if high is None else arrives < high))
+        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+    steps = OrderedSteps("ts", ("event_id",), "1 hour", number="line", fill="event_type", blank="part", replacement="=", globals={"total": "default(@__t, 0) + @user_id as @__t"})
+    run_ordered(stream(spark, f"{root}/in", 1), steps, f"{root}/out", f"{root}/checkpoint", close=True)
+    return released_rows(spark, f"{root}/out").select("event_id", "line", "event_type", "total", "part")

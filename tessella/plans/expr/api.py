@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..order import SMALL_ROWS, Ordered
-from ..scan import running_states
+from ..scan import scanned
 from .compiler import COMPILED, Scope, Typed, Untypable, compile_expr, text, truthy
 from .evaluator import FUNCTIONS, Env, adopt, evaluate, show
 from .evaluator import truthy as plain_truthy
@@ -146,12 +146,19 @@ def _running(tree: Any) -> tuple[str, Any] | None:
     return None
 
 
-def _scanned(df: DataFrame, parts: Sequence[Any], order_by: Sequence[str], raw: bool, on_error: str, small: int, partitions: int | None) -> tuple[DataFrame, Typed] | None:
-    """Rows with the states of all globals, and the value of the last part; None if an update can't be composed."""
+def scan_globals(
+    df: DataFrame, expr: str, order_by: Sequence[str], raw: bool = True, on_error: str = "fail", small: int = SMALL_ROWS, partitions: int | None = None, start: dict[str, tuple] | None = None
+) -> tuple[DataFrame, Column, dict[str, tuple] | None] | None:
+    """(rows with the states of all globals, the value of the last part, the states after the last row); None if an
+    update can't be composed. ``start`` are states to go on from, as returned.
+    """
+    tree = parse(expr)
+    parts = tree.parts if isinstance(tree, Seq) else (tree,)
     bound = {p.name: i for i, p in enumerate(parts) if isinstance(p, Bind) and p.name.startswith("__")}
     if len(bound) < sum(isinstance(p, Bind) and p.name.startswith("__") for p in parts):
         return None
     known: dict[str, tuple[Typed, Typed]] = {}  # before and after the row's update
+    states: dict[str, tuple] = {}
 
     def seen(upto: int) -> tuple[Scope, Typed | None]:
         """What the parts before this place say, and the last one's value."""
@@ -178,7 +185,8 @@ def _scanned(df: DataFrame, parts: Sequence[Any], order_by: Sequence[str], raw:
                     ready.append((g, *update_of(parts[i].value, g, seen(i)[0])))
         if not ready:
             return None
-        frame = running_states(frame, order_by, [u for _, u, _, _ in ready], small, partitions)
+        frame, last = scanned(frame, order_by, [u for _, u, _, _ in ready], small, partitions, [start[g] for g, *_ in ready] if start else None)
+        states.update(zip([g for g, *_ in ready], last or [], strict=False))
         for k, (g, u, t, by_chance) in enumerate(ready):
             names = [f"__{len(known)}_{w}" for w in ("before", "after")]
             frame = frame.withColumnsRenamed({f"__before{k}": names[0], f"__after{k}": names[1]})
@@ -189,7 +197,7 @@ def _scanned(df: DataFrame, parts: Sequence[Any], order_by: Sequence[str], raw:
         if any(chance[-len(ready) :]) and frame.where(odd).limit(1).count():
             return None
     try:
-        return frame, seen(len(parts))[1]
+        return frame, seen(len(parts))[1].c, states or None
     except Untypable:
         return None
 
@@ -208,9 +216,8 @@ def running(df: DataFrame, expr: str, order_by: Sequence[str], name: str | None
     if found and not any(str(r).startswith("__") for r in references(found[1])):
         addend = compile_expr(found[1], _scope(df, raw, on_error))
         return Ordered(df, order_by, small, partitions).running_sum({name: addend.c})
-    scanned = _scanned(df, tree.parts if isinstance(tree, Seq) else (tree,), order_by, raw, on_error, small, partitions)
-    if scanned is not None:
-        return scanned[0].select(*(F.col(f"`{c}`") for c in df.columns), scanned[1].c.alias(name))
+    if (composed := scan_globals(df, expr, order_by, raw, on_error, small, partitions)) is not None:
+        return composed[0].select(*(F.col(f"`{c}`") for c in df.columns), composed[1].alias(name))
     logging.getLogger(__name__).warning("evaluated row by row in one task: %s", expr)
     columns = list(df.columns)
 

@@ -275,27 +275,31 @@ def _applied(plain: list[tuple], sent, width: int) -> Callable:
     return run
 
 
-def running_states(df: DataFrame, order_by: Sequence[str | Column], updates: Sequence[Update], small: int = SMALL_ROWS, partitions: int | None = None) -> DataFrame:
-    """df with ``__before{i}`` and ``__after{i}`` of each update, and ``__odd``: whether a state that counts zero as missing
-    came upon a zero by arithmetic, after which states are not reliable.
-
-    Runs of rows are composed where they lie; one transition a run and batch reaches the driver, one state a partition goes back.
+def scanned(
+    df: DataFrame, order_by: Sequence[str | Column], updates: Sequence[Update], small: int = SMALL_ROWS, partitions: int | None = None, start: Sequence[tuple] | None = None
+) -> tuple[DataFrame, list[tuple] | None]:
+    """(df with ``__before{i}`` and ``__after{i}`` of each update, and ``__odd``; the states after the last row).
+
+    ``__odd`` is whether a state that counts zero as missing came upon a zero by arithmetic, after which states are not
+    reliable. Runs of rows are composed where they lie; one transition a run and batch reaches the driver, one state a
+    partition goes back. ``start`` are states to go on from, as returned; a frame of up to ``small`` rows is read by
+    one task and returns none.
     """
     plain = [(u.numeric, u.kind, u.zero_missing) for u in updates]
     columns = [f"__u{i}" for i in range(len(updates))]
     rows = Ordered(df.withColumns({c: u.column() for c, u in zip(columns, updates, strict=True)}), order_by, small, partitions)
     own = [F.col(f"`{c}`") for c in df.columns]
+    states = _states(plain, start)
     if rows.distributed:
         runs = rows.df.select(PID, LOC, *columns).mapInArrow(_runs(plain), "pid long, loc long, made binary").collect()
         carried: dict[int, list[tuple]] = {}
-        states = _states(plain)
         for r in sorted(runs, key=lambda r: (r.pid, r.loc)):
             carried.setdefault(r.pid, [s.carried for s in states])
             for s, made in zip(states, pickle.loads(r.made), strict=True):
                 s.skip(made)
         ordered = rows.df.repartition(PID).sortWithinPartitions(PID, LOC).select(*own, PID, *columns)
     else:
-        carried = {0: [s.carried for s in _states(plain)]}
+        carried = {0: [s.carried for s in states]}
         ordered = rows.df.withColumn(PID, F.lit(0).cast("long")).repartition(1).sortWithinPartitions(*rows.keys).select(*own, PID, *columns)
     kinds = ordered.schema
     schema = T.StructType(list(df.schema.fields))
@@ -303,4 +307,19 @@ def running_states(df: DataFrame, order_by: Sequence[str | Column], updates: Seq
         kind = kinds[columns[i]].dataType["n"].dataType
         schema = schema.add(f"__before{i}", kind).add(f"__after{i}", kind)
     sent = df.sparkSession.sparkContext.broadcast(carried)
-    return ordered.mapInArrow(_applied(plain, sent, len(df.columns)), schema.add("__odd", T.BooleanType()))
+    out = ordered.mapInArrow(_applied(plain, sent, len(df.columns)), schema.add("__odd", T.BooleanType()))
+    return out, [s.carried for s in states] if rows.distributed else None
+
+
+def running_states(df: DataFrame, order_by: Sequence[str | Column], updates: Sequence[Update], small: int = SMALL_ROWS, partitions: int | None = None) -> DataFrame:
+    return scanned(df, order_by, updates, small, partitions)[0]
+
+
+def counting(name: str) -> Update:
+    """The number of rows so far."""
+    return Update(name, "bigint", {"a": F.lit(1), "b": F.lit(1), "lo": F.lit(None), "hi": F.lit(None), "gone": F.lit(False), "n": F.lit(1)}, True)
+
+
+def keeping(name: str, value: Column, kind: str, setting: Column | None = None) -> Update:
+    """The last value; with ``setting``, of rows where it holds."""
+    return Update(name, kind, {"setting": F.lit(True) if setting is None else setting, "value": value, "n": F.lit(None)}, False)
