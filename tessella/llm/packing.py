@@ -2,7 +2,9 @@
 
 Plan and placement are separate. The plan needs only how many pieces there are of each length, at most ``capacity``
 numbers whatever the input: a next-fit packing of that histogram, then a local search on groups of equally filled
-sequences, whose exchanges empty one sequence after another until no fewer could hold the pieces or none is left. Placement gives every piece its rank among pieces of its length (exact, from counts by task) and reads its
+sequences, whose exchanges empty one sequence after another until no fewer could hold the pieces or none is left, or their
+number is used up; the rest is settled by best fit and searched again. The plan's time and size don't grow with the
+documents: they follow from how many lengths there are. Placement gives every piece its rank among pieces of its length (exact, from counts by task) and reads its
 sequence and offset from the plan. Neither step brings pieces together in one task or on the driver.
 
 Edge cases: a null text is an empty document, one piece of the single end token; repeated rows and null ids are
@@ -12,10 +14,11 @@ Long documents are tokenised whole, then cut into pieces of ``capacity``.
 
 from __future__ import annotations
 
+import collections
 import os
 import re
 import zlib
-from bisect import bisect_right, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
 
@@ -28,6 +31,8 @@ from pyspark.sql import functions as F
 from . import staging, textvec
 
 CAPACITY = 2048
+#: Exchanges between groups of equal sequences; what they leave underfull is dealt by best fit, so this bounds time alone.
+EXCHANGES = 4000
 END = 0
 _TOKENIZERS: dict = {}
 
@@ -326,27 +331,67 @@ def _pair(items: tuple[int, ...], total: int) -> tuple[int, int]:
     return next((x, total - x) for x in items if total - x in have and (2 * x != total or items.count(x) > 1))
 
 
-def local_search(groups: list[tuple[int, tuple[int, ...]]], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
+def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
+    """(number of sequences, lengths in each) by best fit from the longest length on, equal sequences at once."""
+    gaps: list[int] = []  # sorted
+    by_gap: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
+
+    def put(n: int, items: tuple[int, ...], gap: int) -> None:
+        if not n:
+            return
+        if gap not in by_gap:
+            by_gap[gap] = []
+            insort(gaps, gap)
+        by_gap[gap].append((n, items))
+
+    for length in sorted(histogram, reverse=True):
+        left = histogram[length]
+        while left:
+            k = bisect_left(gaps, length)
+            if k < len(gaps):
+                gap = gaps[k]
+                n, items = by_gap[gap].pop()
+                if not by_gap[gap]:
+                    del by_gap[gap], gaps[k]
+            else:
+                gap, items = capacity, ()
+                n = -(-left // (capacity // length))
+            each = gap // length
+            full = min(n, left // each)
+            put(full, items + (length,) * each, gap - each * length)
+            left -= full * each
+            rest = left if full < n and left < each else 0
+            if rest:  # the last few
+                put(1, items + (length,) * rest, gap - rest * length)
+                left = 0
+            if items:
+                put(n - full - bool(rest), items, gap)
+    return [group for groups in by_gap.values() for group in groups]
+
+
+def local_search(groups: list[tuple[int, tuple[int, ...]]], capacity: int, most: int | None = None) -> list[tuple[int, tuple[int, ...]]]:
     """Moves, one-for-one and two-for-one exchanges (either way) until none is left that fills a fuller sequence more.
 
-    Works on groups: an exchange between two groups is made for as many pairs of sequences as the smaller group has.
-    The emptiest groups give, all that are as full or fuller and not full may receive, so squared fill grows. Partners
+    Works on groups: an exchange between two groups is made for as many pairs of sequences as the smaller group has, so
+    their number follows from how many different sequences there are, not from how many. The groups with most room give
+    first, all that are as full or fuller and not full may receive, so squared fill grows. Partners
     are found by gap and by length or sum of two lengths, so none is left out. A sequence whose pieces have all moved
-    disappears; the search also ends when no fewer sequences could hold the pieces.
+    disappears; the search also ends when no fewer sequences could hold the pieces, or after ``most`` exchanges.
     """
     done = [(n, items) for n, items in groups if sum(items) == capacity]
     pool = Underfull(capacity)
     for n, items in groups:
         if sum(items) < capacity:
             pool.add(tuple(sorted(items, reverse=True)), n)
-    spare = sum(n for n, _ in groups) - -(-sum(n * sum(items) for n, items in groups) // capacity)
-    changed = True
-    while changed and spare > 0:
-        heap = [(sum(key), key) for key in pool.count]
+    spare = sum(n for n, _ in groups) - least_sequences(groups, capacity)
+    room = lambda key: ((sum(key) - capacity) * pool.count[key], key)
+    changed, made = True, 0
+    while changed and spare > 0 and made != most:
+        heap = [room(key) for key in pool.count]
         heapify(heap)
         changed = False
-        while heap and spare > 0:
-            fill, low = heappop(heap)
+        while heap and spare > 0 and made != most:
+            _, low = heappop(heap)
             if low not in pool.count or (found := pool.exchange(low)) is None:
                 continue
             high, out, into = found
@@ -368,18 +413,41 @@ def local_search(groups: list[tuple[int, tuple[int, ...]]], capacity: int) -> li
                 else:
                     key = tuple(sorted(items, reverse=True))
                     pool.add(key, n)
-                    heappush(heap, (sum(key), key))
+                    heappush(heap, room(key))
             if low in pool.count:
-                heappush(heap, (fill, low))
+                heappush(heap, room(low))
             changed = True
+            made += 1
     return done + [(n, items) for items, n in pool.count.items()]
 
 
+def least_sequences(groups: list[tuple[int, tuple[int, ...]]], capacity: int) -> int:
+    return -(-sum(n * sum(items) for n, items in groups) // capacity)
+
+
+def packed(histogram: dict[int, int], capacity: int, most: int = EXCHANGES) -> list[tuple[int, tuple[int, ...]]]:
+    """Groups of equal sequences that hold the pieces, searched from two starts, of which the better is taken.
+
+    One start is next-fit, which leaves the search most to do; where it ends after ``most`` exchanges, the pieces of
+    sequences that aren't full are dealt anew by best fit and searched again. The other is best fit from the beginning.
+    Exchanges are as many for a histogram as for its multiple, hence so are time and the number of groups.
+    """
+    first = local_search(next_fit(histogram, capacity), capacity, most)
+    full, rest = [g for g in first if sum(g[1]) == capacity], collections.Counter()
+    for n, items in first:
+        if sum(items) < capacity:
+            rest.update({x: n * items.count(x) for x in set(items)})
+    dealt = [*full, *best_fit(rest, capacity)]
+    settled = min(first, dealt, key=lambda groups: sum(n for n, _ in groups))
+    found = [local_search(start, capacity, most) for start in (settled, best_fit(histogram, capacity))]
+    return min(found, key=lambda groups: sum(n for n, _ in groups))
+
+
 def plan(histogram: dict[int, int], capacity: int) -> dict[str, np.ndarray]:
     """Runs of ranks: of each length, from which rank on, how many, in which sequences, at which offset."""
     used: dict[int, int] = {}
     runs, sequence = [], 0
-    for n, items in local_search(next_fit(histogram, capacity), capacity):
+    for n, items in packed(histogram, capacity):
         offset = 0
         for length in items:
             rank = used.get(length, 0)
