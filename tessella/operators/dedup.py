@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fields import resolve_fields
 from ..functions.numbers import ascii_lower, plain
-from ..plans.order import SMALL_ROWS, Ordered
+from ..plans.order import LOC, PID, SMALL_ROWS, Ordered, materialized
 
 
 def uniq(
@@ -43,22 +43,35 @@ def uniq(
     parts = [c.alias(f"__k{i}") for i, c in enumerate(shown)]
     work = df.select("*", *parts)
     keys = [f"__k{i}" for i in range(len(parts))]
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by)).cast("long")
-    work = work.withColumn("__rn", place)
     if maximum:
         wanted = F.col("__rn").between(at_least, max(maximum, at_least))
     elif tagged:
         wanted = (F.col("__rn") > 1) | F.lit(at_least <= 1)
     else:
         wanted = F.col("__rn") == at_least
-    if equiv:
-        firsts = work.where("__rn = 1").select(*keys, *(F.col(f"`{c}`").alias(f"__o{i}") for i, c in enumerate(order_by)))
-        ids = Ordered(firsts, [f"__o{i}" for i in range(len(order_by))], small).number(equiv, max(equiv_start, 1) if equiv_start < 0 else equiv_start)
-        ids = ids.select(*(F.col(k).alias(f"_{k}") for k in keys), equiv)
-        same = F.lit(True)
-        for k in keys:
-            same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
-        work = work.join(ids, same)
+    first_id = max(equiv_start, 1) if equiv_start < 0 else equiv_start
+    keyed = Ordered(work, [*keys, *order_by], small) if tagged else None
+    if keyed is None or not keyed.distributed:
+        # where the place is bounded, every task passes on no more rows of a key than that
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by)).cast("long")
+        work = work.withColumn("__rn", place)
+        if equiv:
+            firsts = work.where("__rn = 1").select(*keys, *(F.col(f"`{c}`").alias(f"__o{i}") for i, c in enumerate(order_by)))
+            ids = Ordered(firsts, [f"__o{i}" for i in range(len(order_by))], small).number(equiv, first_id)
+            ids = ids.select(*(F.col(k).alias(f"_{k}") for k in keys), equiv)
+            same = F.lit(True)
+            for k in keys:
+                same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+            work = work.join(ids, same)
+    else:
+        # rows are in order of (key, order): a key's rows may fill many tasks, and its identifier goes down from its first row
+        work = keyed.places(keys, "__rn")
+        if equiv:
+            work = materialized(work)
+            firsts = work.where("__rn = 1").select(F.col(PID).alias("__p"), F.col(LOC).alias("__l"), *(F.col(f"`{c}`").alias(f"__o{i}") for i, c in enumerate(order_by)))
+            ids = Ordered(firsts, [f"__o{i}" for i in range(len(order_by))], small).number("__id", first_id).select("__p", "__l", "__id")
+            keyed.df = work.join(ids, (F.col(PID) == F.col("__p")) & (F.col(LOC) == F.col("__l")), "left").drop("__p", "__l")
+            work = keyed.last_present({equiv: F.col("__id")})
     if number:
         work = work.withColumn(number, F.col("__rn"))
     extra = [c for c in (equiv, number) if c]

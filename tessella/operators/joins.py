@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fields import FieldError, resolve_fields
+from ..plans.skew import SKEW_BYTES, large, skew_join
 
 
 def _lookup(right: DataFrame, keys: list[str], fields: list[str], order_by: Sequence[str] | None, last_wins: bool, mode: str) -> DataFrame:
@@ -45,12 +46,15 @@ def join_rows(
     prefix: str = "",
     order_by: Sequence[str] | None = None,
     mode: str = "one",
+    skew: bool | None = None,
 ) -> DataFrame:
     """Rows of ``data`` with a match in ``lookup`` (without one: ``exclude``), with the lookup's ``append`` fields.
 
     ``key`` names fields of the lookup, ``data_key`` those of the data (the same, by name, if it isn't given); ``0`` is
     the whole row. With ``fill``, rows without a match stay and get that value. Several rows of one key in the lookup
-    must agree on the appended fields, or ``last_wins`` (by ``order_by``). ``mode="all"`` keeps every match.
+    must agree on the appended fields, or ``last_wins`` (by ``order_by``). ``mode="all"`` keeps every match. With ``skew``,
+    keys that very many rows of the data have are looked for first and joined without a task of their own; by default
+    where the data is large and the lookup too large for a plain broadcast.
     """
     if exclude and (append or fill is not None):
         raise ValueError("exclude takes neither append nor fill")
@@ -68,10 +72,15 @@ def join_rows(
         raise FieldError(f"appended names are taken: {sorted(clash)}; say a prefix")
     side = _lookup(lookup, right_keys, fields, order_by, last_wins, mode)
     same = reduce(lambda a, b: a & b, (F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(left_keys)))
-    if exclude:
-        return data.join(side, same, "left_anti")
+    how = "left_anti" if exclude else "left_semi" if not fields else "inner" if fill is None else "left"
+    if skew is None:
+        limit = int(data.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").removesuffix("b"))
+        skew = large(data, SKEW_BYTES) and large(lookup, max(limit, 0))
+    if skew:
+        out = skew_join(data, side, [F.col(f"`{k}`") for k in left_keys], [F.col(f"__k{i}") for i in range(len(right_keys))], same, how, mode != "all")
+    else:
+        out = data.join(side, same, how)
     if not fields:
-        return data.join(side, same, "left_semi")
-    out = data.join(side, same, "inner" if fill is None else "left")
+        return out
     value = lambda i, c: F.col(f"__v.v{i}") if fill is None else F.when(F.col("__v").isNull(), F.lit(fill).cast(lookup.schema[c].dataType)).otherwise(F.col(f"__v.v{i}"))
     return out.select(*(F.col(f"`{c}`") for c in data.columns), *(value(i, c).alias(n) for i, (c, n) in enumerate(zip(fields, names, strict=True))))

@@ -628,3 +628,24 @@ def stream_ordered(t):
     steps = OrderedSteps("ts", ("event_id",), "1 hour", number="line", fill="event_type", blank="part", replacement="=", globals={"total": "default(@__t, 0) + @user_id as @__t"})
     run_ordered(stream(spark, f"{root}/in", 1), steps, f"{root}/out", f"{root}/checkpoint", close=True)
     return released_rows(spark, f"{root}/out").select("event_id", "line", "event_type", "total", "part")
+
+
+# hot keys --------------------------------------------------------------------------------------------------------------
+
+
+@query("""
+    SELECT l_orderkey, l_linenumber, o_custkey, o_orderstatus
+    FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey % 3 = 0 THEN 1 ELSE l_orderkey END AS k FROM lineitem) JOIN orders ON k = o_orderkey""")
+def join_hot_key(t):
+    """A third of all rows have one key, which meets a broadcast; the others are shuffled."""
+    lines = t("lineitem").withColumn("k", F.when(F.col("l_suppkey") % 3 == 0, 1).otherwise(F.col("l_orderkey")))
+    out = join_rows(select(lines, "l_orderkey,l_linenumber,k"), t("orders"), "o_orderkey", data_key="k", append="o_custkey,o_orderstatus", skew=True)
+    return select(out, "l_orderkey,l_linenumber,o_custkey,o_orderstatus")
+
+
+@query("""
+    WITH e AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS place, min(event_id) OVER (PARTITION BY event_type) AS f FROM events)
+    SELECT event_id, event_type, place, dense_rank() OVER (ORDER BY f) AS kind FROM e""")
+def uniq_hot_key(t):
+    """Places within five keys, each of which fills several tasks, and the keys' identifiers."""
+    return uniq(select(t("events"), "event_id,event_type"), "event_type", ["event_id"], number="place", equiv="kind", small=0)

@@ -70,6 +70,28 @@ class Ordered:
         n = self._carried(offsets, "long") + F.col(LOC) + start
         return self.df.withColumn(name, n).drop(PID, LOC)
 
+    def places(self, keys: Sequence[str], name: str) -> DataFrame:
+        """Rows numbered from 1 within each key, for an order that begins with the keys; partition and place stay.
+
+        A key may go over many partitions: of each, its first and last key and how many rows the last one has there are
+        known, so what comes before a partition's first key follows from one row a partition.
+        """
+        if not self.distributed:
+            raise ValueError("places are for distributed orders")
+        kinds = {f.name: f.dataType.simpleString() for f in self.df.schema.fields}
+        h = F.xxhash64(*(F.col(k) + F.lit(0.0) if kinds[k] in ("double", "float") else F.col(k) for k in keys))  # zero has one sign
+        rows = self.df.withColumn("__h", h)
+        runs = rows.groupBy(PID, "__h").agg(F.min(LOC).alias("a"), F.max(LOC).alias("b"))
+        last = F.max_by(F.struct(F.col("__h").alias("h"), (F.col("b") - F.col("a") + 1).alias("n")), "b").alias("last")
+        ends = runs.groupBy(PID).agg(F.min_by("__h", "a").alias("first"), last).collect()
+        firsts, carry, held = {}, {}, (None, 0)
+        for r in sorted(ends, key=lambda r: r[PID]):
+            firsts[r[PID]], carry[r[PID]] = r["first"], held[1] if held[0] == r["first"] else 0
+            held = r["last"].h, r["last"].n + (carry[r[PID]] if r["last"].h == r["first"] else 0)
+        own = F.col(LOC) - F.min(LOC).over(Window.partitionBy(PID, "__h")) + 1
+        more = F.when(F.col("__h") == self._carried(firsts, "long"), self._carried(carry, "long")).otherwise(0)
+        return rows.withColumn(name, (own + more).cast("long")).drop("__h")
+
     def last_present(self, values: dict[str, Column]) -> DataFrame:
         """For each name, the last non-NULL value of its expression up to and including each row."""
         up_to = self.wide.rowsBetween(Window.unboundedPreceding, 0)
