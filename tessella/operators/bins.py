@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fields import resolve_fields
 from ..functions.numbers import num
+from ..plans.order import exact_quantiles
 from .stats import stats
 
 
@@ -46,9 +47,8 @@ def bin2d(df: DataFrame, x: str, y: str, bins: tuple[int, int] | int | None = 10
     points = df.select(*(num(F.col(f"`{c}`"), df.schema[c].dataType).alias(a) for c, a in zip(names, "xy", strict=True)))
     points = points.where("x is not null and y is not null and not isnan(x) and not isnan(y)")
     aggs = [f(a) for a in "xy" for f in (F.min, F.max)]
-    if strategy:
-        aggs += [F.percentile(a, F.array(F.lit(0.25), F.lit(0.75))) for a in "xy"]
     got = points.agg(F.count("*"), *aggs).first()
+    quartiles = [exact_quantiles(points, [], F.col(a), [0.25, 0.75], "q").first() for a in "xy"] if strategy == "fd" and got[0] else [None, None]
     out = points
     for k, a in enumerate("xy"):
         low, high = got[1 + 2 * k], got[2 + 2 * k]
@@ -60,8 +60,8 @@ def bin2d(df: DataFrame, x: str, y: str, bins: tuple[int, int] | int | None = 10
         else:
             n = (bins[k] if isinstance(bins, tuple) else bins) or 10
             if strategy:
-                q = got[5 + k]
-                n = bin_count(got[0], low, high, q[1] - q[0] if q else 0.0, strategy)
+                q = quartiles[k]
+                n = bin_count(got[0], low, high, q.q[1] - q.q[0] if q else 0.0, strategy)
             w = (high - low) / n or 1.0
         out = out.withColumn(f"{a}_bin", F.least(F.floor((F.col(a) - low) / w), F.lit(n - 1)).cast("int"))
     return out.groupBy("x_bin", "y_bin").agg(F.count("*").alias("count"))

@@ -36,7 +36,10 @@ from ..operators import (
     uniq,
     wider,
 )
+from ..operators.aggregates import aggregate_rows
+from ..operators.sketches import merge_sketches, quantile_sketches, sketch_quantiles
 from ..session import shared_folder
+from ..sinks.transposed import read_transposed, write_transposed
 from ..sources import from_html
 from ..streaming import stream
 from ..streaming.ordered import OrderedSteps, released_rows, run_ordered
@@ -649,3 +652,54 @@ def join_hot_key(t):
 def uniq_hot_key(t):
     """Places within five keys, each of which fills several tasks, and the keys' identifiers."""
     return uniq(select(t("events"), "event_id,event_type"), "event_type", ["event_id"], number="place", equiv="kind", small=0)
+
+
+# aggregates of a user's own, sketches, transposed files ----------------------------------------------------------------
+
+
+class SecondLargest:
+    """The second largest of the values that differ."""
+
+    state, result = "first double, second double", "double"
+
+    def start(self):
+        return None, None
+
+    def update(self, state, values):
+        return self.merge(state, tuple(sorted(set(values[0].drop_null().to_pylist()), reverse=True)[:2]))
+
+    def merge(self, a, b):
+        best = sorted({x for x in (*a, *b) if x is not None}, reverse=True)[:2]
+        return tuple(best + [None] * (2 - len(best)))
+
+    def finish(self, state):
+        return state[1]
+
+
+@query("""
+    WITH v AS (SELECT DISTINCT event_type, value FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC) AS k FROM v)
+    SELECT event_type, value AS second FROM r WHERE k = 2""")
+def aggregate_second_largest(t):
+    return aggregate_rows(t("events"), "event_type", "value", "second", SecondLargest())
+
+
+@query("""
+    SELECT event_type, count(*) AS n, TRUE AS near FROM events GROUP BY 1""")
+def sketch_quantiles_by_day(t):
+    """Sketches a day, merged by type: the values whose place is within a hundredth of the asked one."""
+    events = t("events").withColumn("day", F.to_date("ts"))
+    whole = merge_sketches(quantile_sketches(events, "event_type,day", "value", "s"), "event_type", "s")
+    found = sketch_quantiles(whole, "s", [0.1, 0.5, 0.9])
+    below = {p: F.avg((F.col("value") <= F.col(f"`s_{p}`")).cast("double")) for p in (0.1, 0.5, 0.9)}
+    near = [F.abs(b - p) <= 0.011 for p, b in below.items()]
+    return events.join(found, "event_type").groupBy("event_type").agg(F.count("*").alias("n"), (near[0] & near[1] & near[2]).alias("near"))
+
+
+@query("""
+    SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row, o_orderkey::VARCHAR AS o_orderkey, o_custkey::VARCHAR AS o_custkey, o_orderstatus, o_orderpriority FROM orders""")
+def transpose_file(t):
+    """All orders as a file of one line a field, read back."""
+    orders = select(t("orders"), "o_orderkey,o_custkey,o_orderstatus,o_orderpriority")
+    path = f"{shared_folder(orders.sparkSession)}/transposed-{uuid.uuid4().hex}"
+    write_transposed(orders, path, ["o_orderkey"], small=0)
+    return read_transposed(orders.sparkSession, path, small=0)

@@ -51,8 +51,12 @@ def header_lines(mode: str) -> int | None:
 
 def header_names(spark: SparkSession, path: str, mode: str, delimiter: str) -> list[str]:
     """Names of the last header line of a file; without a header, field1, field2, ..."""
-    top = [r.value.removesuffix("\r") for r in spark.read.option("lineSep", "\n").text(path).take(max(64, header_lines(mode) or 0))]
     n = header_lines(mode)
+    lines, some = spark.read.option("lineSep", "\n").text(path), max(64, n or 0)
+    top = [r.value.removesuffix("\r") for r in lines.take(some)]
+    while n is None and len(top) == some and all(line.startswith("#") for line in top[:-1]):  # comments go on
+        some *= 4
+        top = [r.value.removesuffix("\r") for r in lines.take(some)]
     if n is None:
         n = next((i for i, line in enumerate(top) if not line.startswith("#")), len(top))
         if mode == "hash1":
