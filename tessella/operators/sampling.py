@@ -1,23 +1,64 @@
 """Random samples: shuffled, Bernoulli, by key, weighted, of fixed size with or without replacement.
 
 Randomness is Spark's, so a seed gives the same sample for the same partitioning, not another tool's sample. Samples by
-key hash the key, so they don't depend on partitioning at all. Top-k samples are a TakeOrdered: k rows a task move.
+key hash the key, so they don't depend on partitioning at all. Draws with replacement are dealt over tasks by their
+numbers of rows and drawn where rows lie. Top-k samples are a TakeOrdered: k rows a task move.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.fields import resolve_fields
 from ..functions.numbers import num
-from ..plans.order import SMALL_ROWS, Ordered
+from ..plans.order import materialized
 
 STATIC_SEED = 2438424139
 
 
+def _drawn(counts: dict[int, int], draws: dict[int, int], seed: int) -> Callable:
+    """Rows to the task's draws of them: places are drawn from the task's number of rows, then met as rows go by."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        n, rnd = counts.get(task, 0), np.random.default_rng([seed, task])
+        places = np.sort(rnd.integers(0, n, draws.get(task, 0))) if n else np.zeros(0, np.int64)
+        shown, at = rnd.random(len(places)), 0
+        for batch in batches:
+            a, b = np.searchsorted(places, [at, at + len(batch)])
+            if b > a:
+                taken = batch.take(pa.array(places[a:b] - at))
+                yield pa.RecordBatch.from_arrays([pa.array(shown[a:b]), *taken.columns], names=["__u", *batch.schema.names])
+            at += len(batch)
+        if at != n:
+            raise ValueError(f"task {task} has {at} rows, not {n}: the frame isn't the same when read again")
+
+    return run
+
+
+def _with_replacement(df: DataFrame, n: int, seed: int, random_name: str) -> DataFrame:
+    """n draws with replacement: dealt over tasks in proportion to their rows (multinomially), then drawn in each.
+
+    The frame is read twice, and neither sorted nor shuffled; one that isn't read straight from a source is written first,
+    since its tasks may differ when it is computed again.
+    """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        df = materialized(df)
+    counts = {r.p: r.n for r in df.select(F.spark_partition_id().alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()}
+    total, tasks = sum(counts.values()), sorted(counts)
+    dealt = np.random.default_rng(seed).multinomial(n, np.array([counts[p] / total for p in tasks])) if total else []
+    draws = dict(zip(tasks, map(int, dealt), strict=True)) if total else {}
+    schema = T.StructType([T.StructField("__u", T.DoubleType()), *df.schema.fields])
+    return df.mapInArrow(_drawn(counts, draws, seed), schema).withColumnRenamed("__u", random_name)
+
+
 def sample(
     df: DataFrame,
     n: int | None = None,
@@ -31,7 +72,6 @@ def sample(
     stable: bool = False,
     print_random: bool = False,
     random_name: str = "random_value",
-    small: int = SMALL_ROWS,
 ) -> DataFrame:
     """A random sample, or with neither ``n`` nor ``prob`` nor ``weight`` all rows in random order.
 
@@ -65,10 +105,7 @@ def sample(
     elif prob is not None:
         out = df.withColumn(random_name, u).where(F.col(random_name) < prob)
     elif replace:
-        numbered = Ordered(df, order_by or [], small).number("__n", 0)
-        total = numbered.count()
-        draws = df.sparkSession.range(n if total else 0).select(F.floor(F.rand(seed) * total).alias("__n"), F.rand(seed + 1).alias(random_name))
-        out = draws.join(numbered, "__n").drop("__n")
+        out = _with_replacement(df, n, seed, random_name)
     else:
         if weight:
             c = resolve_fields(weight, df.columns)[0]

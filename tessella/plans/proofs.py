@@ -243,7 +243,7 @@ def sample_by_number(t):
     line = t("lineitem").withColumn("w", F.when(F.col("l_quantity") < 10, 0.0).otherwise(F.col("l_quantity")))
     heavy = sample(line, n=1000, weight="w", seed=7)
     drawn = sample(orders, n=300, replace=True, order_by=["o_orderkey"])
-    apart = sample(orders, n=300, replace=True, small=10)
+    apart = sample(orders, n=300, replace=True)
     return _facts(
         of_size=large.agg(F.count("*") == 500),
         distinct=large.agg(F.count_distinct("event_id") == 500),

@@ -349,7 +349,7 @@ def test_ignoring_case_folds_ascii_only(spark):
 
 
 def test_sample_with_replacement_of_a_large_frame(spark):
-    got = sample(spark.range(50).repartition(3), n=200, replace=True, small=10).collect()
+    got = sample(spark.range(50).repartition(3), n=200, replace=True).collect()
     assert len(got) == 200 and {r.id for r in got} <= set(range(50)) and len({r.id for r in got}) > 30
 
 
@@ -369,3 +369,19 @@ def test_plots_of_paths_and_densities(spark):
 def test_too_many_columns_are_refused(spark):
     with pytest.raises(ValueError, match="too many columns"):
         wider(spark.range(10_001).withColumn("v", F.lit(1)), "id", "v", op="sum")
+
+
+def test_draws_with_replacement_are_even(spark):
+    df = spark.range(0, 600, 1, 4).union(spark.range(600, 1000, 1, 1))
+    out = sample(df, n=40_000, replace=True, seed=7)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+    counts = {r.id: r["count"] for r in out.groupBy("id").count().collect()}
+    assert sum(counts.values()) == 40_000 and len(counts) == 1000
+    # chi-square over rows, and over the halves of very different tasks
+    assert 850 < sum((counts[i] - 40) ** 2 / 40 for i in range(1000)) < 1150
+    assert abs(sum(c for i, c in counts.items() if i >= 600) - 16_000) < 500
+    assert sorted(r.id for r in out.collect()) == sorted(r.id for r in sample(df, n=40_000, replace=True, seed=7).collect())
+    shuffled = df.repartition(3).withColumn("k", F.col("id") % 7)
+    assert sample(shuffled, n=50, replace=True, print_random=True).count() == 50
+    assert sample(df.where("id < 0"), n=50, replace=True).count() == 0
