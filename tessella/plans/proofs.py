@@ -9,9 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import sample, wider
-from ..sinks import to_csv, to_tsv
-from ..sources import read_csv, read_tsv
+from ..operators import append, filter_rows, join_rows, sample, select, wider
+from ..sinks import split_by_key, split_lines, split_random, to_csv, to_tsv
+from ..sources import from_html, read_csv, read_tsv
 from ..session import shared_folder
 from .expr import select_expr
 from .registry import query, rounded
@@ -254,3 +254,123 @@ def sample_by_number(t):
         replaced_size=drawn.agg(F.count("*") == 300),
         replaced_from_all=apart.join(orders, "o_orderkey").agg(F.count("*") == 300),
     )
+
+
+# lists of several items, shown item by item
+_M = "string_split(p_name || ' ' || p_type || ' ' || p_brand, ' ')"
+ITEMS = {
+    "pairs": ("join(flatten(zip(@m, reverse(@m))), ' ')", f"array_to_string(flatten(list_transform(list_zip({_M}, list_reverse({_M})), lambda p: [p[1], p[2]])), ' ')"),
+    "groups": ("join(map(grouped(@m, 2), g => join(g, '+')), ' ')", f"concat_ws(' ', array_to_string({_M}[1:2], '+'), array_to_string({_M}[3:4], '+'))"),
+    "sides": ("join(flatten(partition(@m, x => char_len(x) > 5)), ' ')", f"array_to_string(list_concat(list_filter({_M}, lambda x: length(x) > 5), list_filter({_M}, lambda x: length(x) <= 5)), ' ')"),
+    "once": ("join(unique(concat(@m, @m)), ' ')", f"array_to_string({_M}, ' ')"),
+    "by_end": ("join(sort_by(@m, x => reverse(x)), ' ')", f"array_to_string(list_transform(list_sort(list_transform({_M}, lambda x: reverse(x))), lambda x: reverse(x)), ' ')"),
+    "head": ("join(take_while(@m, x => char_len(x) < 6), ' ')", f"array_to_string({_M}[1:coalesce(list_position(list_transform({_M}, lambda x: length(x) >= 6), TRUE), 5) - 1], ' ')"),
+    "counted": ("join(map(range(0, len(@m)), i => i * 2), ',')", f"array_to_string(list_transform(range(0, len({_M})), lambda i: i * 2), ',')"),
+}
+
+
+@query(_sql(ITEMS, "p_partkey", "part"))
+def functions_of_items(t):
+    return select_expr(t("part"), _expr(ITEMS, "p_partkey", "split(@p_name ++ ' ' ++ @p_type ++ ' ' ++ @p_brand, ' ') as @m; "))
+
+
+# types that differ by row
+KINDS = {
+    "none": ("is_null(regex_extract(@p_brand, '[13]'))", "NOT regexp_matches(p_brand, '[13]')"),
+    "whole": ("is_numeric(@p_size) and is_int(@p_size)", "TRUE"),
+    "kinds": ("type(@p_size) ++ ' ' ++ type(@p_retailprice) ++ ' ' ++ type(@p_name)", "'int float string'"),
+    "unless": ("default(regex_extract(@p_brand, '[13]'), 'other')", "CASE WHEN regexp_matches(p_brand, '[13]') THEN regexp_extract(p_brand, '[13]') ELSE 'other' END"),
+}
+
+
+@query(_sql(KINDS, "p_partkey", "part"))
+def functions_of_types(t):
+    return select_expr(t("part"), _expr(KINDS, "p_partkey"))
+
+
+# filters and joins whose results hold rows
+@query("SELECT p_partkey, p_name FROM part WHERE length(p_name) > 9 AND strlen(p_type) <= 6")
+def filter_lengths(t):
+    return select(filter_rows(t("part"), char_len_gt="p_name:9", byte_len_le="p_type:6"), "p_partkey,p_name")
+
+
+@query("""
+    SELECT p_partkey, p_name || repeat(chr(769), p_size % 3) AS marked FROM part
+    WHERE length_grapheme(p_name || repeat(chr(769), p_size % 3)) <= 9 AND strlen(p_name || repeat(chr(769), p_size % 3)) > 9""")
+def filter_graphemes(t):
+    """A letter with its combining marks is one character, of several bytes."""
+    marked = t("part").withColumn("marked", F.concat("p_name", F.repeat(F.lit("́"), F.col("p_size") % 3)))
+    return select(filter_rows(marked, char_len_le="marked:9", byte_len_gt="marked:9"), "p_partkey,marked")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000)")
+def join_anti_rows(t):
+    dear = filter_rows(t("orders"), gt="o_totalprice:150000")
+    return select(join_rows(t("customer"), dear, "o_custkey", "c_custkey", exclude=True), "c_custkey,c_name")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE lower(c_mktsegment) = 'building' OR lower(c_mktsegment) <> 'machinery'")
+def filter_istr_any(t):
+    return select(filter_rows(t("customer"), any_of=True, istr_eq="c_mktsegment:Building", istr_ne="c_mktsegment:Machinery"), "c_custkey,c_name")
+
+
+# files ----------------------------------------------------------------------------------------------------------------
+
+
+def _folder(t, name):
+    return f"{shared_folder(t('region').sparkSession)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT c_custkey::VARCHAR AS key, c_name AS name, 'c' AS origin FROM customer UNION ALL SELECT s_suppkey::VARCHAR, s_name, 's' FROM supplier")
+def tsv_two_files(t):
+    """Two files one after the other, each with its header, in the order of their lines."""
+    spark, folder = t("region").sparkSession, _folder(t, "two")
+    for name, key, origin in (("customer", "c_custkey", "c"), ("supplier", "s_suppkey", "s")):
+        side = t(name)
+        to_tsv(side.select(F.col(key).alias("key"), F.col(f"{name[0]}_name").alias("name"), F.lit(origin).alias("origin")), f"{folder}/{name}", single=True)
+    return read_tsv(spark, [f"{folder}/customer", f"{folder}/supplier"])
+
+
+@query("""
+    SELECT o_orderkey::VARCHAR AS o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey
+    UNION ALL SELECT o_orderkey::VARCHAR, c_name FROM orders JOIN customer ON o_custkey = c_custkey""")
+def join_reordered_files(t):
+    """Keys go by name in every file: the two data files have their columns in different orders."""
+    spark, folder, out = t("region").sparkSession, _folder(t, "reordered"), []
+    to_tsv(t("customer").select("c_name", "c_custkey"), f"{folder}/lookup", single=True)
+    lookup = read_tsv(spark, f"{folder}/lookup").withColumnRenamed("c_custkey", "o_custkey")
+    for k, columns in enumerate((["o_orderkey", "o_custkey"], ["o_custkey", "o_orderkey"])):
+        to_tsv(t("orders").select(*columns), f"{folder}/data{k}", single=True)
+        out.append(select(join_rows(read_tsv(spark, f"{folder}/data{k}"), lookup, "o_custkey", append="c_name"), "o_orderkey,c_name"))
+    return append(out)
+
+
+@query("""
+    WITH n AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS n FROM orders)
+    SELECT 'lines' AS way, o_orderkey::VARCHAR AS o_orderkey, (n // 1000)::INTEGER AS part FROM n
+    UNION ALL SELECT 'random', o_orderkey::VARCHAR, 0 FROM n UNION ALL SELECT 'key', o_orderkey::VARCHAR, 0 FROM n""")
+def split_files(t):
+    """Orders split by number of rows, at random and by key, read back; of the latter two every row once, of a key one part."""
+    spark, folder = t("region").sparkSession, _folder(t, "split")
+    orders = select(t("orders"), "o_orderkey,o_custkey")
+    split_lines(orders, f"{folder}/lines", 1000, ["o_orderkey"])
+    split_random(orders, f"{folder}/random", 7)
+    split_by_key(orders, f"{folder}/key", 7, "o_custkey")
+    back = {w: spark.read.csv(f"{folder}/{w}", sep="\t", header=True) for w in ("lines", "random", "key")}
+    parts = back["key"].groupBy("o_custkey").agg((F.count_distinct("part") - 1).cast("int").alias("part"))
+    keyed = back["key"].drop("part").join(parts, "o_custkey")
+    within = F.when(F.col("part").between(0, 6), 0).otherwise(1).alias("part")
+    return (
+        back["lines"].select(F.lit("lines").alias("way"), "o_orderkey", F.col("part").cast("int").alias("part"))
+        .union(back["random"].select(F.lit("random"), "o_orderkey", within)).union(keyed.select(F.lit("key"), "o_orderkey", "part"))
+    )
+
+
+@query("""
+    SELECT p_partkey AS page, 1 AS n, 'part' AS a, 'name' AS b, 'dear' AS c FROM part
+    UNION ALL SELECT p_partkey, 2, p_partkey::VARCHAR, p_name, (p_retailprice > 1000)::VARCHAR FROM part""")
+def html_tables(t):
+    """A page a part, whose second table is read: a header and a row of three cells."""
+    cells = F.concat(F.lit("<table><tr><th>part<th>name<th>dear</tr><tr><td>"), "p_partkey", F.lit("</td><td><b>"), "p_name", F.lit("</b></td><td>"), (F.col("p_retailprice") > 1000).cast("string"), F.lit("</table>"))
+    pages = t("part").select(F.col("p_partkey").alias("page"), F.concat(F.lit("<html><body><table><tr><td>no</table><p>then</p>"), cells).alias("html"))
+    return from_html(pages, id_col="page", table=True, index=2).select("page", "n", *(F.col("cells")[i].alias(c) for i, c in enumerate("abc")))
