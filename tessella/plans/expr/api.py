@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..order import SMALL_ROWS, Ordered
 from ..scan import scanned
-from .compiler import COMPILED, Scope, Typed, Untypable, compile_expr, text, truthy
+from .compiler import COMPILED, Scope, Typed, Untypable, compile_expr, mixed, text, truthy
 from .evaluator import FUNCTIONS, Env, adopt, evaluate, show
 from .evaluator import truthy as plain_truthy
 from .globals import references, update_of
@@ -67,11 +67,17 @@ def evaluate_rows(df: DataFrame, expr: str, on_error: str = "fail") -> Column:
 def _compiled(df: DataFrame, expr: str, raw: bool, on_error: str) -> tuple[Any, Typed]:
     tree = parse(expr)
     try:
-        return tree, compile_expr(tree, _scope(df, raw, on_error))
-    except Untypable:
+        return tree, shown(compile_expr(tree, _scope(df, raw, on_error)))
+    except Untypable as why:
+        logging.getLogger(__name__).warning("evaluated row by row in Python (%s): %s", why, expr)
         return tree, Typed(evaluate_rows(df, expr, on_error), "string")
 
 
+def shown(x: Typed) -> Typed:
+    """Values whose type differs by row come out as text."""
+    return Typed(text(x), "string") if mixed(x.t) else x
+
+
 def predicate(expr: str, df: DataFrame, raw: bool = True, on_error: str = "fail") -> Column:
     """Truthiness of an expression; text columns may hold numbers."""
     tree = parse(expr)
@@ -95,7 +101,7 @@ def select_expr(df: DataFrame, expr: str, raw: bool = True, on_error: str = "fai
                 compile_expr(p, scope)
             made = [compile_expr(i, scope) for i in last.items]
             names = [header(i, f"c{k}") for k, i in enumerate(last.items, 1)]
-            return df.select(*own, *(m.c.alias(n) for m, n in zip(made, names, strict=True)))
+            return df.select(*own, *(shown(m).c.alias(n) for m, n in zip(made, names, strict=True)))
         except Untypable:
             pass
     _, x = _compiled(df, expr, raw, on_error)
@@ -197,7 +203,7 @@ def scan_globals(
         if any(chance[-len(ready) :]) and frame.where(odd).limit(1).count():
             return None
     try:
-        return frame, seen(len(parts))[1].c, states or None
+        return frame, shown(seen(len(parts))[1]).c, states or None
     except Untypable:
         return None
 

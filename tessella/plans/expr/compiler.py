@@ -36,7 +36,7 @@ class Typed:
     const: Any = field(default=None, compare=False)  # a literal's value
 
 
-SPARK = {"bool": "boolean", "int": "bigint", "float": "double", "string": "string", "datetime": "timestamp", "dyn": "string", "null": "void"}
+SPARK = {"bool": "boolean", "int": "bigint", "float": "double", "string": "string", "datetime": "timestamp", "dyn": "string", "null": "void", "any": "variant"}
 
 
 def of_spark(kind: T.DataType, raw: bool) -> Any:
@@ -54,6 +54,8 @@ def of_spark(kind: T.DataType, raw: bool) -> Any:
         return ("list", of_spark(kind.elementType, raw))
     if isinstance(kind, T.NullType):
         return "null"
+    if isinstance(kind, T.VariantType):
+        return "any"
     raise Untypable(kind.simpleString())
 
 
@@ -79,6 +81,44 @@ def guarded(scope: Scope, ok: Column, value: Column, message: str) -> Column:
     return F.when(F.coalesce(ok, F.lit(True)), value).otherwise(otherwise)
 
 
+def mixed(t: Any) -> bool:
+    """Whether values of this type say their own type: ``any``, a VARIANT, or lists of it."""
+    return mixed(t[1]) if isinstance(t, tuple) else t == "any"
+
+
+def as_any(x: Typed) -> Column:
+    """A value that keeps its own type among others: text of a cell is a number where it reads as one."""
+    if x.t in ("any", "null"):
+        return x.c.cast("variant")
+    if x.t not in ("bool", "int", "float", "string", "dyn"):
+        raise Untypable("lists and times among other values")
+    if x.t != "dyn":
+        return x.c.cast("variant")
+    whole, v = x.c.rlike(r"^[+-]?\d{1,18}$"), num(x.c)
+    return F.when(whole, x.c.cast("long").cast("variant")).when(v.isNotNull(), v.cast("variant")).otherwise(F.when(x.c != "", x.c).cast("variant"))
+
+
+def kind_of(c: Column) -> Column:
+    """null, bool, int, float or string."""
+    shown = F.schema_of_variant(c)
+    return F.when(c.isNull() | (shown == "VOID"), "null").when(shown == "BOOLEAN", "bool").when(shown == "BIGINT", "int").when(shown == "STRING", "string").otherwise("float")
+
+
+def any_number(c: Column) -> Column:
+    return F.when(kind_of(c).isin("int", "float"), F.try_variant_get(c, "$", "double"))
+
+
+def any_text(c: Column) -> Column:
+    kind = kind_of(c)
+    return F.when(kind == "null", "null").when(kind == "float", float_text(F.try_variant_get(c, "$", "double"))).otherwise(F.try_variant_get(c, "$", "string"))
+
+
+def any_key(c: Column) -> Column:
+    """A text alike for equal values: whole numbers and floats of one value are."""
+    kind = kind_of(c)
+    return F.when(kind.isin("int", "float"), F.concat(F.lit("n"), float_text(any_number(c)))).otherwise(F.concat(F.substring(kind, 1, 1), any_text(c)))
+
+
 def is_list(t: Any) -> bool:
     return isinstance(t, tuple)
 
@@ -89,6 +129,9 @@ def truthy(x: Typed) -> Column:
         return F.coalesce(F.size(c) > 0, F.lit(False))
     if x.t == "null":
         return F.lit(False)
+    if x.t == "any":
+        kind = kind_of(c)
+        return F.when(kind == "null", F.lit(False)).when(kind == "string", any_text(c) != "").when(kind == "bool", F.try_variant_get(c, "$", "boolean")).otherwise(any_number(c) != 0)
     if x.t == "bool":
         return F.coalesce(c, F.lit(False))
     if x.t in ("int", "float"):
@@ -110,10 +153,16 @@ def text(x: Typed) -> Column:
     """As show() does it."""
     if is_list(x.t):
         quote = x.t[1] in ("string", "dyn")
-        parts = F.transform(x.c, lambda i: F.concat(F.lit('"'), i, F.lit('"')) if quote else text(Typed(i, x.t[1])))
+        quoted = lambda i: F.concat(F.lit('"'), i, F.lit('"'))
+        if x.t[1] == "any":
+            parts = F.transform(x.c, lambda i: F.when(kind_of(i) == "string", quoted(any_text(i))).otherwise(any_text(i)))
+        else:
+            parts = F.transform(x.c, lambda i: quoted(i) if quote else text(Typed(i, x.t[1])))
         return F.coalesce(F.concat(F.lit("["), F.array_join(parts, ", "), F.lit("]")), F.lit("null"))
     if x.t == "null":
         return F.lit("null")
+    if x.t == "any":
+        return any_text(x.c)
     if x.t == "dyn":
         return F.coalesce(F.when(x.c != "", x.c), F.lit("null"))
     c = float_text(x.c) if x.t == "float" else x.c.cast("string")
@@ -124,6 +173,9 @@ def number(x: Typed, scope: Scope, what: str, strict: bool) -> Typed:
     """A numeric operand; ``strict`` operands (of operators) may not be text."""
     if x.t in ("int", "float"):
         return x
+    if x.t == "any":
+        v = any_number(x.c) if strict else F.coalesce(any_number(x.c), num(any_text(x.c)))
+        return Typed(guarded(scope, v.isNotNull() | (kind_of(x.c) == "null" if not strict else F.lit(False)), v, f"{what}: not a number"), "float")
     if x.t == "dyn" or x.t == "string" and not strict:
         v = num(x.c)
         missing = plain(x.c) == ""
@@ -141,12 +193,10 @@ def number(x: Typed, scope: Scope, what: str, strict: bool) -> Typed:
 
 def unify(items: list[Typed]) -> tuple[list[Column], Any]:
     kinds = {i.t for i in items if i.t != "null"}
-    if kinds <= {"int", "float"} and len(kinds) == 2:
-        raise Untypable("integers and floats in one list keep their own types")
     if kinds == {"string", "dyn"}:
         return [i.c for i in items], "dyn"
-    if len(kinds) > 1:
-        raise Untypable("list of mixed types")
+    if len(kinds) > 1:  # integers and floats of one list keep their own types, too
+        return [as_any(i) for i in items], "any"
     t = next(iter(kinds), "null")
     return [i.c.cast(spark_type(t)) if i.t == "null" and t != "null" else i.c for i in items], t
 
@@ -163,7 +213,10 @@ def compile_expr(e: Any, scope: Scope) -> Typed:
             raise ExprError(f"unknown name {e.name!r}")
         return scope.names[e.name]
     if isinstance(e, Items):
-        cols, t = unify([compile_expr(i, scope) for i in e.items])
+        items = [compile_expr(i, scope) for i in e.items]
+        if any(i.t == "dyn" for i in items):  # cells are numbers where they read as such
+            items = [Typed(as_any(i), "any") for i in items]
+        cols, t = unify(items)
         return Typed(F.array(*cols), ("list", t))
     if isinstance(e, Lambda):
         raise Untypable("a lambda as a value")
@@ -220,6 +273,10 @@ def _same(a: Typed, b: Typed) -> Column:
         if "float" in (a.t, b.t):
             return a.c.eqNullSafe(b.c) & ~F.coalesce(F.isnan(a.c.cast("double")), F.lit(False))
         return a.c.eqNullSafe(b.c)
+    if "any" in (a.t, b.t):
+        if is_list(a.t) or is_list(b.t) or "datetime" in (a.t, b.t):
+            return F.lit(False)
+        return any_key(as_any(a)) == any_key(as_any(b))
     if "dyn" in (a.t, b.t):
         d, other = (a, b) if a.t == "dyn" else (b, a)
         if other.t in numeric:
@@ -355,7 +412,7 @@ def _concat(args, scope):
     if is_list(xs[0].t):
         lists = [x if is_list(x.t) else Typed(F.array(x.c), ("list", x.t)) for x in xs]
         if len({x.t for x in lists}) > 1:
-            raise Untypable("lists of different types")
+            lists = [_any_list(x) for x in lists]
         return Typed(F.concat(*(x.c for x in lists)), lists[0].t)
     return Typed(F.concat(*map(text, xs)), "string")
 
@@ -517,11 +574,17 @@ def _nth(args, scope):
 def _replace_nth(args, scope):
     x, n, v = _list(args[0], scope), compile_expr(args[1], scope).c.cast("int"), compile_expr(args[2], scope)
     if v.t != x.t[1]:
-        raise Untypable("a value of another type")
+        element = x.t[1]
+        x, v = Typed(F.transform(x.c, lambda i: as_any(Typed(i, element))), ("list", "any")), Typed(as_any(v), "any")
     inside = (n >= 0) & (n < F.size(x.c))
     return Typed(guarded(scope, inside, F.transform(x.c, lambda i, k: F.when(k == n, v.c).otherwise(i)), "replace_nth: out of range"), x.t)
 
 
+def _any_list(x: Typed) -> Typed:
+    element = x.t[1]
+    return x if element == "any" else Typed(F.transform(x.c, lambda i: as_any(Typed(i, element))), ("list", "any"))
+
+
 def _plain_element(x: Typed) -> None:
     if x.t[1] in ("dyn",) or is_list(x.t[1]):
         raise Untypable("order of such elements")
@@ -529,6 +592,10 @@ def _plain_element(x: Typed) -> None:
 
 def _sort(args, scope):
     x = _list(args[0], scope)
+    if x.t[1] == "any":  # values of one type together: missing ones, truth values, numbers, texts
+        rank = lambda i: F.when(kind_of(i) == "null", 0).when(kind_of(i) == "bool", 1).when(kind_of(i) == "string", 3).otherwise(2)
+        keyed = F.transform(x.c, lambda i, k: F.struct(rank(i).alias("r"), any_number(i).alias("n"), any_text(i).alias("t"), k.alias("k")))
+        return Typed(F.transform(F.array_sort(keyed), lambda s: F.get(x.c, s["k"])), x.t)
     _plain_element(x)
     nulls = F.filter(x.c, lambda i: i.isNull())
     return Typed(F.concat(nulls, F.array_sort(F.filter(x.c, lambda i: i.isNotNull()))), x.t)
@@ -537,7 +604,7 @@ def _sort(args, scope):
 def _sort_by(args, scope):
     x = _list(args[0], scope)
     kt = _body_type(args[1], scope, x.t[1])
-    if kt == "dyn":
+    if kt == "dyn" or mixed(kt) or mixed(x.t):
         raise Untypable("order of such elements")
     keyed = F.transform(x.c, lambda i, k: F.struct(_lambda(args[1], [Typed(i, x.t[1])], scope).c.alias("key"), k.alias("k"), i.alias("v")))
     return Typed(F.transform(F.array_sort(keyed), lambda s: s["v"]), x.t)
@@ -550,7 +617,8 @@ def _reduce(args, scope):
         raise Untypable("an initial value without a type")
     got = _body_type(args[2], scope, acc, x.t[1])
     if got == "float" and acc == "int":
-        raise Untypable("an accumulator that changes its type")
+        init, acc = Typed(init.c.cast("double"), "float"), "float"
+        got = _body_type(args[2], scope, acc, x.t[1])
     if got != acc:
         raise Untypable("an accumulator that changes its type")
     return Typed(F.aggregate(F.coalesce(x.c, F.array().cast(spark_type(x.t))), init.c, lambda a, i: _lambda(args[2], [Typed(a, acc), Typed(i, x.t[1])], scope).c), acc)
@@ -596,7 +664,7 @@ def _flatten(args, scope):
 def _zip(args, scope):
     xs = [_list(a, scope) for a in args]
     if len({x.t for x in xs}) > 1:
-        raise Untypable("lists of different types")
+        xs = [_any_list(x) for x in xs]
     n = F.least(*(F.size(x.c) for x in xs))
     index = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     return Typed(F.transform(index, lambda k: F.array(*(F.get(x.c, k) for x in xs))), ("list", xs[0].t))
@@ -630,6 +698,11 @@ def _reverse(args, scope):
 
 def _unique(args, scope):
     x = _list(args[0], scope)
+    if mixed(x.t):
+        if x.t[1] != "any":
+            raise Untypable("equality of such elements")
+        shown = F.transform(x.c, any_text)  # values that look alike count as one
+        return Typed(F.filter(x.c, lambda i, k: F.array_position(shown, any_text(i)) == k + 1), x.t)
     return Typed(F.array_distinct(x.c), x.t)
 
 
@@ -687,6 +760,8 @@ def _strftime(args, scope):
 
 def _type(args, scope):
     x = compile_expr(args[0], scope)
+    if x.t == "any":
+        return Typed(kind_of(x.c), "string")
     if x.t == "dyn":
         whole = x.c.rlike(r"^[+-]?\d{1,18}$")
         return Typed(F.when(x.c.isNull(), "null").when(whole, "int").when(num(x.c).isNotNull(), "float").otherwise("string"), "string")
