@@ -75,7 +75,7 @@ def join_rows(
     how = "left_anti" if exclude else "left_semi" if not fields else "inner" if fill is None else "left"
     if skew is None:
         limit = int(data.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold").removesuffix("b"))
-        skew = large(data, SKEW_BYTES) and large(lookup, max(limit, 0))
+        skew = not (data.isStreaming or lookup.isStreaming) and large(data, SKEW_BYTES) and large(lookup, max(limit, 0))
     if skew:
         out = skew_join(data, side, [F.col(f"`{k}`") for k in left_keys], [F.col(f"__k{i}") for i in range(len(right_keys))], same, how, mode != "all")
     else:

@@ -317,14 +317,14 @@ def filter_istr_any(t):
 # files ----------------------------------------------------------------------------------------------------------------
 
 
-def _folder(t, name):
+def _place(t, name):
     return f"{shared_folder(t('region').sparkSession)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("SELECT c_custkey::VARCHAR AS key, c_name AS name, 'c' AS origin FROM customer UNION ALL SELECT s_suppkey::VARCHAR, s_name, 's' FROM supplier")
 def tsv_two_files(t):
     """Two files one after the other, each with its header, in the order of their lines."""
-    spark, folder = t("region").sparkSession, _folder(t, "two")
+    spark, folder = t("region").sparkSession, _place(t, "two")
     for name, key, origin in (("customer", "c_custkey", "c"), ("supplier", "s_suppkey", "s")):
         side = t(name)
         to_tsv(side.select(F.col(key).alias("key"), F.col(f"{name[0]}_name").alias("name"), F.lit(origin).alias("origin")), f"{folder}/{name}", single=True)
@@ -336,7 +336,7 @@ def tsv_two_files(t):
     UNION ALL SELECT o_orderkey::VARCHAR, c_name FROM orders JOIN customer ON o_custkey = c_custkey""")
 def join_reordered_files(t):
     """Keys go by name in every file: the two data files have their columns in different orders."""
-    spark, folder, out = t("region").sparkSession, _folder(t, "reordered"), []
+    spark, folder, out = t("region").sparkSession, _place(t, "reordered"), []
     to_tsv(t("customer").select("c_name", "c_custkey"), f"{folder}/lookup", single=True)
     lookup = read_tsv(spark, f"{folder}/lookup").withColumnRenamed("c_custkey", "o_custkey")
     for k, columns in enumerate((["o_orderkey", "o_custkey"], ["o_custkey", "o_orderkey"])):
@@ -351,7 +351,7 @@ def join_reordered_files(t):
     UNION ALL SELECT 'random', o_orderkey::VARCHAR, 0 FROM n UNION ALL SELECT 'key', o_orderkey::VARCHAR, 0 FROM n""")
 def split_files(t):
     """Orders split by number of rows, at random and by key, read back; of the latter two every row once, of a key one part."""
-    spark, folder = t("region").sparkSession, _folder(t, "split")
+    spark, folder = t("region").sparkSession, _place(t, "split")
     orders = select(t("orders"), "o_orderkey,o_custkey")
     split_lines(orders, f"{folder}/lines", 1000, ["o_orderkey"])
     split_random(orders, f"{folder}/random", 7)
