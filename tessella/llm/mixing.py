@@ -1,9 +1,10 @@
 """Mixing sources to target weights: token weights raked to marginals, then documents sampled by calibrated probability.
 
 One pass over the texts counts each document's tokens (white-space separated words) and assigns its topic: the nearest
-of TOPICS clusters of word vectors, fitted by spherical k-means on a bounded sample of texts; within each language
-(of the FITTED most frequent; others share one model), or topics would only repeat the languages. Documents are counted
-into cells (one for each combination of source, language and topic that occurs), and iterative proportional fitting
+of TOPICS clusters of word vectors, fitted by spherical k-means on all texts; within each language (of the FITTED most
+frequent; all others share one model), or topics would only repeat the languages. Word counts are written once; a round
+of k-means is one job over them, which gives the driver a sum for each word's bucket and cluster. These sums are whole
+numbers, so clusters don't depend on the order of rows or tasks. Documents are counted into cells (one for each combination of source, language and topic that occurs), and iterative proportional fitting
 multiplies a factor for each source, language and topic until token shares match every target marginal. A document is
 kept by a hash of its id, so a rerun keeps the same documents, with probability
 
@@ -27,18 +28,15 @@ are kept or dropped together, rows without an id by a hash of their text; an emp
 from __future__ import annotations
 
 import warnings
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.order import Ordered
 from . import staging, textvec
-from .toxicity import bounded, one_an_id
 
 DRIVER_CELLS = 100_000
 MAX_VALUES = 20_000_000
@@ -50,12 +48,15 @@ CLOSE = 0.005
 HALVINGS = 8
 TEMPER = 0.7
 TOPICS = 6
-#: Languages with topics of their own, and the fewest sampled texts for that.
+#: Languages with topics of their own, and the fewest texts for that.
 FITTED = 16
 LEAST_TEXTS = 60
 BITS = 16
-SAMPLE_ROWS = 3_000
-SAMPLE_BYTES = 24 << 20
+#: Words of a text's vector that a task works on at a time (of one text at least), how many sums go in a row, and the parts of one that values are counted in.
+PASS_WORDS = 1_000_000
+BLOCK = 1 << 13
+UNIT = 1 << 24
+_LOGS = (1 + np.log(np.arange(1 << 12).clip(1))).astype(np.float32)
 
 Sums = Callable[[int, list[np.ndarray], float | None], np.ndarray]
 
@@ -66,61 +67,156 @@ def word_buckets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, text
     return (textvec.Hasher.of(raw).ranges(w.starts, w.ends) >> np.uint64(64 - BITS)).astype(np.int64), w
 
 
-def fit_topics(texts: pa.Array, topics: int = TOPICS, rounds: int = 15, seed: int = 5) -> np.ndarray:
-    """(topic, word) weights by spherical k-means on the sample's tf-idf; none without words."""
-    row, col, val, n = [], [], [], 0
-    for _, _, raw, offsets in textvec.chunks(texts):
-        h, w = word_buckets(raw, offsets)
-        key, count = np.unique(w.docs << BITS | h, return_counts=True)
-        row.append((key >> BITS) + n)
-        col.append(key & ((1 << BITS) - 1))
-        val.append(1 + np.log(count))
-        n += len(offsets) - 1
-    if not n or not sum(map(len, row)):
-        return np.zeros((0, 1 << BITS), np.float32)
-    row, col, val = np.concatenate(row), np.concatenate(col), np.concatenate(val)
-    idf = np.log(n / np.bincount(col, minlength=1 << BITS).clip(1)) + 0.1
-    val = val * idf[col]
-    norm = lambda x, by, size: x / np.sqrt(np.bincount(by, x * x, size).clip(1e-12))[by]
-    val = norm(val, row, n)
-    filled = np.flatnonzero(np.bincount(row, minlength=n))
-    rnd = np.random.default_rng(seed)
-
-    def one(doc: int) -> np.ndarray:
-        own = row == doc
-        return np.bincount(col[own], val[own], 1 << BITS)
-
-    centres = [one(rnd.choice(filled))]
-    nearest = np.full(n, -np.inf)
-    while len(centres) < min(topics, len(filled)):  # each next centre is drawn from what is far from all before
-        nearest = np.maximum(nearest, np.bincount(row, val * centres[-1][col], n))
-        far = (1 - nearest[filled]).clip(0) ** 2
-        centres.append(one(rnd.choice(filled, p=far / far.sum()) if far.sum() > 0 else rnd.choice(filled)))
-    c = np.stack(centres)
-    for _ in range(rounds):
-        near = np.stack([np.bincount(row, val * k[col], n) for k in c]).argmax(0)
-        new = np.stack([np.bincount(col, val * (near[row] == k), 1 << BITS) for k in range(len(c))])
-        size = np.sqrt((new * new).sum(1, keepdims=True))
-        new = np.where(size > 0, new / np.maximum(size, 1e-12), c)
-        if np.allclose(new, c, atol=1e-6):
-            break
-        c = new
-    return (c * idf).astype(np.float32)
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, draw, words, times): the distinct word buckets of each text that has words, and how often each is there."""
+    for batch in batches:
+        for a, b, raw, offsets in textvec.chunks(batch.column("text")):
+            h, w = word_buckets(raw, offsets)
+            key, times = np.unique(w.docs << BITS | h, return_counts=True)
+            size = np.bincount(key >> BITS, minlength=b - a)
+            full = np.flatnonzero(size)
+            ends = np.concatenate([[0], np.cumsum(size[full])])
+            packed = [
+                pa.Array.from_buffers(pa.binary(), len(full), [None, pa.py_buffer((ends * v.itemsize).astype(np.int32)), pa.py_buffer(v)])
+                for v in ((key & ((1 << BITS) - 1)).astype(np.uint16), times.astype(np.uint32))
+            ]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c)[a:b].take(pa.array(full)) for c in ("lang", "draw")), *packed], names=["lang", "draw", "words", "times"])
+
+
+def _unpacked(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of all rows, where each row's begin)."""
+    column = column.cast(pa.large_binary())
+    _, offs, data = column.buffers()
+    offsets = np.frombuffer(offs, np.int64, len(column) + 1, column.offset * 8)
+    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(kind), (offsets - offsets[0]) // np.dtype(kind).itemsize
+
+
+def _vectors(batches: Iterator[pa.RecordBatch], langs: list[str], idf: np.ndarray | None) -> Iterator[tuple]:
+    """(rows, model of each, where each row's words begin, places in a model's weights, values) of some rows at a time."""
+    number = {lang: i + 1 for i, lang in enumerate(langs)}
+    for whole in batches:
+        _, begin = _unpacked(whole.column("words"), np.uint16)
+        a = 0
+        while a < len(whole):
+            b = max(a + 1, int(np.searchsorted(begin, begin[a] + PASS_WORDS, "right")) - 1)
+            batch, a = whole.slice(a, b - a), b
+            word, begin_here = _unpacked(batch.column("words"), np.uint16)
+            model = np.array([number.get(lang, 0) for lang in batch.column("lang").to_pylist()])
+            size = np.diff(begin_here)
+            at = word + (np.repeat(model, size) << BITS)
+            value = np.ones(len(at), np.float32)
+            if idf is not None:
+                times = _unpacked(batch.column("times"), np.uint32)[0]
+                value = _LOGS[np.minimum(times, len(_LOGS) - 1)]
+                often = np.flatnonzero(times >= len(_LOGS))
+                value[often] = 1 + np.log(times[often])
+                value *= idf[at]
+                value /= np.repeat(np.sqrt(np.add.reduceat(value * value, begin_here[:-1])), size)
+            yield batch, model, begin_here, at, value
+
+
+def _likeness(centres: np.ndarray, begin: np.ndarray, at: np.ndarray, value: np.ndarray) -> np.ndarray:
+    return np.stack([np.add.reduceat(value * c[at], begin[:-1]) for c in centres])
+
+
+def _bucket_sums(sent) -> Callable:
+    """Arrow function: word counts to sums by place: texts that have a word, or, with centres, values by nearest one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs, idf, centres = sent.value
+        places, n = (len(langs) + 1) << BITS, 1 if centres is None else len(centres)
+        sums = np.zeros(places * n)  # of whole numbers, which are exact up to 2**53
+        for _, _, begin, at, value in _vectors(batches, langs, idf):
+            if centres is None:
+                sums += np.bincount(at, minlength=places)
+            else:
+                near = _likeness(centres, begin, at, value).argmax(0)
+                sums += np.bincount(at + np.repeat(near * places, np.diff(begin)), np.rint(value * np.float32(UNIT)), len(sums))
+        blocks = sums.reshape(-1, BLOCK)
+        some = np.flatnonzero(blocks.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([blocks[k].astype(np.int64).tobytes() for k in some], pa.binary())], names=["block", "sums"])
+
+    return run
+
+
+def _added(block: pa.Table) -> pa.Table:
+    """The sums of a block's rows, of which there are as many as tasks."""
+    total = np.zeros(BLOCK, np.int64)
+    for x in block["sums"]:
+        total += np.frombuffer(x.as_buffer(), np.int64)
+    return pa.table({"block": block["block"][:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+
+def _drawn(sent, turn: int) -> Callable:
+    """Arrow function: of word counts, one row a model, drawn with a chance that grows with its distance from all centres."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs, idf, centres = sent.value
+        for batch, model, begin, at, value in _vectors(batches, langs, idf):
+            far = np.ones(len(batch)) if centres is None else (1 - _likeness(centres, begin, at, value).max(0)).clip(0) ** 2
+            u = (textvec.mix(batch.column("draw").to_numpy().view(np.uint64) + np.uint64(turn + 1)) >> np.uint64(11)).astype(float)
+            race = np.log((u + 0.5) / (1 << 53)) / (far + 1e-12)  # the largest is a draw by weight
+            order = np.lexsort((race, model))
+            best = order[np.flatnonzero(np.diff(model[order], append=-1))]
+            rest = batch.take(pa.array(best))
+            yield pa.RecordBatch.from_arrays([pa.array(model[best]), pa.array(race[best]), *(rest.column(c) for c in ("draw", "lang", "words", "times"))], names=["model", "race", "draw", "lang", "words", "times"])
+
+    return run
 
 
 class Topics:
     """Weights (topic, model and word) of one model for each language that has its own, the first for all others."""
 
-    def __init__(self, texts: pa.Table, topics: int = TOPICS):
-        """Fits to a sample (text, lang)."""
-        count = Counter(texts["lang"].to_pylist())
-        self.langs = [lang for lang, n in sorted(count.items(), key=lambda p: (-p[1], str(p[0]))) if n >= LEAST_TEXTS and lang is not None][:FITTED]
-        parts = [texts, *(texts.filter(pc.equal(texts["lang"], lang)) for lang in self.langs)]
-        self.weights = np.zeros((topics, len(parts) << BITS), np.float32)
-        for i, part in enumerate(parts):
-            own = fit_topics(part["text"].combine_chunks(), topics)
-            self.weights[: len(own), i << BITS : (i + 1) << BITS] = own
-        self.names = np.array([*(f"topic{k}" for k in range(topics)), "none"], object)
+    def __init__(self, langs: list[str], weights: np.ndarray):
+        self.langs, self.weights = langs, weights
+        self.names = np.array([*(f"topic{k}" for k in range(len(weights))), "none"], object)
+
+    @classmethod
+    def fit(cls, docs: DataFrame, topics: int = TOPICS, rounds: int = 15) -> Topics:
+        """Spherical k-means on the tf-idf of all texts of docs (id, text, lang), all models at once."""
+        spark = docs.sparkSession
+        rows = docs.where("text is not null").select("lang", F.xxhash64("id", "text").alias("draw"), "text")
+        counts, path = staging.written(rows.mapInArrow(_counted, "lang string, draw long, words binary, times binary"), "topic-words")
+        # a task passes on sums for every place, so there are no more tasks than can be run at once
+        counts = counts.coalesce(spark.sparkContext.defaultParallelism)
+        own = counts.where("lang is not null").groupBy("lang").count().where(F.col("count") >= LEAST_TEXTS)
+        own = own.orderBy(F.desc("count"), "lang").limit(FITTED).collect()
+        langs = [r.lang for r in own]
+        places = (len(langs) + 1) << BITS
+        sizes = np.array([counts.count() - sum(r["count"] for r in own), *(r["count"] for r in own)], float)
+
+        def sent(idf: np.ndarray | None, centres: np.ndarray | None):
+            return spark.sparkContext.broadcast((langs, idf, centres))
+
+        def summed(idf: np.ndarray | None, centres: np.ndarray | None) -> np.ndarray:
+            state = sent(idf, centres)
+            got = counts.mapInArrow(_bucket_sums(state), "block long, sums binary").groupBy("block").applyInArrow(_added, "block long, sums binary").toArrow()
+            state.destroy()
+            out = np.zeros(places * (1 if centres is None else len(centres)))
+            for k, x in zip(got["block"].to_pylist(), got["sums"], strict=True):
+                out[k * BLOCK : (k + 1) * BLOCK] = np.frombuffer(x.as_buffer(), np.int64)
+            return out
+
+        df = summed(None, None)
+        idf = (np.log(np.repeat(sizes, 1 << BITS).clip(1) / df.clip(1)) + 0.1).astype(np.float32)
+        c = np.zeros((topics, places))
+        for k in range(topics):  # each next centre is drawn from what is far from all before
+            state = sent(idf, c[:k].astype(np.float32) if k else None)
+            found = counts.mapInArrow(_drawn(state, k), "model long, race double, draw long, lang string, words binary, times binary")
+            found = found.groupBy("model").agg(F.max_by(F.struct("lang", "draw", "words", "times"), F.struct("race", "draw")).alias("r")).select("r.*").toArrow()
+            state.destroy()
+            for _, _, _, at, value in _vectors(iter(found.to_batches()), langs, idf):
+                c[k, at] = value
+        for _ in range(rounds):
+            new = summed(idf, c.astype(np.float32)).reshape(topics, -1, 1 << BITS)
+            size = np.sqrt((new * new).sum(2, keepdims=True))
+            new = np.where(size > 0, new / np.maximum(size, 1e-12), c.reshape(new.shape)).reshape(c.shape)
+            same = np.allclose(new, c, atol=1e-6)
+            c = new
+            if same:
+                break
+        staging.discard(spark, path)
+        return cls(langs, (c * idf).astype(np.float32))
 
     def of(self, h: np.ndarray, w: textvec.Words, langs: list[str | None]) -> np.ndarray:
         """The topic of each text of a chunk; "none" without words."""
@@ -287,9 +383,7 @@ def mix(
     topics = None
     if topic_col is None:
         lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
-        some = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), lang.alias("lang"))
-        some = staging.stage(some.orderBy(F.xxhash64("id"), F.xxhash64("text")).limit(SAMPLE_ROWS), "topic-sample")
-        topics = Topics(bounded(staging.stage(one_an_id(some), "topic-rows"), SAMPLE_BYTES).select("id", "text", "lang").toArrow().sort_by("id"))
+        topics = Topics.fit(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), lang.alias("lang")))
     sent = spark.sparkContext.broadcast(topics)
     names = [f"c{i}" for i in range(len(docs.columns))]
     at = lambda c: F.col(names[docs.columns.index(c)])

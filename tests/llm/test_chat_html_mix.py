@@ -322,6 +322,21 @@ def test_topics_are_clusters_of_words(spark):
     assert all(len(f) == 1 for f in field_of.values()) and set().union(*field_of.values()) == {0, 1, 2}
 
 
+def test_topics_are_fitted_on_all_texts(spark):
+    """A language with a hundred of 12,000 texts has topics of its own, the same in any order of rows and tasks."""
+    rnd = np.random.default_rng(1)
+    words = {(lang, f): [f"{lang}{f}{k}" for k in range(20)] for lang, n in (("en", 6), ("xx", 3)) for f in range(n)}
+    rows = [(i, " ".join(rnd.choice(words["en", i % 6], 12)), "en", "s") for i in range(12_000)]
+    rows += [(20_000 + i, " ".join(rnd.choice(words["xx", i % 3], 12)), "xx", "s") for i in range(100)]
+    schema = "doc_id long, text string, lang string, source string"
+    once, again = ({r.doc_id: r.mix_topic for r in mix(spark.createDataFrame(x, schema).repartition(n)).collect()} for x, n in ((rows, 2), (rows[::-1], 5)))
+    assert once == again
+    field_of = collections.defaultdict(set)
+    for i in range(100):
+        field_of[once[20_000 + i]].add(i % 3)
+    assert all(len(f) == 1 for f in field_of.values()) and set().union(*field_of.values()) == {0, 1, 2}
+
+
 def plain_mix(rows, targets, temper=0.7):
     """Weights of (source, lang, topic) cells in plain Python, from rows (source, lang, topic, tokens)."""
     total = sum(r[3] for r in rows)
