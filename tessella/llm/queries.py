@@ -67,8 +67,18 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "lang", *(F.col(f"mix_{c}").alias(c) for c in ("topic", "n_tokens", "weight", "prob", "kept")))
 
 
+#: Tools that conversations may call, and what their arguments have to be.
+CHAT_TOOLS = {
+    "search": {"properties": {"query": {"type": "string", "pattern": "[^ ]"}, "limit": {"type": "integer", "minimum": 1, "maximum": 100}}, "required": ["query"], "additionalProperties": False},
+    "read": {"properties": {"path": {"type": "string"}, "lines": {"type": "array", "items": {"type": "integer"}}}, "required": ["path"], "additionalProperties": False},
+    "calculate": {"properties": {"expression": {"type": "string"}, "digits": {"type": "integer", "minimum": 0}}, "required": ["expression"], "additionalProperties": False},
+    "convert": {"properties": {"amount": {"type": "number"}, "unit": {"type": "object", "properties": {"from": {"type": "string"}, "to": {"type": "string"}}, "required": ["from", "to"]}}, "required": ["amount", "unit"]},
+}
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = format_chats(table(spark, sf_dir, "conversations"))
+    """Lines of all conversations; calls are checked against CHAT_TOOLS, and a call of any other tool is an error."""
+    lines = format_chats(table(spark, sf_dir, "conversations"), CHAT_TOOLS)
     return lines.select("conv_id", "turn", "role", "place", "json", "n_calls", F.size("errors").cast("long").alias("n_errors"))
 
 

@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import numpy as np
 import pytest
 
+from tessella.llm import queries
 from tessella.llm.chat_format import format_chats
 from tessella.llm.html_text import html_text, render
 from tessella.llm.mixing import capped_share, mix, rake, sums_here, sums_there
@@ -80,6 +81,15 @@ def test_schemas_are_checked_in_depth(spark):
         format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), {"go": {"properties": {"a": {"oneOf": []}}}})
 
 
+def test_the_query_checks_calls_against_its_tools(spark, tmp_path):
+    said = [("search", {"query": "a", "limit": 5}), ("search", {"limit": 500}), ("convert", {"amount": 1.5, "unit": {"from": "m"}}), ("fly", {})]
+    rows = [(1, 2 * i, "assistant", call(f"c{i}", *s)) for i, s in enumerate(said)]
+    rows += [(1, 2 * i + 1, "tool", json.dumps({"tool_call_id": f"c{i}", "content": "ok"})) for i in range(len(said))]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.turn: r.n_errors for r in queries.op7_chat_format(spark, str(tmp_path)).collect() if r.role == "assistant"}
+    assert got == {0: 0, 2: 2, 4: 1, 6: 1}
+
+
 def test_chat_runs_without_python(chats):
     plan = format_chats(chats, SCHEMAS)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
