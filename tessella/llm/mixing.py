@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.order import Ordered
-from . import staging, textvec
+from . import staging, sums_by_block, textvec
 
 DRIVER_CELLS = 100_000
 MAX_VALUES = 20_000_000
@@ -52,9 +52,8 @@ TOPICS = 6
 FITTED = 16
 LEAST_TEXTS = 60
 BITS = 16
-#: Words of a text's vector that a task works on at a time (of one text at least), how many sums go in a row, and the parts of one that values are counted in.
+#: Words of a text's vector that a task works on at a time (of one text at least), and the parts of one that values are counted in.
 PASS_WORDS = 1_000_000
-BLOCK = 1 << 13
 UNIT = 1 << 24
 _LOGS = (1 + np.log(np.arange(1 << 12).clip(1))).astype(np.float32)
 
@@ -132,21 +131,11 @@ def _bucket_sums(sent) -> Callable:
             else:
                 near = _likeness(centres, begin, at, value).argmax(0)
                 sums += np.bincount(at + np.repeat(near * places, np.diff(begin)), np.rint(value * np.float32(UNIT)), len(sums))
-        blocks = sums.reshape(-1, BLOCK)
-        some = np.flatnonzero(blocks.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([blocks[k].astype(np.int64).tobytes() for k in some], pa.binary())], names=["block", "sums"])
+        yield sums_by_block.sent(sums)
 
     return run
 
 
-def _added(block: pa.Table) -> pa.Table:
-    """The sums of a block's rows, of which there are as many as tasks."""
-    total = np.zeros(BLOCK, np.int64)
-    for x in block["sums"]:
-        total += np.frombuffer(x.as_buffer(), np.int64)
-    return pa.table({"block": block["block"][:1], "sums": pa.array([total.tobytes()], pa.binary())})
-
-
 def _drawn(sent, turn: int) -> Callable:
     """Arrow function: of word counts, one row a model, drawn with a chance that grows with its distance from all centres."""
 
@@ -190,11 +179,8 @@ class Topics:
 
         def summed(idf: np.ndarray | None, centres: np.ndarray | None) -> np.ndarray:
             state = sent(idf, centres)
-            got = counts.mapInArrow(_bucket_sums(state), "block long, sums binary").groupBy("block").applyInArrow(_added, "block long, sums binary").toArrow()
+            out = sums_by_block.total(counts, _bucket_sums(state), places * (1 if centres is None else len(centres)))
             state.destroy()
-            out = np.zeros(places * (1 if centres is None else len(centres)))
-            for k, x in zip(got["block"].to_pylist(), got["sums"], strict=True):
-                out[k * BLOCK : (k + 1) * BLOCK] = np.frombuffer(x.as_buffer(), np.int64)
             return out
 
         df = summed(None, None)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessella.llm import queries
 from tessella.llm.language_id import language_id, shares
 from tessella.llm.nearest import Cells, chi_square, nearest_neighbours, quantile
-from tessella.llm.toxicity import IDENTITY, bounded, counterfactuals, fit, one_an_id, proper_names, score_change, score_texts, toxicity
+from tessella.llm.toxicity import IDENTITY, bounded, counterfactuals, fit, one_an_id, proper_names, score_change, score_texts, toxicity, train
 
 SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, source string, score string, id string"
@@ -205,6 +205,21 @@ def test_training_rows_are_bounded_in_bytes(spark):
     assert all(bounded(rows.withColumn("id", F.col("id") + k), 2000).count() == 20 for k in range(0, 500, 100))
 
 
+def test_toxicity_learns_all_labelled_rows(spark):
+    """Texts without words get the labelled share, which is that of all rows that may be learned."""
+    rows = [(i, "", int(i % 7 == 0)) for i in range(20_000)]
+    both = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    known = [t for i, _, t in rows if learned(i)]
+    weights, intercept = train(both.select("doc_id", "text"), both.select("doc_id", "toxic"))
+    assert not weights.any() and math.isclose(1 / (1 + math.exp(-intercept)), sum(known) / len(known), rel_tol=1e-9)
+
+
+def test_toxicity_is_fitted_on_spark_like_on_the_driver(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
+    (w, b), (v, a) = (train(docs, labels, steps=40, driver_features=n) for n in (1 << 40, 0))
+    assert np.count_nonzero(w) > 100 and np.allclose(w, v, atol=1e-6) and math.isclose(a, b, abs_tol=1e-6)
+
+
 def test_of_rows_with_one_id_the_same_one_is_learned(spark):
     rows = [(1, "a", 0), (1, "b", 1), (2, None, 1), (2, None, 1), (None, "c", 0), (None, "d", 0)]
     got = {tuple(sorted(map(str, one_an_id(spark.createDataFrame(rows[k:] + rows[:k], "id long, text string, toxic int").repartition(3)).collect()))) for k in range(4)}
