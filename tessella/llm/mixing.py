@@ -131,7 +131,7 @@ def _bucket_sums(sent) -> Callable:
             else:
                 near = _likeness(centres, begin, at, value).argmax(0)
                 sums += np.bincount(at + np.repeat(near * places, np.diff(begin)), np.rint(value * np.float32(UNIT)), len(sums))
-        yield sums_by_block.sent(sums)
+        yield from sums_by_block.sent(sums)
 
     return run
 
@@ -202,6 +202,7 @@ class Topics:
             if same:
                 break
         staging.discard(spark, path)
+        textvec.tidy()
         return cls(langs, (c * idf).astype(np.float32))
 
     def of(self, h: np.ndarray, w: textvec.Words, langs: list[str | None]) -> np.ndarray:

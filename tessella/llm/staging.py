@@ -49,9 +49,18 @@ def discard(spark: SparkSession, path: str) -> None:
 
 _SHIPPED: set[str] = set()
 
+#: Bytes of an Arrow batch of texts. Spark's own limit lets a task hold tens of MB several times, in its JVM and in Python.
+BATCH_BYTES = 4 << 20
+_BATCH_KEY, _SPARKS_OWN = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
 
 def ship(spark: SparkSession) -> None:
-    """Gives every executor this package, once a session's context; workers import it to run Arrow functions."""
+    """Gives every executor this package, once a session's context; workers import it to run Arrow functions.
+
+    Where the session has no limit of its own for the bytes of a batch, it gets ours; rows are never cut or left out.
+    """
+    if spark.conf.get(_BATCH_KEY, _SPARKS_OWN) == _SPARKS_OWN:
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
     key = spark.sparkContext.applicationId
     if key in _SHIPPED:
         return
@@ -100,8 +109,8 @@ def _to_edges(edges: DataFrame, low: DataFrame, n: int) -> DataFrame:
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """(id, component): the smallest id reachable from each id of links (a, b), by alternating large and small stars.
 
-    Every step is a group-by and a join on node ids, written to the shared folder, so neither links nor labels
-    reach the driver; a node with very many neighbours is reduced to its minimum before anything is sent back.
+    Every star is a group-by and a join on node ids, written to the shared folder, so neither links nor labels
+    reach the driver, and no plan holds the one before it many times; a node with very many neighbours is reduced to its minimum before anything is sent back.
     """
     spark = links.sparkSession
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
@@ -111,13 +120,14 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).select("u", F.least("u", "m").alias("m"), "c")
         large = _to_edges(both.where("v > u"), low, 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.union(low.where("u > m").select("u", F.col("m").alias("v"))).where("u > v").distinct()
+        large, large_path = written(large.union(low.where("u > m").select("u", F.col("m").alias("v"))).where("u > v").distinct(), name)
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
         small = _to_edges(large, low, 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         after = small.union(low.select("u", F.col("m").alias("v"))).distinct()
         after, new_path = written(after, name)
         state = after.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.bit_xor(F.xxhash64("u", "v"))).first()
-        discard(spark, path)
+        for old in (path, large_path):
+            discard(spark, old)
         edges, path = after, new_path
         if tuple(state) == seen:
             break

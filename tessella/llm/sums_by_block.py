@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 BLOCK = 1 << 13
+#: Blocks in a batch.
+SENT = 64
 SCHEMA = "block long, sums binary"
 
 
-def sent(sums: np.ndarray) -> pa.RecordBatch:
-    """What a task passes on: the blocks of its sums that aren't all zero."""
-    blocks = np.pad(sums, (0, -len(sums) % BLOCK)).reshape(-1, BLOCK)
-    some = np.flatnonzero(blocks.any(1))
-    return pa.RecordBatch.from_arrays([pa.array(some), pa.array([blocks[k].astype(np.int64).tobytes() for k in some], pa.binary())], names=["block", "sums"])
+def sent(sums: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """What a task passes on: the blocks of its sums that aren't all zero, a few at a time."""
+    for at in range(0, len(sums), SENT * BLOCK):
+        part = sums[at : at + SENT * BLOCK]
+        blocks = np.pad(part, (0, -len(part) % BLOCK)).reshape(-1, BLOCK)
+        some = np.flatnonzero(blocks.any(1))
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(at // BLOCK + some), pa.array([blocks[k].astype(np.int64).tobytes() for k in some], pa.binary())], names=["block", "sums"])
 
 
 def _added(block: pa.Table) -> pa.Table:

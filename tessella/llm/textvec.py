@@ -16,6 +16,9 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
+#: Bytes of text after which unused memory is given back, which takes time of its own.
+TIDY_BYTES = 16 << 20
+_since_tidy = 0
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[str, np.ndarray] = {}
@@ -58,6 +61,7 @@ def tidy() -> None:
 
 def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets from 0) of consecutive rows; a chunk has at least one whole row."""
+    global _since_tidy
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string())
@@ -75,7 +79,10 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         end = min(n, max(end, first + 1))
         yield first, end, raw[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first]
         first = end
-    tidy()
+    _since_tidy += int(offsets[n] - offsets[0])
+    if _since_tidy >= TIDY_BYTES:
+        _since_tidy = 0
+        tidy()
 
 
 @dataclass

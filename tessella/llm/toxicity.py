@@ -256,7 +256,7 @@ def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for f, d in present(batch.column("text")):
             out[0] += np.bincount(f, minlength=1 << BITS)
             out[1] += np.bincount(f, toxic[d], 1 << BITS)
-    yield sums_by_block.sent(out.ravel())
+    yield from sums_by_block.sent(out.ravel())
 
 
 def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,7 +312,7 @@ def _step_sums(sent, k: int, curved: bool, fairness: float, unit: float) -> Call
         out = np.zeros(k + 1)
         for batch in batches:
             out += _read(batch, k).sums(w, b, curved, fairness)
-        yield sums_by_block.sent(np.rint(out * unit))
+        yield from sums_by_block.sent(np.rint(out * unit))
 
     return run
 
@@ -327,11 +327,11 @@ def score_texts(texts: pa.Array, weights: np.ndarray, intercept: float) -> np.nd
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _scorer(model, intercept: float) -> Callable:
+def _scorer(model, intercept: float, text_at: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = score_texts(batch.column(0), model.value, intercept)
-            yield pa.RecordBatch.from_arrays([pa.array(s), *batch.columns[1:]], names=["score", *batch.schema.names[1:]])
+            s = score_texts(batch.column(text_at), model.value, intercept)
+            yield pa.RecordBatch.from_arrays([pa.array(s), *batch.columns], names=["score", *batch.schema.names])
 
     return run
 
@@ -416,7 +416,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     model = spark.sparkContext.broadcast(weights)
     names = [f"c{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*names)  # clashing names of extra columns are kept out of the way
-    text = names[docs.columns.index(text_col)]
     schema = "score double, " + ", ".join(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True))
-    scored = plain.select(F.coalesce(text, F.lit("")).alias("text"), *names).mapInArrow(_scorer(model, intercept), schema)
+    scored = plain.mapInArrow(_scorer(model, intercept, docs.columns.index(text_col)), schema)
     return scored.select(*(F.col(n).alias(o) for n, o in zip(names, docs.columns, strict=True)), F.col("score").alias("tox_score"), (F.col("score") >= threshold).alias("tox_flag"))
